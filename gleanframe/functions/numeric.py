@@ -67,6 +67,7 @@ def quantiles(
     probs: Sequence[float],
     max_rows: int = PERCENTILE_ROWS,
     accuracy: int = SKETCH_ACCURACY,
+    sizes: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles of whole columns, by column name.
 
@@ -75,14 +76,15 @@ def quantiles(
     the second counts what lies below each bracket; the third counts the
     distinct values inside them. Only those few values are ever sorted, so no
     task holds a column. The driver sees one row per pass and two values per
-    quantile.
+    quantile. ``sizes`` passes in non-null counts that are known already.
     """
     columns = list(columns)
     if not columns:
         return {}
     values = {c: present(df, c).cast("double") for c in columns}
-    counts = df.agg(*[F.count(values[c]).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    sizes = {c: counts[i] for i, c in enumerate(columns)}
+    if sizes is None:
+        counts = df.agg(*[F.count(values[c]).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+        sizes = dict(zip(columns, counts))
     small = [c for c in columns if 0 < sizes[c] <= max_rows]
     large = [c for c in columns if sizes[c] > max_rows]
     found: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}

@@ -27,7 +27,8 @@ def parse_money(col: Column) -> Column:
 
 def domain(url: Column) -> Column:
     """Lower-case network location with leading ``w`` and ``.`` characters removed."""
-    return F.coalesce(F.ltrim(F.lower(F.try_parse_url(url, F.lit("AUTHORITY"))), F.lit("w.")), F.lit(""))
+    location = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)
+    return F.coalesce(F.ltrim(F.lower(location), F.lit("w.")), F.lit(""))
 
 
 def valid_url(url: Column) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text"]
+MODULES = ["text", "profiles", "records"]
 
 
 def _merged(attribute: str) -> dict:
