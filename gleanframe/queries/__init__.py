@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text", "profiles", "records"]
+MODULES = ["text", "profiles", "records", "tracking", "charting"]
 
 
 def _merged(attribute: str) -> dict:
