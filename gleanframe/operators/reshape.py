@@ -67,18 +67,18 @@ def records_to_df(df: DataFrame, flat: bool = True) -> DataFrame:
 def widen(df: DataFrame, column: str = "fields", max_columns: int = MAX_COLUMNS) -> DataFrame:
     """The map column as one column per key that occurs, by name; absent keys are null.
 
+    A key named like one of the other columns gets the map's name in front.
     Key discovery is one distributed count whose result is the column list.
     """
     keys = df.select(F.explode(F.map_keys(quoted(column))).alias("key")).distinct()
     names = sorted(row["key"] for row in keys.limit(max_columns + 1).collect())
     if len(names) > max_columns:
         raise ValueError(f"{column} holds more than {max_columns} distinct keys")
-    others = [F.col(quoted(c)) for c in df.columns if c != column]
-    return df.select(*others, *[_value(column, k) for k in names])
-
-
-def _value(column: str, key: str) -> Column:
-    return F.try_element_at(F.col(quoted(column)), F.lit(key)).alias(key)
+    others = [c for c in df.columns if c != column]
+    values = [
+        F.try_element_at(F.col(quoted(column)), F.lit(k)).alias(f"{column}_{k}" if k in others else k) for k in names
+    ]
+    return df.select(*[F.col(quoted(c)) for c in others], *values)
 
 
 def drop_duplicate_columns(df: DataFrame) -> DataFrame:

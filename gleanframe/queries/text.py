@@ -6,15 +6,41 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..operators import extracts, topics, words
+from ..operators import chunks, extracts, sentiment, topics, words
+from ..plans import texts
 from ..session import load, load_texts
-from .sqltext import ASCII_DIGITS, ASCII_WORDS, words as words_sql
+from .sqltext import ASCII_DIGITS, ASCII_WORDS, TOKENS, half_up, words as words_sql
 
 
 def _docs(spark, sf):
     return load_texts(spark, sf, "documents")
 
 
+def lexicon(spark, sf):
+    """A scored word list made from the words of ``benchmark``: sixteenths by length and first letter."""
+    found = load(spark, sf, "benchmark").select(
+        F.explode(X.extract_all(F.lower("text"), r"[\p{L}\p{N}_]+")).alias("word")).distinct()
+    size, letter = F.length("word"), F.ascii("word")
+    return found.select(
+        "word",
+        (((size * 5 + letter) % 27 - 13) / 16.0).cast("double").alias("polarity"),
+        ((size + letter) % 9 / 8.0).cast("double").alias("subjectivity"),
+    )
+
+
+def _scored_columns(spark, sf):
+    table = _docs(spark, sf).select("doc_id", "lang", "source", "text", F.substring("text", 1, 60).alias("opening"))
+    return sentiment.sentiment_columns(table, lexicon(spark, sf), "doc_id")
+
+
+def _page_sentiment(spark, sf):
+    scored = sentiment.page_sentiment(_docs(spark, sf), lexicon(spark, sf))
+    return scored.select(
+        "doc_id", "polarity", "subjectivity", "label", "sentence_count", "average_polarity",
+        F.col("most_positive")[0]["polarity"].alias("best"), F.col("most_negative")[0]["polarity"].alias("worst"),
+        F.col("most_negative")[0]["text"].alias("worst_text"), F.size("most_positive").cast("long").alias("shown"))
+
+
 QUERIES = {
     "keywords": lambda spark, sf: words.keywords(_docs(spark, sf)),
     "keywords_per_document": lambda spark, sf: words.keywords(_docs(spark, sf), top_n=25, key="doc_id"),
@@ -28,6 +54,17 @@ QUERIES = {
     "entity_counts": lambda spark, sf: extracts.entity_counts(_docs(spark, sf)),
     "key_values": lambda spark, sf: extracts.key_values(_docs(spark, sf)),
     "topics": lambda spark, sf: topics.topics(_docs(spark, sf)),
+    "sentiment": lambda spark, sf: sentiment.sentiment(_docs(spark, sf), lexicon(spark, sf)),
+    "sentiment_conversations": lambda spark, sf: sentiment.sentiment(
+        load_texts(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("k"), "text"),
+        lexicon(spark, sf), key="k").select("k.*", "polarity", "subjectivity", "label"),
+    "sentiment_columns": lambda spark, sf: _scored_columns(spark, sf).drop("text", "opening"),
+    "sentiment_summary": lambda spark, sf: sentiment.sentiment_summary(_scored_columns(spark, sf)),
+    "page_sentiment": _page_sentiment,
+    "text_profile": lambda spark, sf: texts.text_overview(_docs(spark, sf), lexicon(spark, sf)),
+    "chunk_paragraphs": lambda spark, sf: chunks.chunk(_docs(spark, sf), "paragraphs", 1500, overlap=100),
+    "chunk_sentences": lambda spark, sf: chunks.chunk(_docs(spark, sf), "sentences", 600, overlap=50),
+    "chunk": lambda spark, sf: chunks.chunk(_docs(spark, sf)),
     "estimate_tokens": lambda spark, sf: _docs(spark, sf).select(
         "doc_id", X.estimate_tokens(F.col("text")).alias("tokens")),
     "trim_content": lambda spark, sf: _docs(spark, sf).select(
@@ -83,7 +120,55 @@ _TOPIC_ROWS = " UNION ALL ".join(
     for i, (topic, kws) in enumerate(P.TOPIC_KEYWORDS.items())
 )
 
+_LEXICON = r"""lexicon AS (SELECT DISTINCT word,
+    ((length(word) * 5 + ascii(word)) % 27 - 13) / 16.0::DOUBLE AS polarity, ((length(word) + ascii(word)) % 9) / 8.0::DOUBLE AS subjectivity
+  FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM benchmark))"""
+
+
+def _label(p: str) -> str:
+    return (f"CASE WHEN {p} >= 0.5 THEN 'very positive' WHEN {p} >= 0.1 THEN 'positive' WHEN {p} <= -0.5 THEN 'very negative' "
+            f"WHEN {p} <= -0.1 THEN 'negative' ELSE 'neutral' END")
+
+
+def _sentiment(table: str, key: str) -> str:
+    return f"""scores AS (SELECT {key}, avg(polarity) AS p, avg(subjectivity) AS s
+        FROM (SELECT {key}, unnest({TOKENS}) AS word FROM {table}) JOIN lexicon USING (word) GROUP BY ALL),
+      scored AS (SELECT {key}, coalesce({half_up('p', 4)}, 0.0) AS polarity, coalesce({half_up('s', 4)}, 0.0) AS subjectivity
+        FROM {table} LEFT JOIN scores USING ({key}))"""
+
+
+# A sentence ends at white space after a full stop, question or exclamation mark.
+_SENTENCES = r"""cut AS (SELECT doc_id, str_split(regexp_replace(text, '([.!?])\s+', E'\\1\x01', 'g'), E'\x01') AS l FROM documents),
+  sentences AS (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS no FROM cut),
+  sents AS (SELECT doc_id, no, trim(raw, E' \t\n\r') AS text FROM sentences WHERE trim(raw, E' \t\n\r') <> '')"""
+
+
 ORACLES = {
+    "sentiment": f"WITH {_LEXICON}, {_sentiment('documents', 'doc_id')} SELECT *, {_label('polarity')} AS label FROM scored",
+    "sentiment_conversations": f"WITH {_LEXICON}, {_sentiment('conversations', 'conv_id, turn')} SELECT *, {_label('polarity')} AS label FROM scored",
+    "sentiment_columns": f"""WITH {_LEXICON}, {_sentiment('documents', 'doc_id')},
+      openings AS (SELECT doc_id, substring(text, 1, 60) AS text FROM documents),
+      {_sentiment('openings', 'doc_id').replace('scores', 'oscores').replace('scored', 'oscored')}
+      SELECT doc_id, lang, source, a.polarity AS text_polarity, {_label('a.polarity')} AS text_sentiment,
+        b.polarity AS opening_polarity, {_label('b.polarity')} AS opening_sentiment
+      FROM documents JOIN scored a USING (doc_id) JOIN oscored b USING (doc_id)""",
+    "sentiment_summary": f"""WITH {_LEXICON}, {_sentiment('documents', 'doc_id')},
+      openings AS (SELECT doc_id, substring(text, 1, 60) AS text FROM documents),
+      {_sentiment('openings', 'doc_id').replace('scores', 'oscores').replace('scored', 'oscored')},
+      l AS (SELECT 'text_sentiment' AS c, {_label('polarity')} AS label FROM scored
+            UNION ALL SELECT 'opening_sentiment', {_label('polarity')} FROM oscored)
+      SELECT c AS column, label, count(*) AS count, round(count(*) / (SELECT count(*) FROM documents) * 100, 1) AS percent FROM l GROUP BY 1, 2""",
+    "page_sentiment": f"""WITH {_LEXICON}, {_SENTENCES},
+      tokens AS (SELECT doc_id, no, unnest({TOKENS}) AS word FROM sents),
+      hits AS (SELECT doc_id, no, sum(polarity) AS p, sum(subjectivity) AS s, count(*) AS n FROM tokens JOIN lexicon USING (word) GROUP BY 1, 2),
+      per AS (SELECT doc_id, no, text, coalesce({half_up('p / n', 3)}, 0.0) AS polarity FROM sents LEFT JOIN hits USING (doc_id, no)),
+      a AS (SELECT doc_id, count(*) AS sentence_count, {half_up('sum(polarity::DECIMAL(10,3))::DOUBLE / count(*)', 4)} AS average_polarity, max(polarity) AS best,
+              min(polarity) AS worst, arg_min(substring(text, 1, 100), (polarity, no)) AS worst_text FROM per GROUP BY 1),
+      o AS (SELECT doc_id, {half_up('sum(p) / sum(n)', 4)} AS p, {half_up('sum(s) / sum(n)', 4)} AS s FROM hits GROUP BY 1),
+      f AS (SELECT doc_id, coalesce(p, 0.0) AS polarity, coalesce(s, 0.0) AS subjectivity, coalesce(sentence_count, 0) AS sentence_count,
+              coalesce(average_polarity, 0.0) AS average_polarity, best, worst, worst_text, coalesce(least(sentence_count, 3), 0) AS shown
+            FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN o USING (doc_id))
+      SELECT *, {_label('polarity')} AS label FROM f""",
     "keywords": f"WITH {words_sql()} " + _top_sql("word", "words", None, 20),
     "keywords_per_document": f"WITH {words_sql()} " + _top_sql("word", "words", "doc_id", 25),
     "keywords_conversations": f"WITH {words_sql('conversations', 'conv_id', 4)} " + _top_sql("word", "words", None, 20),
@@ -139,3 +224,13 @@ ORACLES = {
         regexp_extract_all(replace(p_type || '_' || p_brand || '_' || p_name, '_', ' '), '[A-Za-z]+|[^A-Za-z]+'),
         lambda r: upper(r[1]) || lower(r[2:])), '') AS label FROM part""",
 }
+
+ORACLES["text_profile"] = rf"""WITH kw AS ({ORACLES['keywords_per_document']}), bg AS ({ORACLES['bigrams_per_document']}),
+  en AS ({ORACLES['entities']}), tp AS ({ORACLES['topics']}), se AS ({ORACLES['page_sentiment']})
+  SELECT d.doc_id, length(text) AS text_length, len(regexp_extract_all(text, '\S+')) AS word_count,
+    (SELECT count(*) FROM kw WHERE kw.doc_id = d.doc_id) AS keyword_count, k.word AS top_keyword,
+    (SELECT count(*) FROM bg WHERE bg.doc_id = d.doc_id) AS bigram_count, b.phrase AS top_bigram,
+    (SELECT count(*) FROM en WHERE en.doc_id = d.doc_id) AS entity_count, t.topic AS top_topic,
+    se.polarity, se.label, se.sentence_count
+  FROM documents d LEFT JOIN kw k ON k.doc_id = d.doc_id AND k.rank = 1 LEFT JOIN bg b ON b.doc_id = d.doc_id AND b.rank = 1
+    LEFT JOIN tp t ON t.doc_id = d.doc_id AND t.rank = 1 LEFT JOIN se ON se.doc_id = d.doc_id"""
