@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import quoted
+from ..functions.text import value_text
 
 
 def _holds_map(dtype: T.DataType) -> bool:
@@ -109,11 +110,13 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def fingerprint(df: DataFrame) -> DataFrame:
     """``fingerprint, rows``: equal for tables with the same rows in any order.
 
-    Row hashes are summed as decimals: equal rows do not cancel out and the
-    sum cannot overflow.
+    The leading 60 bits of the MD5 of every row's text are summed as decimals:
+    equal rows do not cancel out and the sum cannot overflow.
     """
-    row_hash = F.xxhash64(*comparable(df, df.columns)).cast("decimal(38,0)")
+    texts = [value_text(F.col(quoted(f.name)), f.dataType) for f in df.schema.fields]
+    digest = F.md5(F.concat_ws("\x1f", *texts))
+    leading = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(
-        F.coalesce(F.sum(row_hash), F.lit(0)).cast("string").alias("fingerprint"),
+        F.coalesce(F.sum(leading), F.lit(0)).cast("string").alias("fingerprint"),
         F.count("*").alias("rows"),
     )

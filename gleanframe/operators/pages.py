@@ -21,6 +21,7 @@ from ..functions import patterns as P
 from ..functions.html import parse as parse_html
 from ..functions.numeric import pinned
 from ..functions.text import domain, strip
+from ..session import materialised
 from .clean import FILL, MISSING_SHARE
 from .reshape import widen
 
@@ -168,12 +169,17 @@ def _cleaned_array(df: DataFrame, column: str) -> DataFrame:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """Clean, distinct records of every page as one wide table: ``page_id, url, row_no`` and a column per field."""
-    parsed = parse_pages(pages, "records")
+    """Clean, distinct records of every page as one wide table: ``page_id, url, row_no`` and a column per field.
+
+    The records are written once: column discovery and the result both read
+    them, and pages are far too dear to parse twice.
+    """
+    parsed = parse_pages(pages, "records").where(F.size("records") > 0)
     maps = parsed.select("page_id", "url", F.transform("records", lambda r: r["fields"]).alias("records"))
     cleaned = _cleaned_array(maps, "records")
     rows = cleaned.select("page_id", "url", F.posexplode("records").alias("i", "fields"))
-    return widen(rows.select("page_id", "url", (F.col("i") + 1).cast("long").alias("row_no"), "fields"), "fields")
+    numbered = rows.select("page_id", "url", (F.col("i") + 1).cast("long").alias("row_no"), "fields")
+    return widen(materialised(numbered, "page-records"), "fields")
 
 
 def _ends_with(col: Column, suffixes: Sequence[str]) -> Column:

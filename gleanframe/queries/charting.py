@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import charts as C
 from ..operators import profile, topics, words
-from ..plans import dashboards
+from ..plans import dashboards, profiles
 from ..session import load, load_texts
 from .profiles import ORDERS, orders
 from .sqltext import words as words_sql
@@ -66,6 +66,7 @@ QUERIES = {
     "topic_chart": lambda spark, sf: C.topic_chart(topics.topics(load_texts(spark, sf, "documents"))),
     "auto_charts": lambda spark, sf: dashboards.chart_list(dashboards.auto_charts(orders(spark, sf))),
     "dashboard_data": _panels,
+    "analyze": lambda spark, sf: profiles.part_sizes(*profiles.analyze(orders(spark, sf), ["o_orderkey"])),
 }
 
 
@@ -145,6 +146,20 @@ ORACLES = {
       (3, 'bar', 'o_orderstatus', (SELECT count(DISTINCT o_orderstatus) FROM o)), (4, 'bar', 'o_orderpriority', (SELECT count(DISTINCT o_orderpriority) FROM o)),
       (5, 'scatter', 'o_orderkey, o_custkey', (SELECT count(*) FROM o)), (6, 'heatmap', 'o_orderkey, o_custkey, o_totalprice', 9),
       (7, 'pie', 'o_orderstatus', (SELECT count(DISTINCT o_orderstatus) FROM o))) t(i, kind, cols, points)""",
+    "analyze": f"""WITH {ORDERS}, c AS (SELECT count(*) AS n, count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p FROM o)
+      SELECT part, rows::BIGINT AS rows FROM c, LATERAL (VALUES ('shape', 1), ('dtypes', 5), ('missing', 5), ('numeric_stats', 3),
+        ('categorical_stats', least(s, 5) + least(p, 5)), ('duplicates', 1), ('sample_rows', 3), ('semantic_types', 5), ('correlations', 3),
+        ('quality_score', 1), ('missing_chart', 2), ('chart 0: histogram', 20), ('chart 1: histogram', 20), ('chart 2: histogram', 20),
+        ('chart 3: bar', s), ('chart 4: bar', p), ('chart 5: scatter', n), ('chart 6: heatmap', 9), ('chart 7: pie', s)) t(part, rows)""",
+    "dashboard_data": """WITH q AS (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY 1),
+      n AS (SELECT count(*) AS rows, count(DISTINCT o_orderpriority) AS cats FROM orders),
+      out AS (SELECT count(*) AS outside FROM orders JOIN q USING (o_orderpriority)
+              WHERE o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1)),
+      p AS (SELECT unnest(['area_line', 'bar_grouped', 'box', 'breakdown', 'donut', 'stacked', 'summary', 'treemap']) AS kind, cats AS points FROM n
+        UNION ALL SELECT 'box_outliers', outside FROM out UNION ALL SELECT 'density', 200 UNION ALL SELECT 'funnel', 8
+        UNION ALL SELECT 'gauges', 3 UNION ALL SELECT 'heatmap', 9 UNION ALL SELECT 'histogram', 25 UNION ALL SELECT 'histogram_marks', 1
+        UNION ALL SELECT 'kpis', 6 UNION ALL SELECT 'scatter', rows FROM n UNION ALL SELECT 'waterfall', 10)
+      SELECT row_number() OVER (ORDER BY kind) - 1 AS position, kind, points::BIGINT AS points FROM p""",
 }
 from .text import ORACLES as _TEXT  # noqa: E402
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import pages
-from ..session import load, load_texts
 from ..functions import patterns as P
+from ..operators import pages
+from ..session import load_texts
 
 
 def _pages(spark, sf):
@@ -26,7 +26,7 @@ def infobox_pages(spark, sf):
         row("Balance ($)", _money("c_acctbal")), F.lit("<tr><td>alone</td></tr>"),
         row("Nation", F.concat(F.lit("<b> N</b>"), F.col("c_nationkey").cast("string"))),
         F.lit("</table><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table></body>"))
-    return load(spark, sf, "customer").select(
+    return load_texts(spark, sf, "customer").select(
         F.col("c_custkey").alias("page_id"),
         F.concat(F.lit("https://en.wikipedia.org/wiki/"), "c_custkey").alias("url"), html.alias("html"))
 
@@ -38,7 +38,7 @@ def table_pages(spark, sf):
         F.col("o_orderkey").cast("string"), F.lit("</td><td>"), F.col("o_orderstatus"), F.lit("</td><td>"),
         F.when(F.col("o_custkey") % 3 == 0, "").otherwise(F.lower("o_orderpriority")), F.lit("</td><td>"),
         _money("o_totalprice"), F.lit("</td></tr><tr><td>short</td></tr><tr><td> </td><td></td></tr></table>"))
-    return load(spark, sf, "orders").select(
+    return load_texts(spark, sf, "orders").select(
         F.col("o_orderkey").alias("page_id"), F.concat(F.lit("https://shop.example.com/o/"), "o_orderkey").alias("url"),
         html.alias("html"))
 
@@ -52,7 +52,7 @@ def card_pages(spark, sf):
         F.lit("</i></p><a href='/p/"), F.col("p_partkey").cast("string"), F.lit("'>see</a></div>"),
         F.lit("<li class=listing><b class=Name>offer</b> now £ "), F.col("p_size").cast("string"),
         F.lit(",000 only<script>var x='$9'</script></li><div class=post>nothing</div></section>"))
-    return load(spark, sf, "part").select(
+    return load_texts(spark, sf, "part").select(
         F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://shop.example.com/p/"), "p_partkey").alias("url"),
         html.alias("html"))
 
@@ -70,7 +70,7 @@ def meta_pages(spark, sf):
         F.lit("<meta name='description' content='"), F.col("p_type"), F.lit("'><meta property='og:title' content='"),
         F.col("p_brand"), F.lit("'/><meta name=keywords content='a, b'><link rel='next canonical' href='/c/"),
         F.col("p_partkey").cast("string"), F.lit("'></head><body><title>late</title>"))
-    return load(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.lit("").alias("url"), html.alias("html"))
+    return load_texts(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.lit("").alias("url"), html.alias("html"))
 
 
 def _fields(df, *names):
@@ -143,7 +143,7 @@ _INFO = f"""SELECT c_custkey AS id, c_name AS customer_name, lower(c_mktsegment)
   {_AMOUNT.format('c_acctbal')} AS balance, 'N' || c_nationkey AS nation FROM customer"""
 _TABLE = """SELECT o_orderkey AS id, o_orderkey::VARCHAR AS order_key, o_orderstatus AS status,
   CASE WHEN o_custkey % 3 <> 0 THEN lower(o_orderpriority) END AS total__usd FROM orders"""
-_CARDS = f"""SELECT p_partkey AS id, 0 AS row_no, p_name AS title, '$' || {_AMOUNT.format('p_retailprice')} AS price, p_size::VARCHAR AS rating,
+_CARDS = f"""SELECT p_partkey AS id, 0::BIGINT AS row_no, p_name AS title, '$' || {_AMOUNT.format('p_retailprice')} AS price, p_size::VARCHAR AS rating,
     p_type || p_brand AS description, '/p/' || p_partkey AS url FROM part
   UNION ALL SELECT p_partkey, 1, 'offer', '£ ' || p_size || ',000', NULL, NULL, NULL FROM part"""
 
@@ -157,17 +157,17 @@ ORACLES = {
     "page_metadata_kinds": """SELECT p_partkey AS page_id, p_name || ' & co' AS title, p_type AS description, 'a, b' AS keywords,
       '/c/' || p_partkey AS canonical_url, p_brand AS og_title, '' AS og_description FROM part""",
     "page_titles": f"SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), {_WS}) AS raw_title FROM pages",
-    "extract_tables": f"""SELECT id AS page_id, 0 AS table_no, 0 AS row_no, order_key, status, total__usd,
+    "extract_tables": f"""SELECT id AS page_id, 0::BIGINT AS table_no, 0::BIGINT AS row_no, order_key, status, total__usd,
       2 + (total__usd IS NOT NULL)::BIGINT AS n FROM ({_TABLE})""",
     "extract_lists": f"""SELECT id AS page_id, row_no, title, price, rating, description, url,
-      CASE row_no WHEN 0 THEN 5 ELSE 2 END AS n FROM ({_CARDS})""",
-    "extract_infobox": f"SELECT id AS page_id, 4 AS n, customer_name, market_segment, balance, nation FROM ({_INFO})",
-    "extract_records": f"""SELECT id * 3 AS page_id, 'infobox' AS strategy, 0 AS table_no, 0 AS row_no, 4 AS n FROM ({_INFO})
+      CASE row_no WHEN 0 THEN 5::BIGINT ELSE 2 END AS n FROM ({_CARDS})""",
+    "extract_infobox": f"SELECT id AS page_id, 4::BIGINT AS n, customer_name, market_segment, balance, nation FROM ({_INFO})",
+    "extract_records": f"""SELECT id * 3 AS page_id, 'infobox' AS strategy, 0::BIGINT AS table_no, 0::BIGINT AS row_no, 4::BIGINT AS n FROM ({_INFO})
       UNION ALL SELECT id * 3 + 1, 'tables', 0, 0, 2 + (total__usd IS NOT NULL)::BIGINT FROM ({_TABLE})
       UNION ALL SELECT id * 3 + 2, 'lists', 0, row_no, CASE row_no WHEN 0 THEN 5 ELSE 2 END FROM ({_CARDS})""",
     "page_records": f"""SELECT * FROM (
-      SELECT id * 3 AS page_id, 'https://en.wikipedia.org/wiki/' || id AS url, 1 AS row_no, customer_name, market_segment, balance, nation FROM ({_INFO})
-      UNION ALL BY NAME SELECT id * 3 + 1 AS page_id, 'https://shop.example.com/o/' || id AS url, 1 AS row_no, order_key, status, total__usd FROM ({_TABLE})
+      SELECT id * 3 AS page_id, 'https://en.wikipedia.org/wiki/' || id AS url, 1::BIGINT AS row_no, customer_name, market_segment, balance, nation FROM ({_INFO})
+      UNION ALL BY NAME SELECT id * 3 + 1 AS page_id, 'https://shop.example.com/o/' || id AS url, 1::BIGINT AS row_no, order_key, status, total__usd FROM ({_TABLE})
       UNION ALL BY NAME SELECT id * 3 + 2 AS page_id, 'https://shop.example.com/p/' || id AS url, row_no + 1 AS row_no, title, price, rating, description,
         url AS fields_url FROM ({_CARDS}))""",
     "classify_pages": f"""WITH t AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://netflix.com/' WHEN 1 THEN 'https://www.reddit.com/r/'

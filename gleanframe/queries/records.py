@@ -200,7 +200,7 @@ QUERIES = {
         load_texts(spark, sf, "documents"), ["text"]).select(F.md5("text").alias("digest"), "copies"),
     "duplicate_rows": lambda spark, sf: dedup.duplicate_rows(
         load_texts(spark, sf, "documents"), ["text"]).select("doc_id", "copies"),
-    "fingerprint": lambda spark, sf: dedup.fingerprint(load(spark, sf, "orders")),
+    "fingerprint": lambda spark, sf: dedup.fingerprint(load(spark, sf, "orders").drop("o_orderdate")),
 }
 
 _KINDS = strings(["array", "object"])
@@ -296,6 +296,8 @@ ORACLES = {
           SELECT 0 AS t, c_nationkey, c_mktsegment, c_custkey, NULL AS c_name FROM customer WHERE c_custkey % 2 = 0
           UNION ALL SELECT 1, c_nationkey, c_mktsegment, c_custkey, c_name FROM customer)) WHERE rn = 1""",
     "find_duplicates": "SELECT md5(text) AS digest, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1",
+    "fingerprint": """SELECT sum(('0x' || substring(md5(concat_ws(chr(31), o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+        o_orderpriority)), 1, 15))::BIGINT)::VARCHAR AS fingerprint, count(*) AS rows FROM orders""",
     "duplicate_rows": """SELECT doc_id, copies FROM (SELECT doc_id, count(*) OVER (PARTITION BY text) AS copies FROM documents)
       WHERE copies > 1""",
 }

@@ -234,3 +234,30 @@ ORACLES["text_profile"] = rf"""WITH kw AS ({ORACLES['keywords_per_document']}),
     se.polarity, se.label, se.sentence_count
   FROM documents d LEFT JOIN kw k ON k.doc_id = d.doc_id AND k.rank = 1 LEFT JOIN bg b ON b.doc_id = d.doc_id AND b.rank = 1
     LEFT JOIN tp t ON t.doc_id = d.doc_id AND t.rank = 1 LEFT JOIN se ON se.doc_id = d.doc_id"""
+
+# The fold of a text into chunks as a recursive query: one step per sentence.
+_FOLD = r"""WITH RECURSIVE {sentences}, numbered AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS i FROM sents),
+  fold AS (
+    SELECT doc_id, 0::BIGINT AS i, '' AS open, NULL::VARCHAR AS closed FROM documents WHERE length(text) > {size}
+    UNION ALL
+    SELECT f.doc_id, n.i,
+      CASE WHEN f.open <> '' AND length(f.open) + length(n.text) + 1 > {size} THEN right(f.open, {overlap}) || ' ' || n.text
+           ELSE trim(f.open || ' ' || n.text, E' \t\n\r') END,
+      CASE WHEN f.open <> '' AND length(f.open) + length(n.text) + 1 > {size} THEN trim(f.open, E' \t\n\r') END
+    FROM fold f JOIN numbered n ON n.doc_id = f.doc_id AND n.i = f.i + 1),
+  chunks AS (
+    SELECT doc_id, i, closed AS chunk FROM fold WHERE closed IS NOT NULL
+    UNION ALL SELECT doc_id, 1000000 + i, trim(open, E' \t\n\r') FROM fold f
+      WHERE i = (SELECT coalesce(max(n.i), 0) FROM numbered n WHERE n.doc_id = f.doc_id) AND trim(open, E' \t\n\r') <> ''
+    UNION ALL SELECT doc_id, 1, text FROM documents WHERE length(text) BETWEEN 1 AND {size})
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS chunk_num, count(*) OVER (PARTITION BY doc_id) AS total_chunks, chunk FROM chunks"""
+
+
+def _fold(size: int, overlap: int) -> str:
+    return _FOLD.format(sentences=_SENTENCES, size=size, overlap=overlap)
+
+
+ORACLES["chunk_sentences"] = _fold(600, 50)
+# The documents hold no blank line: a text is one paragraph, and an over-long one is split by sentence.
+ORACLES["chunk_paragraphs"] = _fold(1500, 100)
+ORACLES["chunk"] = _fold(6000, 200)

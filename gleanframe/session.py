@@ -66,3 +66,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="gleanframe-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    For an intermediate result that several jobs read: its lineage is run
+    once, and the copy outlives the executors that wrote it.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -47,6 +47,17 @@ def duck(sf_dir: str):
     return con
 
 
+SAME_TYPE = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def type_differences(df, description) -> list[str]:
+    theirs = {d[0]: str(d[1]) for d in description}
+    return [f"{n}: {t} / {theirs.get(n)}" for n, t in df.dtypes if SAME_TYPE.get(t) != theirs.get(n)]
+
+
 def compare(spark, con, sf_dir: str, name: str, query, sql: str | None) -> tuple[bool, str]:
     start = time.time()
     df = query(spark, sf_dir)
@@ -56,7 +67,8 @@ def compare(spark, con, sf_dir: str, name: str, query, sql: str | None) -> tuple
         return bool(rows), f"rows={len(rows)} spark={spent:.2f}s no sql"
     start = time.time()
     result = con.execute(sql)
-    names = [d[0] for d in result.description]
+    description = result.description
+    names = [d[0] for d in description]
     expected = result.fetchall()
     ducked = time.time() - start
     left, right = canonical(df.columns, rows), canonical(names, expected)
@@ -66,6 +78,9 @@ def compare(spark, con, sf_dir: str, name: str, query, sql: str | None) -> tuple
     if left[1] != right[1]:
         a, b = set(left[1]), set(right[1])
         return False, f"{note}\n   only spark: {sorted(a - b)[:3]}\n   only duck:  {sorted(b - a)[:3]}"
+    types = type_differences(df, description)
+    if types:
+        return False, f"{note} types {types}"
     return True, note if rows else note + " EMPTY"
 
 
