@@ -66,6 +66,10 @@ class _Builder(HTMLParser):
                 del self.open[i:]
                 return
 
+    def updatepos(self, i, j):
+        # Line numbers are not needed.
+        return j
+
     def handle_data(self, data):
         self.pending.append(data)
 

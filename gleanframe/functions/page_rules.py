@@ -34,7 +34,8 @@ SHORT_CONTENT = 50
 
 
 def _squeezed(text: str) -> str:
-    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text))
+    # Single spaces are left alone, which spares a replacement per word.
+    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}|\t", " ", text))
     return "\n".join(line.strip() for line in text.split("\n")).strip()
 
 

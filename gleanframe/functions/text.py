@@ -82,7 +82,8 @@ def _float_text(col: Column) -> Column:
     mantissa = F.regexp_replace(F.regexp_extract(text, r"^(.*)E", 1), r"\.0$", "")
     power = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
     sign = F.when(power < 0, "-").otherwise("+")
-    exponent = F.concat(F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    digits = F.abs(power).cast("string")
+    exponent = F.concat(F.lit("e"), sign, F.when(F.length(digits) < 2, "0").otherwise(""), digits)
     size = F.abs(col)
     return (
         F.when(F.isnan(col), "nan")

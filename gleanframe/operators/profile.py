@@ -185,14 +185,33 @@ def semantic_types(df: DataFrame) -> DataFrame:
 
 
 def correlations(df: DataFrame) -> dict[tuple[str, str], float | None]:
-    """Pearson correlation of every pair of numeric columns, null on a constant."""
+    """Pearson correlation of every pair of numeric columns, null on a constant.
+
+    Complete columns share their squared deviations from a mean taken in a
+    first pass, so a pair costs one sum. A pair with gaps is correlated over
+    the rows that have both values.
+    """
     names = numeric_columns(df)
-    values = {c: present(df, c) for c in names}
+    values = {c: present(df, c).cast("double") for c in names}
+    found = one_row(df, [F.count("*"), *[
+        x for v in values.values() for x in (F.count(v), F.avg(v), F.min(v), F.max(v))]])
+    stats = {c: found[1 + 4 * i: 5 + 4 * i] for i, c in enumerate(names)}
+    full = [c for c in names if stats[c][0] == found[0]]
+    varied = [c for c in full if stats[c][0] and stats[c][2] < stats[c][3]]
+    off = {c: values[c] - F.lit(stats[c][1]) for c in varied}
+    spread = dict(zip(varied, one_row(df, [F.sum(off[c] * off[c]) for c in varied])))
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    found: list = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        found += one_row(df, [pearson(values[a], values[b]) for a, b in pairs[start: start + PAIRS_PER_PASS]])
-    return dict(zip(pairs, found))
+    result: dict[tuple[str, str], float | None] = dict.fromkeys(pairs)
+    shared = [(a, b) for a, b in pairs if a in spread and b in spread]
+    gappy = [(a, b) for a, b in pairs if a not in full or b not in full]
+    for start in range(0, len(shared), PAIRS_PER_PASS):
+        part = shared[start: start + PAIRS_PER_PASS]
+        for (a, b), s in zip(part, one_row(df, [F.sum(off[a] * off[b]) for a, b in part])):
+            result[a, b] = max(-1.0, min(1.0, s / (spread[a] ** 0.5 * spread[b] ** 0.5)))
+    for start in range(0, len(gappy), PAIRS_PER_PASS):
+        part = gappy[start: start + PAIRS_PER_PASS]
+        result.update(zip(part, one_row(df, [pearson(values[a], values[b]) for a, b in part])))
+    return result
 
 
 def correlation_pairs(df: DataFrame) -> DataFrame:

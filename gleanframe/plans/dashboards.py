@@ -1,8 +1,8 @@
 """Chart bundles: which charts a table gets, and their rows.
 
 The column choice takes one profiling pass; charts are then lazy plans that
-read only their own columns. Nothing is cached here, as a table may be larger
-than the cluster's memory; a caller with a small table may persist it first.
+read only their own columns. Nothing is held in memory, as a table may be larger
+than the cluster's; a table whose texts had to be parsed is stored once.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.numeric import string_columns
 from ..operators import charts as C
 from ..operators.clean import coerce_numeric
-from ..operators.profile import distinct_counts, value_counts
+from ..operators.profile import value_counts
 from ..operators.reshape import drop_duplicate_columns
+from ..session import materialised
 
 # Fixed value: distinct values up to which a text column counts as a category.
 FEW_VALUES = 20
@@ -32,10 +33,8 @@ class Chart:
 def auto_charts(df: DataFrame) -> list[Chart]:
     """Three histograms, two value counts, a scatter, a heat map and a pie, as the columns allow."""
     choice = C.choose(df)
-    texts = string_columns(df)
-    unknown = [c for c in texts if c not in choice.distinct]
-    # Columns the choice did not count are well above the limit by estimate.
-    few = [c for c in texts if c not in unknown and choice.distinct[c] <= FEW_VALUES]
+    # Columns the choice did not count exactly are well above the limit by estimate.
+    few = [c for c in string_columns(df) if choice.distinct.get(c, FEW_VALUES + 1) <= FEW_VALUES]
     numeric = choice.numeric
     charts = [Chart("histogram", [c], C.histogram(df, c, C.COLUMN_BINS)) for c in numeric[:3]]
     charts += [Chart("bar", [c], value_counts(df, c)) for c in few[:2]]
@@ -67,7 +66,11 @@ def dashboard_data(df: DataFrame, style: C.Style = C.DASHBOARD, order_by: list[s
     Columns with one name are reduced to the first, texts that hold numbers
     become numeric, and panels whose columns are missing are left out.
     """
-    df = coerce_numeric(drop_duplicate_columns(df), order_by)
+    source = drop_duplicate_columns(df)
+    df = coerce_numeric(source, order_by)
+    if df.schema != source.schema:
+        # Parsing text into numbers costs more than reading numbers back for every panel.
+        df = materialised(df, "dashboard")
     choice = C.choose(df, style)
     numeric, measure, category, axis = choice.numeric, choice.best_numeric, choice.best_category, choice.axis
     panels = {"kpis": C.kpis(df, style, choice)}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import charts as C
 from ..operators import profile, topics, words
 from ..plans import dashboards, profiles
-from ..session import load, load_texts
+from ..session import load, load_spread
 from .profiles import ORDERS, orders
 from .sqltext import words as words_sql
 
@@ -30,7 +30,7 @@ def _choices(spark, sf):
 
 
 def _panels(spark, sf):
-    source = load(spark, sf, "orders").drop("o_orderdate")
+    source = load_spread(spark, sf, "orders").drop("o_orderdate")
     panels = dashboards.dashboard_data(
         source.withColumn(PRICE, F.concat(F.lit("$"), F.col(PRICE).cast("decimal(12,2)").cast("string"))), order_by=["o_orderkey"])
     return dashboards.chart_list([dashboards.Chart(name, [], data) for name, data in sorted(panels.items())]).drop("columns")
@@ -50,20 +50,20 @@ QUERIES = {
     "donut_counts": lambda spark, sf: C.donut(load(spark, sf, "part"), "p_type", None, C.REPORT),
     "stacked": lambda spark, sf: _rounded(C.stacked(orders(spark, sf), CATEGORY, MEASURES), *MEASURES),
     "summary_table": lambda spark, sf: _rounded(
-        C.summary_table(load(spark, sf, "lineitem"), "l_suppkey", ["l_extendedprice", "l_quantity"]), "l_extendedprice"),
+        C.summary_table(load_spread(spark, sf, "lineitem"), "l_suppkey", ["l_extendedprice", "l_quantity"]), "l_extendedprice"),
     "pie_with_other": lambda spark, sf: C.pie_with_other(load(spark, sf, "part"), "p_brand"),
     "histogram": lambda spark, sf: _rounded(C.histogram(orders(spark, sf), PRICE), "low", "high", digits=4),
     "histogram_marks": lambda spark, sf: _rounded(C.histogram_marks(orders(spark, sf), PRICE), "mean", "median", digits=4),
-    "kde": lambda spark, sf: _rounded(C.kde(load(spark, sf, "customer"), "c_acctbal"), "x", "y", digits=4),
+    "kde": lambda spark, sf: _rounded(C.kde(load_spread(spark, sf, "customer"), "c_acctbal"), "x", "y", digits=4),
     "waterfall": lambda spark, sf: _rounded(C.waterfall(load(spark, sf, "part"), "p_name", "p_retailprice"), "start", "end"),
     "funnel": lambda spark, sf: _rounded(C.funnel(orders(spark, sf), CATEGORY, PRICE), "share", digits=8),
-    "treemap": lambda spark, sf: _rounded(C.treemap(load(spark, sf, "customer"), "c_mktsegment", "c_acctbal"), "value"),
+    "treemap": lambda spark, sf: _rounded(C.treemap(load_spread(spark, sf, "customer"), "c_mktsegment", "c_acctbal"), "value"),
     "box": lambda spark, sf: _rounded(_box(spark, sf)[0], "q1", "median", "q3", digits=6),
     "box_outliers": lambda spark, sf: _box(spark, sf)[1],
     "scatter": lambda spark, sf: C.scatter(orders(spark, sf), PRICE, "o_custkey", "o_orderstatus", CATEGORY),
     "missing_chart": lambda spark, sf: C.missing_chart(profile.missing(orders(spark, sf))),
-    "keyword_chart": lambda spark, sf: C.keyword_chart(words.keywords(load_texts(spark, sf, "documents"), top_n=30)),
-    "topic_chart": lambda spark, sf: C.topic_chart(topics.topics(load_texts(spark, sf, "documents"))),
+    "keyword_chart": lambda spark, sf: C.keyword_chart(words.keywords(load_spread(spark, sf, "documents"), top_n=30)),
+    "topic_chart": lambda spark, sf: C.topic_chart(topics.topics(load_spread(spark, sf, "documents"))),
     "auto_charts": lambda spark, sf: dashboards.chart_list(dashboards.auto_charts(orders(spark, sf))),
     "dashboard_data": _panels,
     "analyze": lambda spark, sf: profiles.part_sizes(*profiles.analyze(orders(spark, sf), ["o_orderkey"])),
@@ -71,7 +71,7 @@ QUERIES = {
 
 
 def _box(spark, sf):
-    events = load(spark, sf, "events").select("event_type", (F.col("value") * F.col("value")).alias("squared"))
+    events = load_spread(spark, sf, "events").select("event_type", (F.col("value") * F.col("value")).alias("squared"))
     return C.box(events, "event_type", "squared")
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import pages
-from ..session import load_texts
+from ..session import load_spread
 
 
 def _pages(spark, sf):
-    return load_texts(spark, sf, "pages")
+    return load_spread(spark, sf, "pages")
 
 
 def _money(name):
@@ -26,7 +26,7 @@ def infobox_pages(spark, sf):
         row("Balance ($)", _money("c_acctbal")), F.lit("<tr><td>alone</td></tr>"),
         row("Nation", F.concat(F.lit("<b> N</b>"), F.col("c_nationkey").cast("string"))),
         F.lit("</table><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table></body>"))
-    return load_texts(spark, sf, "customer").select(
+    return load_spread(spark, sf, "customer").select(
         F.col("c_custkey").alias("page_id"),
         F.concat(F.lit("https://en.wikipedia.org/wiki/"), "c_custkey").alias("url"), html.alias("html"))
 
@@ -38,7 +38,7 @@ def table_pages(spark, sf):
         F.col("o_orderkey").cast("string"), F.lit("</td><td>"), F.col("o_orderstatus"), F.lit("</td><td>"),
         F.when(F.col("o_custkey") % 3 == 0, "").otherwise(F.lower("o_orderpriority")), F.lit("</td><td>"),
         _money("o_totalprice"), F.lit("</td></tr><tr><td>short</td></tr><tr><td> </td><td></td></tr></table>"))
-    return load_texts(spark, sf, "orders").select(
+    return load_spread(spark, sf, "orders").select(
         F.col("o_orderkey").alias("page_id"), F.concat(F.lit("https://shop.example.com/o/"), "o_orderkey").alias("url"),
         html.alias("html"))
 
@@ -52,7 +52,7 @@ def card_pages(spark, sf):
         F.lit("</i></p><a href='/p/"), F.col("p_partkey").cast("string"), F.lit("'>see</a></div>"),
         F.lit("<li class=listing><b class=Name>offer</b> now £ "), F.col("p_size").cast("string"),
         F.lit(",000 only<script>var x='$9'</script></li><div class=post>nothing</div></section>"))
-    return load_texts(spark, sf, "part").select(
+    return load_spread(spark, sf, "part").select(
         F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://shop.example.com/p/"), "p_partkey").alias("url"),
         html.alias("html"))
 
@@ -70,7 +70,7 @@ def meta_pages(spark, sf):
         F.lit("<meta name='description' content='"), F.col("p_type"), F.lit("'><meta property='og:title' content='"),
         F.col("p_brand"), F.lit("'/><meta name=keywords content='a, b'><link rel='next canonical' href='/c/"),
         F.col("p_partkey").cast("string"), F.lit("'></head><body><title>late</title>"))
-    return load_texts(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.lit("").alias("url"), html.alias("html"))
+    return load_spread(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.lit("").alias("url"), html.alias("html"))
 
 
 def _fields(df, *names):
@@ -83,7 +83,7 @@ def _typed_pages(spark, sf):
     n = F.col("page_id")
     host = F.get(F.array(*[F.lit(h) for h in (
         "https://netflix.com/", "https://www.reddit.com/r/", "https://en.wikipedia.org/", "http://m.bbc.co.uk/")]), (n % 5).cast("int"))
-    return load_texts(spark, sf, "pages").select(
+    return load_spread(spark, sf, "pages").select(
         "page_id", F.concat(F.coalesce(host, F.lit("")), F.when(host.isNull(), F.col("url")).otherwise("")).alias("url"),
         F.when(n % 10 == 4, F.concat("html", F.lit("<DIV class='a' ID=\"Root\">"))).otherwise(F.col("html")).alias("html"),
         F.when(n % 15 == 14, "application/JSON; charset=utf-8").otherwise("text/html").alias("content_type"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profile
-from ..session import load
+from ..session import load, load_spread
 from .sqltext import strings
 
 
 def orders(spark, sf):
     """Orders with gaps in two columns."""
-    return load(spark, sf, "orders").select(
+    return load_spread(spark, sf, "orders").select(
         "o_orderkey",
         "o_custkey",
         F.expr("nullif(o_orderstatus, 'P')").alias("o_orderstatus"),
@@ -27,7 +27,7 @@ ORDER_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
 
 
 def lines(spark, sf):
-    return load(spark, sf, "lineitem").select(
+    return load_spread(spark, sf, "lineitem").select(
         "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.lit(7.0).alias("constant"))
 
 
@@ -38,23 +38,23 @@ LINE_COLUMNS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "
 
 def flags(spark, sf):
     """Line items cut to a few columns, so that rows repeat."""
-    return load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount")
+    return load_spread(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount")
 
 
 FLAGS = "f AS (SELECT l_returnflag, l_linestatus, l_quantity, l_discount FROM lineitem)"
 
 QUERIES = {
-    "shape": lambda spark, sf: profile.shape(load(spark, sf, "lineitem")),
+    "shape": lambda spark, sf: profile.shape(load_spread(spark, sf, "lineitem")),
     "missing": lambda spark, sf: profile.missing(orders(spark, sf)),
     "numeric_stats": lambda spark, sf: profile.numeric_stats(orders(spark, sf)),
     "numeric_stats_lineitem": lambda spark, sf: profile.numeric_stats(lines(spark, sf)),
     "outliers_iqr": lambda spark, sf: profile.outliers_iqr(
-        load(spark, sf, "events").select((F.col("value") * F.col("value")).alias("squared"), "value")),
+        load_spread(spark, sf, "events").select((F.col("value") * F.col("value")).alias("squared"), "value")),
     "categorical_stats": lambda spark, sf: profile.categorical_stats(orders(spark, sf)),
     "categorical_stats_part": lambda spark, sf: profile.categorical_stats(load(spark, sf, "part")),
     "sample_rows": lambda spark, sf: profile.sample_rows(orders(spark, sf), ["o_orderkey"]),
     "semantic_types": lambda spark, sf: profile.semantic_types(load(spark, sf, "part")),
-    "dtypes": lambda spark, sf: profile.dtypes(load(spark, sf, "customer")),
+    "dtypes": lambda spark, sf: profile.dtypes(load_spread(spark, sf, "customer")),
     "correlation_pairs": lambda spark, sf: profile.correlation_pairs(lines(spark, sf)),
     "correlation_matrix": lambda spark, sf: profile.correlation_matrix(orders(spark, sf)).select(
         "col1", "col2", F.round("correlation", 6).alias("correlation")),
@@ -64,7 +64,7 @@ QUERIES = {
     "quick_stats": lambda spark, sf: profile.quick_stats(orders(spark, sf)),
     "value_counts": lambda spark, sf: profile.value_counts(load(spark, sf, "part"), "p_brand"),
     "group_sum_topk": lambda spark, sf: profile.group_sum_topk(
-        load(spark, sf, "lineitem"), "l_suppkey", ["l_quantity"], 20),
+        load_spread(spark, sf, "lineitem"), "l_suppkey", ["l_quantity"], 20),
 }
 
 

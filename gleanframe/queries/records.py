@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.patterns import WHITESPACE, WRAPPER_KEYS
 from ..operators import clean, dedup, reshape
-from ..session import load, load_texts, shared_dir
+from ..session import load, load_spread, shared_dir
 from ..sources import crawl_log, responses, tables
 from .sqltext import strings
 
@@ -19,7 +19,7 @@ TTL = 48 * 3600
 
 def _csv_round_trip(spark, sf):
     path = shared_dir(spark, "csv")
-    tables.write_csv(load(spark, sf, "customer"), path)
+    tables.write_csv(load_spread(spark, sf, "customer"), path)
     return tables.read_csv(spark, path)
 
 
@@ -31,7 +31,7 @@ def _csv_nested_round_trip(spark, sf):
 
 def _json_round_trip(spark, sf):
     path = shared_dir(spark, "json")
-    source = load(spark, sf, "orders").select(
+    source = load_spread(spark, sf, "orders").select(
         "o_orderkey", F.expr("nullif(o_orderstatus, 'P')").alias("o_orderstatus"), "o_totalprice")
     tables.write_json(source, path)
     return spark.read.schema(source.schema).json(path)
@@ -50,7 +50,7 @@ def _responses(spark, sf):
         F.lit("42"),
     ]
     picked = F.get(F.array(*shapes), (F.col("event_id") % len(shapes)).cast("int"))
-    return load(spark, sf, "events").select("event_id", picked.alias("raw"))
+    return load_spread(spark, sf, "events").select("event_id", picked.alias("raw"))
 
 
 def _parsed(spark, sf):
@@ -63,7 +63,7 @@ def _parsed(spark, sf):
 
 
 def _nested(spark, sf):
-    return load(spark, sf, "orders").select(
+    return load_spread(spark, sf, "orders").select(
         F.col("o_orderkey").alias("order_id"),
         F.struct(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("rank")).alias("customer"),
         F.array("o_orderstatus", F.substring("o_orderpriority", 1, 1)).alias("marks"),
@@ -71,7 +71,7 @@ def _nested(spark, sf):
 
 
 def _log(spark, sf):
-    return load(spark, sf, "events").select(
+    return load_spread(spark, sf, "events").select(
         F.col("user_id").alias("url"), "ts", "event_id", F.col("props").alias("payload"))
 
 
@@ -79,7 +79,7 @@ def _messy(spark, sf):
     """Orders as uneven records: lists, mappings, booleans, blanks and rare columns."""
     n = F.col("o_orderkey")
     some = lambda k, col: F.when(n % k == 0, col)
-    return load(spark, sf, "orders").select(
+    return load_spread(spark, sf, "orders").select(
         some(3, n).alias("id"),
         some(2, F.concat(F.lit("  "), "o_orderpriority", F.lit("\t"))).alias("priority"),
         F.when(n % 5 == 0, "").otherwise(F.expr("nullif(o_orderstatus, 'P')")).alias("status"),
@@ -94,7 +94,7 @@ def _messy(spark, sf):
 
 def _gappy(spark, sf):
     n = F.col("c_custkey")
-    return load(spark, sf, "customer").select(
+    return load_spread(spark, sf, "customer").select(
         "c_custkey",
         F.when(n % 4 != 0, F.concat(F.lit(" "), "c_name", F.lit("\n"))).alias("name"),
         F.when(n % 3 == 0, F.col("c_nationkey")).alias("nation"),
@@ -107,7 +107,7 @@ def _gappy(spark, sf):
 def _money_text(spark, sf):
     n = F.col("c_custkey")
     amount = F.col("c_acctbal").cast("decimal(12,2)").cast("string")
-    return load(spark, sf, "customer").select(
+    return load_spread(spark, sf, "customer").select(
         "c_custkey",
         F.when(n % 5 == 3, "n/a").otherwise(F.concat(F.lit("$ "), amount)).alias("mostly"),
         F.when(n % 2 == 0, "n/a").otherwise(F.concat(F.lit("$ "), amount)).alias("half"),
@@ -118,7 +118,7 @@ def _money_text(spark, sf):
 
 def _loose_money(spark, sf):
     v, i = F.col("value").cast("string"), F.col("event_id") % 7
-    return load(spark, sf, "events").select(
+    return load_spread(spark, sf, "events").select(
         "event_id",
         X.parse_money(
             F.when(i == 0, F.concat(F.lit("$"), v)).when(i == 1, F.concat(F.lit(" ₹1,"), v, F.lit("% ")))
@@ -129,7 +129,7 @@ def _loose_money(spark, sf):
 
 
 def _event_maps(spark, sf):
-    return load(spark, sf, "events").select(
+    return load_spread(spark, sf, "events").select(
         "event_id",
         F.map_concat(
             F.from_json("props", "map<string,string>"),
@@ -143,7 +143,7 @@ def _key_records(spark, sf):
     n = F.col("event_id")
     user = F.create_map(F.lit("user"), F.col("user_id").cast("string"))
     fields = F.when(n % 3 == 0, user).when(n % 3 == 1, F.create_map(F.lit("user"), F.lit(None).cast("string")))
-    return load(spark, sf, "events").select(
+    return load_spread(spark, sf, "events").select(
         "event_id",
         F.map_concat(F.coalesce(fields, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))),
                      F.create_map(F.lit("type"), "event_type")).alias("fields"),
@@ -168,7 +168,7 @@ QUERIES = {
     "drop_duplicate_columns": lambda spark, sf: reshape.drop_duplicate_columns(
         load(spark, sf, "nation").select("n_name", "n_nationkey", F.lower("n_name").alias("n_name"))),
     "normalize_column_names": lambda spark, sf: reshape.normalize_column_names(
-        load(spark, sf, "customer").select(
+        load_spread(spark, sf, "customer").select(
             F.col("c_custkey").alias("Customer Key"), F.col("c_name").alias("_NAME_"),
             F.col("c_acctbal").alias("Balance ($)"), F.col("c_mktsegment").alias("name"))),
     "normalize_names": lambda spark, sf: load(spark, sf, "part").select(
@@ -177,30 +177,30 @@ QUERIES = {
         load(spark, sf, "part").select(
             F.col("p_name").alias("name"), F.col("p_retailprice").cast("decimal(12,2)").alias("price"),
             F.col("p_type").alias("description"), "p_size"), "product"),
-    "valid_url": lambda spark, sf: load_texts(spark, sf, "pages").select(
+    "valid_url": lambda spark, sf: load_spread(spark, sf, "pages").select(
         "page_id", X.valid_url(F.col("url")).alias("plain"), X.valid_url(F.upper("url")).alias("upper"),
         X.valid_url(F.concat(F.lit(" "), "url")).alias("padded")),
     "widen": lambda spark, sf: reshape.widen(_event_maps(spark, sf)),
-    "domain": lambda spark, sf: load_texts(spark, sf, "pages").select(
+    "domain": lambda spark, sf: load_spread(spark, sf, "pages").select(
         "page_id", X.domain(F.col("url")).alias("domain"),
         X.domain(F.replace("url", F.lit("://"), F.lit("://WWW.we."))).alias("www"),
         X.domain(F.replace("url", F.lit(".com"), F.lit(".com:8080"))).alias("port")),
     "deduplicate": lambda spark, sf: dedup.deduplicate(
-        load_texts(spark, sf, "documents").select("text", "lang")).select(F.md5("text").alias("digest"), "lang"),
+        load_spread(spark, sf, "documents").select("text", "lang")).select(F.md5("text").alias("digest"), "lang"),
     "deduplicate_by_key": lambda spark, sf: dedup.deduplicate(
-        load_texts(spark, sf, "documents").select("doc_id", "text", "source"), ["text"], ["doc_id"]
+        load_spread(spark, sf, "documents").select("doc_id", "text", "source"), ["text"], ["doc_id"]
     ).select("doc_id", "source"),
     "deduplicate_records": lambda spark, sf: dedup.deduplicate_records(
         _key_records(spark, sf), "fields", ["user", "id"], ["event_id"]).select("event_id"),
     "merge_and_deduplicate": lambda spark, sf: dedup.merge_and_deduplicate(
-        load(spark, sf, "customer").where("c_custkey % 2 = 0").select("c_nationkey", "c_mktsegment", "c_custkey"),
-        load(spark, sf, "customer").select("c_nationkey", "c_mktsegment", "c_custkey", "c_name"),
+        load_spread(spark, sf, "customer").where("c_custkey % 2 = 0").select("c_nationkey", "c_mktsegment", "c_custkey"),
+        load_spread(spark, sf, "customer").select("c_nationkey", "c_mktsegment", "c_custkey", "c_name"),
         key_fields=["c_nationkey", "c_mktsegment"], order_by=["c_custkey"]),
     "find_duplicates": lambda spark, sf: dedup.find_duplicates(
-        load_texts(spark, sf, "documents"), ["text"]).select(F.md5("text").alias("digest"), "copies"),
+        load_spread(spark, sf, "documents"), ["text"]).select(F.md5("text").alias("digest"), "copies"),
     "duplicate_rows": lambda spark, sf: dedup.duplicate_rows(
-        load_texts(spark, sf, "documents"), ["text"]).select("doc_id", "copies"),
-    "fingerprint": lambda spark, sf: dedup.fingerprint(load(spark, sf, "orders").drop("o_orderdate")),
+        load_spread(spark, sf, "documents"), ["text"]).select("doc_id", "copies"),
+    "fingerprint": lambda spark, sf: dedup.fingerprint(load_spread(spark, sf, "orders").drop("o_orderdate")),
 }
 
 _KINDS = strings(["array", "object"])

@@ -8,12 +8,12 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import chunks, extracts, sentiment, topics, words
 from ..plans import texts
-from ..session import load, load_texts
+from ..session import load, load_spread
 from .sqltext import ASCII_DIGITS, ASCII_WORDS, TOKENS, half_up, words as words_sql
 
 
 def _docs(spark, sf):
-    return load_texts(spark, sf, "documents")
+    return load_spread(spark, sf, "documents")
 
 
 def lexicon(spark, sf):
@@ -45,7 +45,7 @@ QUERIES = {
     "keywords": lambda spark, sf: words.keywords(_docs(spark, sf)),
     "keywords_per_document": lambda spark, sf: words.keywords(_docs(spark, sf), top_n=25, key="doc_id"),
     "keywords_conversations": lambda spark, sf: words.keywords(
-        load_texts(spark, sf, "conversations"), top_n=20, min_length=4),
+        load_spread(spark, sf, "conversations"), top_n=20, min_length=4),
     "word_frequency": lambda spark, sf: words.word_frequency(_docs(spark, sf)),
     "bigrams": lambda spark, sf: words.bigrams(_docs(spark, sf)),
     "bigrams_per_document": lambda spark, sf: words.bigrams(_docs(spark, sf), key="doc_id"),
@@ -56,7 +56,7 @@ QUERIES = {
     "topics": lambda spark, sf: topics.topics(_docs(spark, sf)),
     "sentiment": lambda spark, sf: sentiment.sentiment(_docs(spark, sf), lexicon(spark, sf)),
     "sentiment_conversations": lambda spark, sf: sentiment.sentiment(
-        load_texts(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("k"), "text"),
+        load_spread(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("k"), "text"),
         lexicon(spark, sf), key="k").select("k.*", "polarity", "subjectivity", "label"),
     "sentiment_columns": lambda spark, sf: _scored_columns(spark, sf).drop("text", "opening"),
     "sentiment_summary": lambda spark, sf: sentiment.sentiment_summary(_scored_columns(spark, sf)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import changes
-from ..session import load
+from ..session import load_spread
 from ..streaming import watch
 
 RULES = [
@@ -22,7 +22,7 @@ def snapshots(spark, sf):
     """Per event type and day, one record per user."""
     total = F.sum(F.col("value").cast("decimal(18,2)"))
     return (
-        load(spark, sf, "events")
+        load_spread(spark, sf, "events")
         .groupBy("event_type", F.to_date("ts").alias("day"), "user_id")
         .agg(F.count("*").alias("n"), F.concat(F.lit("$"), total.cast("string")).alias("total"),
              F.max_by("props", F.struct("ts", "event_id")).alias("last"))
@@ -31,13 +31,13 @@ def snapshots(spark, sf):
 
 def _half(spark, sf, day: str):
     """Raw events up to a day, many rows per user, the latest row last."""
-    return load(spark, sf, "events").where(F.col("ts") < F.lit(day).cast("timestamp_ntz")).select(
+    return load_spread(spark, sf, "events").where(F.col("ts") < F.lit(day).cast("timestamp_ntz")).select(
         "user_id", "event_type", "value", "event_id")
 
 
 def _two(spark, sf):
     """The events of two overlapping spans, where the last event of a user wins."""
-    events = load(spark, sf, "events")
+    events = load_spread(spark, sf, "events")
     ts = F.col("ts")
     when = lambda a, b: events.where((ts >= F.lit(a).cast("timestamp_ntz")) & (ts < F.lit(b).cast("timestamp_ntz"))).select(
         "user_id", "event_type", "value", "event_id")

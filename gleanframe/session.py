@@ -40,11 +40,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def load_texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of long texts, dealt out to all cores when it is small.
+def load_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table dealt out to all cores when it is small.
 
-    Work per row is heavy there, and a small file has too few row groups to
-    keep the cores busy. Large tables are read as they lie, without a shuffle.
+    For heavy work per row: a small file has too few row groups to keep the
+    cores busy. Large tables are read as they lie, without a shuffle.
     """
     df = load(spark, sf_dir, table)
     try:

@@ -33,12 +33,20 @@ def parse_json_records(df: DataFrame, column: str = "raw", key: str = "id") -> D
         F.try_parse_json(_widest(F.col("text"), r"\[[\s\S]*\]")),
         F.try_parse_json(_widest(F.col("text"), r"\{[\s\S]*\}")),
     ))
-    as_list = F.try_variant_get("v", "$", "array<variant>")
-    as_object = F.try_variant_get("v", "$", "map<string,variant>")
-    wrapped = F.coalesce(*[F.try_variant_get("v", f"$.{k}", "array<variant>") for k in WRAPPER_KEYS])
-    items = F.coalesce(as_list, F.when(as_object.isNotNull(), F.coalesce(wrapped, F.array("v"))))
+    read = pinned(
+        parsed, key, "v",
+        as_list=F.try_variant_get("v", "$", "array<variant>"),
+        as_object=F.try_variant_get("v", "$", "map<string,variant>"),
+    )
+    # Most objects hold none of the wrapper keys and need no further look.
+    wrapped = F.coalesce(*[
+        F.try_variant_get(F.try_element_at("as_object", F.lit(k)), "$", "array<variant>") for k in WRAPPER_KEYS
+    ])
+    holds_key = F.arrays_overlap(F.map_keys("as_object"), F.array(*[F.lit(k) for k in WRAPPER_KEYS]))
+    own = F.array("v")
+    items = F.coalesce("as_list", F.when(holds_key, F.coalesce(wrapped, own)).when(~holds_key, own))
     return (
-        pinned(parsed, key, items=items)
+        pinned(read, key, items=items)
         .select(key, F.posexplode("items").alias("i", "record"))
         .where(F.try_variant_get("record", "$", "map<string,variant>").isNotNull())
         .select(key, (F.col("i") + 1).cast("long").alias("pos"), "record")
