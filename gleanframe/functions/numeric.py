@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-# Up to this many values per group the built-in percentile() holds the group in
-# one aggregation buffer; above it the bracket-and-refine way below is used.
-PERCENTILE_ROWS = 2_000_000
-SKETCH_ACCURACY = 100_000
+# Columns of up to this many values go through the built-in percentile(), which
+# holds a column's distinct values in one aggregation buffer.
+PERCENTILE_ROWS = 200_000
+# Values a larger column may have left between two bounds before they are sorted.
+LEFT_ROWS = 50_000
+SKETCH_ACCURACY = 10_000
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -66,17 +69,15 @@ def quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     max_rows: int = PERCENTILE_ROWS,
+    left_rows: int = LEFT_ROWS,
     accuracy: int = SKETCH_ACCURACY,
     sizes: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles of whole columns, by column name.
 
-    Three column-pruned passes at most. The first counts each column and, for
-    columns above ``max_rows``, sketches a value bracket around every quantile;
-    the second counts what lies below each bracket; the third counts the
-    distinct values inside them. Only those few values are ever sorted, so no
-    task holds a column. The driver sees one row per pass and two values per
-    quantile. ``sizes`` passes in non-null counts that are known already.
+    Columns above ``max_rows`` values are narrowed down from both sides, see
+    ``_ranked``, so that no task ever holds a column. ``sizes`` passes in
+    non-null counts that are known already.
     """
     columns = list(columns)
     if not columns:
@@ -91,71 +92,86 @@ def quantiles(
     if small:
         row = df.agg(*[F.percentile(values[c], list(probs)).alias(f"p{i}") for i, c in enumerate(small)]).first()
         found.update({c: list(row[i]) for i, c in enumerate(small)})
-    if large:
-        found.update(_refined_quantiles(df, {c: values[c] for c in large}, sizes, list(probs), accuracy))
+    spots = {(c, p): p * (sizes[c] - 1) for c in large for p in probs}
+    wanted = sorted({(c, k) for (c, _), spot in spots.items() for k in (math.floor(spot), math.ceil(spot))})
+    ranked = _ranked(df, values, {t: sizes[t[0]] for t in wanted}, left_rows, accuracy)
+    for c in large:
+        for i, p in enumerate(probs):
+            spot = spots[c, p]
+            low, high = ranked[c, math.floor(spot)], ranked[c, math.ceil(spot)]
+            found[c][i] = low if low == high else low + (high - low) * (spot - math.floor(spot))
     return found
 
 
-def _refined_quantiles(
-    df: DataFrame, values: dict[str, Column], sizes: dict[str, int], probs: list[float], accuracy: int
-) -> dict[str, list[float]]:
-    margin = 2.0 / accuracy
-    names = list(values)
-    ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)]
-    sketch = df.agg(
-        *[F.percentile_approx(values[c], ends, accuracy).alias(f"s{i}") for i, c in enumerate(names)],
-        *[F.min(values[c]).alias(f"lo{i}") for i, c in enumerate(names)],
-        *[F.max(values[c]).alias(f"hi{i}") for i, c in enumerate(names)],
-    ).first()
-    targets = []
-    for i, c in enumerate(names):
-        # The sketch is off by at most n/accuracy ranks; below ten ranks of
-        # slack the margin would not cover the rounding, so take everything.
-        wide = sizes[c] < 10 * accuracy
-        for j, p in enumerate(probs):
-            low, high = sketch[f"s{i}"][2 * j], sketch[f"s{i}"][2 * j + 1]
-            if wide:
-                low, high = sketch[f"lo{i}"], sketch[f"hi{i}"]
-            targets.append((c, j, p, low, high))
-    below = df.agg(
-        *[F.count(F.when(values[c] < low, 1)).alias(f"b{k}") for k, (c, _, _, low, _) in enumerate(targets)]
-    ).first()
-    inside = F.array(
-        *[
-            F.when(
-                values[c].between(low, high),
-                F.struct(F.lit(k).alias("target"), values[c].alias("value")),
-            )
-            for k, (c, _, _, low, high) in enumerate(targets)
-        ]
-    )
-    ranks = F.lit(None).cast("double")
-    offset = F.lit(None).cast("long")
-    for k, (c, _, p, _, _) in enumerate(targets):
-        ranks = F.when(F.col("target") == k, F.lit(p * (sizes[c] - 1))).otherwise(ranks)
-        offset = F.when(F.col("target") == k, F.lit(below[k])).otherwise(offset)
-    seen = Window.partitionBy("target").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.col("offset") + F.sum("n").over(seen)
-    first = last - F.col("n")
-    picked = (
-        df.select(F.explode(F.filter(inside, lambda s: s.isNotNull())).alias("s"))
-        .select("s.target", "s.value")
-        .groupBy("target", "value")
-        .agg(F.count("*").alias("n"))
-        .withColumn("offset", offset)
-        .withColumn("rank", ranks)
-        .withColumn("last", last)
-        .withColumn("first", first)
-        .groupBy("target")
-        .agg(
-            F.max(F.when((F.col("first") <= F.floor("rank")) & (F.floor("rank") < F.col("last")), F.col("value"))).alias("a"),
-            F.max(F.when((F.col("first") <= F.ceil("rank")) & (F.ceil("rank") < F.col("last")), F.col("value"))).alias("b"),
-        )
-        .collect()
-    )
-    found: dict[str, list[float]] = {c: [None] * len(probs) for c in names}
-    for row in picked:
-        c, j, p, _, _ = targets[row["target"]]
-        rank = p * (sizes[c] - 1)
-        found[c][j] = row["a"] + (row["b"] - row["a"]) * (rank - int(rank))
-    return found
+@dataclass
+class _Search:
+    """Where the value of one rank lies: strictly between two bounds, ``rank`` values above the lower."""
+
+    column: str
+    rank: int
+    left: int
+    low: float | None = None
+    high: float | None = None
+    value: float | None = None
+
+    def within(self, value: Column) -> Column:
+        inside = value.isNotNull()
+        if self.low is not None:
+            inside = inside & (value > self.low)
+        if self.high is not None:
+            inside = inside & (value < self.high)
+        return inside
+
+
+def _ranked(
+    df: DataFrame, values: dict[str, Column], targets: dict[tuple[str, int], int], left_rows: int, accuracy: int
+) -> dict[tuple[str, int], float]:
+    """Values at 0-based ranks of columns; ``targets`` maps ``(column, rank)`` to the column's size.
+
+    Each round sketches two values around every rank and counts exactly what
+    lies below, between and above them, which settles the rank or narrows its
+    bounds by about the sketch's accuracy. The counts alone decide, so the
+    result does not depend on how good the sketch is. A round is two
+    column-pruned aggregates of one row, whatever the table's size: one round
+    is enough up to 1e8 values, two up to 1e12.
+    """
+    searches = {t: _Search(*t, left=size) for t, size in targets.items()}
+    while True:
+        wide = [s for s in searches.values() if s.value is None and s.left > left_rows]
+        if not wide:
+            break
+        margin = 2.0 / accuracy
+        sketches = df.agg(*[
+            F.percentile_approx(
+                F.when(s.within(values[s.column]), values[s.column]),
+                [max(0.0, s.rank / s.left - margin), min(1.0, (s.rank + 1) / s.left + margin)], accuracy,
+            ).alias(f"s{i}")
+            for i, s in enumerate(wide)
+        ]).first()
+        tests = []
+        for s, (a, b) in zip(wide, sketches):
+            v, inside = values[s.column], s.within(values[s.column])
+            tests += [inside & (v < a), inside & (v == a), inside & (v > a) & (v < b), inside & (v == b) & (v > a)]
+        counts = df.agg(*[F.count_if(t).alias(f"n{i}") for i, t in enumerate(tests)]).first()
+        for i, (s, (a, b)) in enumerate(zip(wide, sketches)):
+            below, at_a, between, at_b = counts[4 * i: 4 * i + 4]
+            if s.rank < below:
+                s.high, s.left = a, below
+            elif s.rank < below + at_a:
+                s.value = a
+            elif s.rank < below + at_a + between:
+                s.rank, s.left, s.low, s.high = s.rank - below - at_a, between, a, b
+            elif s.rank < below + at_a + between + at_b:
+                s.value = b
+            else:
+                passed = below + at_a + between + at_b
+                s.rank, s.left, s.low = s.rank - passed, s.left - passed, b
+    rest = [s for s in searches.values() if s.value is None]
+    if rest:
+        picked = df.agg(*[
+            F.get(F.array_sort(F.collect_list(F.when(s.within(values[s.column]), values[s.column]))), F.lit(s.rank)).alias(f"v{i}")
+            for i, s in enumerate(rest)
+        ]).first()
+        for s, value in zip(rest, picked):
+            s.value = value
+    return {t: s.value for t, s in searches.items()}

@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import changes as C
@@ -79,11 +80,13 @@ class SnapshotWatch:
         index = spark.read.parquet(f"{self.path}/index/batch_id={last}")
         index = index.select(self.source, "held_by")
         wanted = index.join(rows.select(self.source).distinct(), self.source, "left_semi")
-        # Partition pruning reads only the batches that hold a wanted snapshot.
-        held = (
-            spark.read.option("basePath", f"{self.path}/snapshots").parquet(f"{self.path}/snapshots")
-            .withColumnRenamed("batch_id", "held_by").withColumn("held_by", F.col("held_by").cast("long"))
-        )
+        # Only the folders that hold a wanted snapshot are listed and read.
+        holders = [r["held_by"] for r in wanted.select("held_by").distinct().collect()]
+        if not holders:
+            return None, index
+        schema = T.StructType([*rows.schema.fields, T.StructField("batch_id", T.LongType())])
+        held = spark.read.schema(schema).option("basePath", f"{self.path}/snapshots").parquet(
+            *[f"{self.path}/snapshots/batch_id={b}" for b in holders]).withColumnRenamed("batch_id", "held_by")
         return held.join(wanted, [self.source, "held_by"], "left_semi").select(*self.columns), index
 
     def _last_index(self, spark: SparkSession, batch_id: int) -> int | None:
