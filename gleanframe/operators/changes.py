@@ -236,14 +236,15 @@ def _bucket(df: DataFrame, snapshot: str) -> Column:
 
 
 def number_snapshots(df: DataFrame, source: str, snapshot: str) -> DataFrame:
-    """``source, snapshot, n, last_n``: snapshots of a source numbered from 1.
+    """``source, snapshot, n, last_n``: snapshots of a source numbered from 1; rows without either have none.
 
     Ranked inside buckets first, then bucket totals are accumulated, so that a
     source with most of the snapshots is not ranked by one task.
     """
-    distinct = df.groupBy(F.col(quoted(source)).alias(source), F.col(quoted(snapshot)).alias(snapshot)).agg(
-        F.count("*").alias("rows"))
-    listed = distinct.select(source, snapshot, _bucket(distinct, snapshot).alias("__b"))
+    distinct = df.select(F.col(quoted(source)).alias(source), F.col(quoted(snapshot)).alias(snapshot)).distinct()
+    listed = distinct.withColumn("__b", _bucket(distinct, snapshot))
+    # Stated here, the filter is the same below both uses of the list, and its exchange is made once.
+    listed = listed.where(F.col(source).isNotNull() & F.col(snapshot).isNotNull() & F.col("__b").isNotNull())
     sizes = listed.groupBy(source, "__b").agg(F.count("*").alias("__size"))
     before = Window.partitionBy(source).orderBy("__b")
     offsets = sizes.select(
