@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Columns of up to this many values go through the built-in percentile(), which
-# holds a column's distinct values in one aggregation buffer.
-PERCENTILE_ROWS = 200_000
+# holds a column's distinct values in one aggregation buffer; and the values of
+# all columns that one aggregate may hold.
+PERCENTILE_ROWS = 1_000_000
+PERCENTILE_TOTAL = 5_000_000
 # Values a larger column may have left between two bounds before they are sorted.
 LEFT_ROWS = 50_000
 SKETCH_ACCURACY = 10_000
@@ -89,20 +91,38 @@ def quantiles(
     small = [c for c in columns if 0 < sizes[c] <= max_rows]
     large = [c for c in columns if sizes[c] > max_rows]
     found: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
-    if small:
-        row = df.agg(*[F.percentile(values[c], list(probs)).alias(f"p{i}") for i, c in enumerate(small)]).first()
-        found.update({c: list(row[i]) for i, c in enumerate(small)})
-    spots = {(c, p): p * (sizes[c] - 1) for c in large for p in probs}
-    wanted = sorted({(c, k) for (c, _), spot in spots.items() for k in (math.floor(spot), math.ceil(spot))})
-    ranked = _ranked(df, values, {t: sizes[t[0]] for t in wanted}, left_rows, accuracy)
-    for c in large:
-        for i, p in enumerate(probs):
-            spot = spots[c, p]
-            low, high = ranked[c, math.floor(spot)], ranked[c, math.ceil(spot)]
-            found[c][i] = low if low == high else low + (high - low) * (spot - math.floor(spot))
+    while small:
+        batch, held = [], 0
+        while small and (not batch or held + sizes[small[0]] <= PERCENTILE_TOTAL):
+            held += sizes[small[0]]
+            batch.append(small.pop(0))
+        row = df.agg(*[F.percentile(values[c], list(probs)).alias(f"p{i}") for i, c in enumerate(batch)]).first()
+        found.update({c: list(row[i]) for i, c in enumerate(batch)})
+    if large:
+        spots = {(c, p): p * (sizes[c] - 1) for c in large for p in probs}
+        floors = sorted({(c, math.floor(spot)) for (c, _), spot in spots.items()})
+        ranked = _ranked(df, values, {t: sizes[t[0]] for t in floors}, left_rows, accuracy)
+        following = _next_values(df, values, ranked)
+        for (c, p), spot in spots.items():
+            at = (c, math.floor(spot))
+            low, part = ranked[at], spot - math.floor(spot)
+            found[c][list(probs).index(p)] = low if not part or following[at] == low else low + (following[at] - low) * part
     return found
 
 
+def _next_values(
+    df: DataFrame, values: dict[str, Column], ranked: dict[tuple[str, int], float]
+) -> dict[tuple[str, int], float | None]:
+    """The value one rank above each of the ranks: the same one if it repeats, else the next larger."""
+    row = df.agg(*[
+        x for i, ((c, _), at) in enumerate(ranked.items())
+        for x in (F.count_if(values[c] <= at).alias(f"n{i}"), F.min(F.when(values[c] > at, values[c])).alias(f"m{i}"))
+    ]).first()
+    return {
+        (c, k): at if row[2 * i] > k + 1 else row[2 * i + 1] for i, ((c, k), at) in enumerate(ranked.items())
+    }
+
+
 @dataclass
 class _Search:
     """Where the value of one rank lies: strictly between two bounds, ``rank`` values above the lower."""

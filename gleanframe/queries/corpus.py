@@ -113,8 +113,9 @@ _WS = r"E' \t\n\r'"
 
 
 def _plain(text: str) -> str:
-    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        text = f"replace({text}, '{entity}', '{char}')"
+    # A reference may lack its semicolon where a title was cut.
+    for entity, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        text = f"regexp_replace({text}, '&{entity};?', '{char}', 'g')"
     return text
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import changes
 from ..session import load_spread
 from ..streaming import watch
+from .sqltext import half_up
 
 RULES = [
     {"field": "total", "condition": "above", "threshold": 60.0, "label": "large total"},
@@ -29,12 +30,6 @@ def snapshots(spark, sf):
     )
 
 
-def _half(spark, sf, day: str):
-    """Raw events up to a day, many rows per user, the latest row last."""
-    return load_spread(spark, sf, "events").where(F.col("ts") < F.lit(day).cast("timestamp_ntz")).select(
-        "user_id", "event_type", "value", "event_id")
-
-
 def _two(spark, sf):
     """The events of two overlapping spans, where the last event of a user wins."""
     events = load_spread(spark, sf, "events")
@@ -88,8 +83,8 @@ _SNAPSHOTS = """s AS (SELECT event_type, ts::DATE AS day, user_id, count(*) AS n
 
 
 def _changes(rows: str, by: str) -> str:
-    return f"""SELECT {by} field, previous, current, round(c - p, 4) AS diff,
-      CASE WHEN p IS NULL OR c IS NULL THEN NULL WHEN p = 0 THEN 0.0 ELSE round((c - p) / p * 100, 2) END::DOUBLE AS pct_change,
+    return f"""SELECT {by} field, previous, current, {half_up("c - p", 4)} AS diff,
+      CASE WHEN p IS NULL OR c IS NULL THEN NULL WHEN p = 0 THEN 0.0 ELSE {half_up("(c - p) / p * 100", 2)} END::DOUBLE AS pct_change,
       CASE WHEN p IS NULL OR c IS NULL THEN 'changed' WHEN c > p THEN 'up' ELSE 'down' END AS direction
     FROM (SELECT *, try_cast(translate(previous, ',$£₹%', '') AS DOUBLE) AS p,
                     try_cast(translate(current, ',$£₹%', '') AS DOUBLE) AS c FROM {rows})"""
