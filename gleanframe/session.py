@@ -59,11 +59,16 @@ def load_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    Every executor has to reach it, so the cluster's setting wins; a local
-    temporary folder is used only where the setting is absent (tests).
+    Every executor has to reach it. Where the setting is absent, a temporary
+    folder is taken if driver and tasks share one machine (tests); a cluster
+    without the setting raises, as its executors would each write to their own
+    disk and a later read would miss rows.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="gleanframe-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

@@ -7,9 +7,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, duck
+from gleanframe.queries import oracle_sql, queries
 
 SF_DIR = "/root/testdata/sf0.001"
-NAMES = list(entry.queries())
+NAMES = list(queries())
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +25,7 @@ def test_matches_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(NAMES)
+    assert set(oracle_sql()) == set(NAMES)
 
 
 def test_entry(spark):
