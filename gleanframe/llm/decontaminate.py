@@ -140,7 +140,7 @@ def longest(windows: Windows, asked: np.ndarray, at: np.ndarray, row: np.ndarray
     new[1:] = ((row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1)
                | (at[1:] != at[:-1] + 1))
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(order)) - 1
+    last = np.append(first[1:], len(order))[: len(first)] - 1
     return row[first], item[first], place[first], at[first], place[last] - place[first] + length[last]
 
 
