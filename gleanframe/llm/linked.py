@@ -54,3 +54,19 @@ def block_pairs(members: DataFrame, key: list[str], size: Column, member: str, r
         "block", F.pmod(F.xxhash64(F.col(member), *key), F.col("_n")).cast("int"))
     return (dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
             .withColumn("lo", F.least("block", "_o")).withColumn("hi", F.greatest("block", "_o")).drop("_n", "_o"))
+
+
+def classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``sig, root, lowest, n_links`` of ``members(sig, copies, id)`` and ``links(sig, root, links)``.
+
+    ``links`` may name a member several times; its counts add up. ``lowest`` is
+    the smallest id of the connected part (null only if it has none), and
+    ``n_links`` counts a member's other copies and what it is linked to.
+    """
+    counts = links.groupBy("sig").agg(F.sum("links").alias("links"))
+    parts = components(links.select(F.col("sig").alias("a"), F.col("root").alias("b")))
+    placed = members.join(parts.withColumnRenamed("node", "sig"), "sig", "left").join(counts, "sig", "left").select(
+        "sig", "copies", "id", F.coalesce("root", "sig").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    lowest = placed.groupBy("root").agg(F.min("id").alias("lowest"))
+    return placed.join(lowest, "root").select(
+        "sig", "root", "lowest", (F.col("copies") - 1 + F.col("links")).alias("n_links"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialised
 from . import kernels as K
-from .linked import block_pairs, components
+from .linked import block_pairs, classes
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -105,11 +105,11 @@ def _prepare(width: int, bands: int, rows: int, keep_sets: bool) -> K.Kernel:
     return run
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().reshape(-1, width)
 
 
-def _first_shared(bands: np.ndarray, sides: np.ndarray, bucket: int, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+def first_shared(bands: np.ndarray, sides: np.ndarray, bucket: int, cross: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of the block pair whose first shared band is this bucket."""
     left = np.flatnonzero(sides == 0) if cross else np.arange(len(bands))
     right = np.flatnonzero(sides == 1) if cross else left
@@ -137,7 +137,7 @@ def _needed(width: int) -> K.Kernel:
                 continue
             lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
             sides = (group.column("block").to_numpy() != lo).astype(np.int8)
-            a, b = _first_shared(_matrix(group.column("bands"), width), sides, group.column("bucket")[0].as_py(), lo != hi)
+            a, b = first_shared(matrix(group.column("bands"), width), sides, group.column("bucket")[0].as_py(), lo != hi)
             if len(a):
                 out.append(group.take(pa.array(np.union1d(a, b))).drop_columns(["bands"]))
             if sum(t.num_rows for t in out[-64:]) > 4096 or len(out) >= 512:
@@ -186,7 +186,7 @@ def _verify(width: int, threshold: float) -> K.Kernel:
         for group in K.groups(batches, ["bucket", "lo", "hi"]):
             lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
             sides = (group.column("block").to_numpy() != lo).astype(np.int8)
-            a, b = _first_shared(_matrix(group.column("bands"), width), sides, group.column("bucket")[0].as_py(), lo != hi)
+            a, b = first_shared(matrix(group.column("bands"), width), sides, group.column("bucket")[0].as_py(), lo != hi)
             own = group.column("sig").to_pylist()
             copies = group.column("copies").to_numpy()
             lists = group.column("grams").combine_chunks()
@@ -266,12 +266,7 @@ def near_classes(docs: DataFrame, width: int = WORDS, threshold: float = THRESHO
         _verify(bands, threshold), "sig binary, root binary, links long")
     verified = materialised(verified, "links")
 
-    linked = verified.groupBy("sig").agg(F.sum("links").alias("links"))
-    parts = components(verified.select(F.col("sig").alias("a"), F.col("root").alias("b")))
-    classes = members.join(parts.withColumnRenamed("node", "sig"), "sig", "left").join(linked, "sig", "left").select(
-        "sig", "copies", "doc_id", F.coalesce("root", "sig").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    lowest = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    result = classes.join(lowest, "root").select("sig", "root", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
+    result = classes(members.select("sig", "copies", F.col("doc_id").alias("id")), verified).withColumnRenamed("lowest", "class_id")
     ids = signed.select("doc_id", "k1", "k2", "sig")
     return ids.join(result, "sig", "left").select(
         "doc_id", "k1", "k2", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),

@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ...session import load
 from ..ngram_join import near_classes
+from ..vector_copies import close_vectors
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join}
+def op10_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return close_vectors(load(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op10_vector_copies": op10_vector_copies}
 
 ORACLES = {
     "op1_ngram_join": r"""
@@ -27,4 +32,14 @@ reach AS (SELECT rid AS a, rid AS b FROM docs UNION SELECT reach.a, links.b FROM
 SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links
 FROM docs JOIN (SELECT reach.a AS rid, min(d.doc_id) AS class_id FROM reach JOIN docs d ON d.rid = reach.b GROUP BY 1) USING (rid)
 LEFT JOIN (SELECT a AS rid, count(*) AS n FROM links GROUP BY 1) USING (rid)""",
+    "op10_vector_copies": """
+WITH RECURSIVE vecs AS (SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+usable AS (SELECT * FROM vecs WHERE label IS NOT NULL AND len(v) > 0 AND list_count(v) = len(v)
+           AND len(list_filter(v, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.rid AS a, b.rid AS b FROM usable a JOIN usable b
+          ON a.label = b.label AND a.rid <> b.rid AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT rid AS a, rid AS b FROM vecs UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+lowest AS (SELECT reach.a AS rid, min(v.vec_id) AS component_id FROM reach JOIN vecs v ON v.rid = reach.b GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM vecs JOIN lowest USING (rid) LEFT JOIN (SELECT a AS rid, count(*) AS n FROM links GROUP BY 1) USING (rid)""",
 }
