@@ -93,14 +93,22 @@ class Hasher:
             self.up, self.down = up, down
         return self.up, self.down
 
-    def runs(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        up, down = self.powers(len(values) + 1)
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        up, _ = self.powers(len(values) + 1)
+        sums = np.zeros(len(values) + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(values) + 1, dtype=np.uint64)
             np.cumsum(values * up[: len(values)], out=sums[1:])
+        return sums
+
+    def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        _, down = self.powers(len(sums))
+        with np.errstate(over="ignore"):
             raw = (sums[ends] - sums[starts]) * down[starts]
             return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(_FACTOR))
 
+    def runs(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.spans(self.sums(values), starts, ends)
+
     def words(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: np.ndarray | None = None):
         """Word hashes, word starts and ends (bytes), and each row's first word, with the end as last entry."""
         starts, ends, firsts = word_bounds(data, offsets, table)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["layout", "leaks", "copies"]
+MODULES = ["layout", "leaks", "copies", "classes"]
 
 
 def _merged(attribute: str) -> dict:
