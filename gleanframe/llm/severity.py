@@ -28,8 +28,8 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 LEAST_ROWS = 4
 ERRORS = 4.0
 HELD_OUT = 0.2
-# Rows that share so many of their smallest feature hashes count as copies of one text.
-SKETCH, SHARED = 8, 6
+# Rows that share so many of the smallest hashes of their features that are in few rows count as copies of one text.
+SKETCH, SHARED, RARE = 8, 5, 0.02
 
 
 @dataclass(frozen=True)
@@ -103,15 +103,17 @@ def _selected(grade: np.ndarray, owner: np.ndarray, word: np.ndarray, features:
 
 
 def _distinct_rows(sets: list[np.ndarray]) -> list[int]:
-    """Rows that are no near copy of an earlier one, by the smallest hashes they share."""
+    """Rows that are no near copy of an earlier one, by the smallest hashes they share of features that few rows have."""
+    known, at, rows_with = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rare = np.split(rows_with[at] <= max(2, RARE * len(sets)), np.cumsum([len(s) for s in sets])[:-1])
     kept, holders = [], {}
-    for i, own in enumerate(sets):
-        sketch = own[:SKETCH].tolist()
+    for i, (own, few) in enumerate(zip(sets, rare)):
+        sketch = own[few][:SKETCH].tolist()
         met: dict[int, int] = {}
         for value in sketch:
             for other in holders.get(value, ()):
                 met[other] = met.get(other, 0) + 1
-        if len(sketch) < SKETCH or max(met.values(), default=0) < SHARED:
+        if max(met.values(), default=0) < SHARED:
             kept.append(i)
             for value in sketch:
                 holders.setdefault(value, []).append(i)
@@ -169,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", rows_per_grade
     with the smallest hashes, weighted back to their true shares. An id with
     several labels has the highest; null ids and grades are left out. Labels
     that only know 0 and 1 give a third grade if ``split_top``: labelled texts
-    whose share of telling features is at or above the median of the bad ones.
+    with more telling features than the median of the bad ones.
     Without labels of two grades, every text is of grade 0.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(grade).cast("int").alias("grade")).where(
@@ -198,8 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", rows_per_grade
     sets = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
     rows = _distinct_rows(sets)
     y = table.column("grade").to_numpy().astype(np.int64)[rows]
-    sizes = np.array([len(sets[i]) for i in rows])
-    owner, word = np.repeat(np.arange(len(y)), sizes), np.concatenate([sets[i] for i in rows])
+    owner, word = np.repeat(np.arange(len(y)), [len(sets[i]) for i in rows]), np.concatenate([sets[i] for i in rows])
     held = np.random.default_rng(5).random(len(y)) < HELD_OUT
     learn = ~held[owner]
     words = _selected(y[~held], (np.cumsum(~held) - 1)[owner[learn]], word[learn], features)
@@ -213,8 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", rows_per_grade
     weight = shares[y] / shares[y].mean()
     if split_top and y.max() == 1:
         telling = x[y == 1].mean(axis=0) > x[y == 0].mean(axis=0)
-        rate = x[:, telling].sum(axis=1) / np.maximum(sizes, 1)
-        y = y + ((y == 1) & (rate >= np.median(rate[y == 1])))
+        number = x[:, telling].sum(axis=1)
+        y = y + ((y == 1) & (number > np.median(number[y == 1])))
     weights, cuts = _descend(x[~held], y[~held], weight[~held], int(y.max()))
     model = SeverityModel(words, weights, cuts, 0.5)
     if held.any():
