@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["layout", "leaks", "copies", "classes"]
+MODULES = ["layout", "leaks", "copies", "classes", "exposure"]
 
 
 def _merged(attribute: str) -> dict:
