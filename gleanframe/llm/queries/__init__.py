@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+import corpus_pipeline
+
 MODULES = ["layout", "leaks", "copies", "classes", "exposure"]
 
 
@@ -14,5 +16,7 @@ def _merged(attribute: str) -> dict:
     return merged
 
 
-QUERIES = _merged("QUERIES")
+QUERIES = {**_merged("QUERIES"), "pipeline": corpus_pipeline.run}
 ORACLES = _merged("ORACLES")
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
