@@ -20,17 +20,18 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours to its smallest one, then all smaller ones. A round is written
     to the shared folder, so its lineage is short and survives lost executors;
     the driver sees a count and a checksum per round. A hub's rows are combined
-    before the shuffle or split by the skew join. No edges: no rows.
+    before the shuffle or split by the skew join, which needs both of its sides
+    read from tables, not grouped in the same stage. No edges: no rows.
     """
     edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialised(edges, "edges")
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        grown = (both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .where("a != b").distinct())
-        low = grown.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialised(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        grown = materialised(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                             .where("a != b").distinct(), "grown")
+        low = materialised(grown.groupBy("a").agg(F.min("b").alias("m")), "least")
         flat = (grown.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                 .unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct())
         edges = materialised(flat, "edges")
@@ -63,10 +64,12 @@ def classes(members: DataFrame, links: DataFrame) -> DataFrame:
     the smallest id of the connected part (null only if it has none), and
     ``n_links`` counts a member's other copies and what it is linked to.
     """
-    counts = links.groupBy("sig").agg(F.sum("links").alias("links"))
+    counts = materialised(links.groupBy("sig").agg(F.sum("links").alias("links")), "counts")
     parts = components(links.select(F.col("sig").alias("a"), F.col("root").alias("b")))
     placed = members.join(parts.withColumnRenamed("node", "sig"), "sig", "left").join(counts, "sig", "left").select(
         "sig", "copies", "id", F.coalesce("root", "sig").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    lowest = placed.groupBy("root").agg(F.min("id").alias("lowest"))
+    # Written, so that a large part's rows are split in the joins.
+    placed = materialised(placed, "parts")
+    lowest = materialised(placed.groupBy("root").agg(F.min("id").alias("lowest")), "lowest")
     return placed.join(lowest, "root").select(
         "sig", "root", "lowest", (F.col("copies") - 1 + F.col("links")).alias("n_links"))

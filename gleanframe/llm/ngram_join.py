@@ -246,11 +246,12 @@ def near_classes(docs: DataFrame, width: int = WORDS, threshold: float = THRESHO
         F.first("bands").alias("bands"))
     members = materialised(members, "members")
     buckets = members.select("sig", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialised(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     placed = block_pairs(buckets.join(shared, "bucket"), ["bucket"], F.col("n"), "sig", block_rows).select(
         "bucket", "lo", "hi", "block", "sig")
     keys = ["bucket", "lo", "hi"]
-    met = placed.join(members.select("sig", "bands"), "sig").repartition(*keys).sortWithinPartitions(*keys)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = placed.join(members.select("sig", "bands"), "sig").repartition(parts, *keys).sortWithinPartitions(*keys)
     needed = materialised(met.select(*keys, "block", "sig", "bands").mapInArrow(
         _needed(bands), "bucket long, lo int, hi int, block int, sig binary"), "needed")
 
@@ -261,12 +262,13 @@ def near_classes(docs: DataFrame, width: int = WORDS, threshold: float = THRESHO
         _prepare(width, bands, rows, True), "sig binary, bands array<long>, grams array<long>")
     grams = grams.where("sig is not null").groupBy("sig").agg(F.first("bands").alias("bands"), F.first("grams").alias("grams"))
     grams = grams.join(wanted.select("sig", "copies"), "sig")
-    verified = needed.join(grams, "sig").repartition(*keys).sortWithinPartitions(*keys).select(
+    verified = needed.join(grams, "sig").repartition(parts, *keys).sortWithinPartitions(*keys).select(
         *keys, "block", "sig", "copies", "bands", "grams").mapInArrow(
         _verify(bands, threshold), "sig binary, root binary, links long")
     verified = materialised(verified, "links")
 
     result = classes(members.select("sig", "copies", F.col("doc_id").alias("id")), verified).withColumnRenamed("lowest", "class_id")
+    result = materialised(result, "result")
     ids = signed.select("doc_id", "k1", "k2", "sig")
     return ids.join(result, "sig", "left").select(
         "doc_id", "k1", "k2", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
