@@ -193,14 +193,14 @@ def close_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: floa
         F.first("embedding").alias("embedding"))
     members = materialised(members, "vectors")
     cells = members.select("sig", F.explode("cells").alias("bucket"))
-    shared = cells.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialised(cells.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     keys = ["bucket", "lo", "hi"]
     met = block_pairs(cells.join(shared, "bucket"), ["bucket"], F.col("n"), "sig", block_rows).select(*keys, "block", "sig")
     met = met.join(members.select("sig", "copies", "cells", "embedding"), "sig")
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = met.select(*keys, "block", "sig", "copies", "cells", "embedding").repartition(
         parts, *keys).sortWithinPartitions(*keys).mapInArrow(_link(plan), "sig binary, root binary, links long")
-    result = classes(members.select("sig", "copies", "id"), materialised(links, "links"))
+    result = materialised(classes(members.select("sig", "copies", "id"), materialised(links, "links")), "result")
     own = F.when(F.col("sig").isNull(), F.col("vec_id")).otherwise(F.col("lowest"))
     return placed.select("vec_id", "sig").join(result, "sig", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"),
