@@ -19,7 +19,7 @@ from . import kernels as K
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _MATCHES = T.ArrayType(T.StructType([
     T.StructField("item_id", T.LongType()), T.StructField("item_pos", T.LongType()),
@@ -158,8 +158,8 @@ def _search(items: list[tuple[int | None, str]], width: int, text: str) -> K.Ker
         for batch in batches:
             row = batch.column(0)
             earlier = batch.column(1).to_pylist()
-            n_words, n_hit, matches = [], [], []
             for first, last, data, offsets in K.text_slices(row.field(text), SLICE_BYTES):
+                n_words, n_hit, matches = [], [], []
                 hashes, _, _, firsts = hasher.words(data, offsets, table, fold)
                 sizes = np.diff(firsts)
                 own: dict[int, list] = {}
@@ -175,9 +175,10 @@ def _search(items: list[tuple[int | None, str]], width: int, text: str) -> K.Ker
                     n_hit.append(_covered(np.array([m["doc_pos"] for m in found]), np.array([m["words"] for m in found]),
                                           int(sizes[r])) if found else 0)
                     matches.append(found)
-            yield pa.RecordBatch.from_arrays(
-                [row, pa.array(matches, pa.list_(_ARROW_MATCH)), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64())],
-                ["row", "matches", "n_words", "n_hit"])
+                yield pa.RecordBatch.from_arrays(
+                    [row.slice(first, last - first), pa.array(matches, pa.list_(_ARROW_MATCH)),
+                     pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64())],
+                    ["row", "matches", "n_words", "n_hit"])
 
     return run
 

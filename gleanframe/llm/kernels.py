@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 # The window whitespace of the contracts: space and the control characters 9 to 13.
 _SPACES = [0x20, *range(0x09, 0x0E)]
 _FACTOR = 0x9E3779B97F4A7C15
