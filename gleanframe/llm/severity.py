@@ -215,7 +215,10 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", rows_per_grade
     if split_top and y.max() == 1:
         telling = x[y == 1].mean(axis=0) > x[y == 0].mean(axis=0)
         number = x[:, telling].sum(axis=1)
-        y = y + ((y == 1) & (number > np.median(number[y == 1])))
+        least = np.median(number[y == 1])
+        if number[y == 1].min() < least == number[y == 1].max():  # the median is tied with the highest
+            least -= 0.5
+        y = y + ((y == 1) & (number > least))
     weights, cuts = _descend(x[~held], y[~held], weight[~held], int(y.max()))
     model = SeverityModel(words, weights, cuts, 0.5)
     if held.any():
