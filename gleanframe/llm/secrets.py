@@ -54,17 +54,20 @@ def step_counts(tokens: DataFrame) -> dict[int, int]:
     return {r["step"]: r["count"] for r in pairs.collect()}
 
 
-def log_ratios(random: dict[int, int], ordinary: dict[int, int]) -> list[float]:
-    """log P(b | a; random) - log P(b | a; ordinary) for each pair, with one added to every count."""
-    def rows(counts: dict[int, int]) -> list[int]:
-        return [sum(counts.get(a * SYMBOLS + b, 0) for b in range(SYMBOLS)) for a in range(SYMBOLS)]
-
-    in_random, in_ordinary = rows(random), rows(ordinary)
-    return [math.log((random.get(a * SYMBOLS + b, 0) + 1) / (in_random[a] + SYMBOLS))
-            - math.log((ordinary.get(a * SYMBOLS + b, 0) + 1) / (in_ordinary[a] + SYMBOLS))
+def _log_chances(counts: dict[int, int], weight: int = 8) -> list[float]:
+    """log P(b | a) for each pair; rare first characters fall back on how often b follows any."""
+    into = [1 + sum(counts.get(a * SYMBOLS + b, 0) for a in range(SYMBOLS)) for b in range(SYMBOLS)]
+    share = [n / sum(into) for n in into]
+    out = [sum(counts.get(a * SYMBOLS + b, 0) for b in range(SYMBOLS)) for a in range(SYMBOLS)]
+    return [math.log((counts.get(a * SYMBOLS + b, 0) + weight * share[b]) / (out[a] + weight))
             for a in range(SYMBOLS) for b in range(SYMBOLS)]
 
 
+def log_ratios(random: dict[int, int], ordinary: dict[int, int]) -> list[float]:
+    """log P(b | a; random) - log P(b | a; ordinary) for each pair."""
+    return [x - y for x, y in zip(_log_chances(random), _log_chances(ordinary))]
+
+
 def secret_spans(docs: DataFrame, ratio_at: float = RATIO_AT, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """``doc_id, base, random`` of every row of ``docs(doc_id, text)``.
 
@@ -85,7 +88,12 @@ def secret_spans(docs: DataFrame, ratio_at: float = RATIO_AT, sample_docs: int =
     rows = max(found.count(), 1)
     place = F.pmod(F.xxhash64(F.lit(29), "doc_id", F.xxhash64("text")), F.lit(1 << 30))
     sample = texts.where(place < int((1 << 30) * min(1.0, sample_docs / rows))).limit(2 * sample_docs)
-    words = sample.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9_]{3,}+"), F.lit(0))).alias("token"))
+    # What the patterns found and what is to be judged are no ordinary identifiers.
+    plain = F.col("text")
+    for kind in KINDS:
+        plain = F.regexp_replace(plain, kind.pattern, " ")
+    words = sample.select(F.explode(F.regexp_extract_all(plain, F.lit("[A-Za-z][A-Za-z0-9_]{3,}+"), F.lit(0))).alias("token"))
+    words = words.where(~((F.length("token") >= 20) & F.col("token").rlike("[0-9]")))
     ratios = log_ratios(step_counts(values), step_counts(words))
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
 

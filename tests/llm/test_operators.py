@@ -201,6 +201,8 @@ def test_random_strings_are_secrets(spark):
     # The labelled samples must be of the kind looked for: mixed case and digits.
     known = [f"token = {base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode()}" for i in range(30)]
     texts = [*known, "see Zq8Zk2LmP0vXy7RtB5nWdK3 there", "snake_case_identifier_number_1 and more words here"]
+    # And there must be ordinary text to count the other model on.
+    texts += ["ordinary words of running text with several identifiers like row_number and batch_size " * 5] * 40
     found = {r["doc_id"]: r["random"] for r in secret_spans(docs_of(spark, texts)).collect()}
     assert [s["found"] for s in found[30]] == ["Zq8Zk2LmP0vXy7RtB5nWdK3"] and found[31] == [] and found[0] == []
 
