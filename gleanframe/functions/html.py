@@ -39,6 +39,7 @@ class _Builder(HTMLParser):
         self.root = Node("[document]", {})
         self.open = [self.root]
         self.pending: list[str] = []
+        self.fault: str | None = None
 
     def _settle(self) -> None:
         if self.pending:
@@ -78,16 +79,27 @@ class _Builder(HTMLParser):
 
     handle_decl = handle_pi = unknown_decl = handle_comment
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            # An unknown declaration is a comment up to the next closing bracket.
+            self.fault = "malformed declaration"
+            end = self.rawdata.find(">", i)
+            self.handle_comment("")
+            return end + 1
+
     def close(self):
         super().close()
         self._settle()
 
 
-def parse(html: str) -> Node:
+def parse(html: str) -> tuple[Node, str | None]:
+    """The page's tree, and what was wrong with its markup, if anything had to be skipped."""
     builder = _Builder()
     builder.feed(html)
     builder.close()
-    return builder.root
+    return builder.root, builder.fault
 
 
 Dropped = frozenset | set

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from .html import Node, elements, first, joined, named, strings, text_lengths
 
@@ -19,9 +20,11 @@ READER_NOISE = re.compile(
     r"noprint|hatnote|mbox|portal|toc|catlinks|header|footer)", re.I)
 READER_ID = re.compile(r"^(content|main|primary|article|post|body)$", re.I)
 READER_CLASS = re.compile(r"(article.body|post.content|main.content|entry.content|product.detail)", re.I)
-WIKI_NOISE = frozenset(
-    "toc navbox navbox-inner navbox-subgroup reflist refbegin mbox ambox tmbox hatnote "
-    "navigation-not-searchable noprint mw-editsection reference portal sistersitebox metadata catlinks".split())
+WIKI_NOISE = frozenset([
+    "toc", "navbox", "navbox-inner", "navbox-subgroup", "reflist", "refbegin", "mbox", "ambox", "tmbox", "hatnote",
+    "navigation-not-searchable", "noprint", "mw-editsection", "reference", "portal", "sistersitebox", "metadata",
+    "catlinks",
+])
 LIST_NOISE = ("script", "style", "nav", "footer", "header")
 ITEM_CLASS = re.compile(r"(product|item|card|listing|result|article|post|job)", re.I)
 TITLE_CLASS = re.compile(r"(title|name|heading)", re.I)
@@ -29,10 +32,18 @@ PRICE_CLASS = re.compile(r"(price|cost|amount)", re.I)
 RATING_CLASS = re.compile(r"(rating|star|score)", re.I)
 INFOBOX_CLASS = re.compile(r"infobox", re.I)
 PRICE_TEXT = re.compile(r"[£$€₹¥]\s*[\d,]+\.?\d*")
-ITEMS_PER_PAGE = 50
 SHORT_CONTENT = 50
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What a report may cut: containers of a page, characters of a label and of a value; ``None`` keeps all."""
+
+    items: int | None = None
+    label: int | None = None
+    value: int | None = None
+
+
 def _squeezed(text: str) -> str:
     # Single spaces are left alone, which spares a replacement per word.
     text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}|\t", " ", text))
@@ -123,7 +134,7 @@ def _field_name(text: str) -> str:
     return re.sub(r"[^a-zA-Z0-9_]", "_", text.lower()).strip("_")
 
 
-def table_records(root: Node) -> list[tuple[int, int, dict[str, str]]]:
+def table_records(root: Node, limits: Limits = Limits()) -> list[tuple[int, int, dict[str, str]]]:
     """``(table, row, fields)`` of every table row; the first row's non-blank cells name the fields."""
     found = []
     for number, table in enumerate(e for e in elements(root) if e.name == "table"):
@@ -139,10 +150,10 @@ def table_records(root: Node) -> list[tuple[int, int, dict[str, str]]]:
     return found
 
 
-def list_records(root: Node) -> list[tuple[int, int, dict[str, str]]]:
+def list_records(root: Node, limits: Limits = Limits()) -> list[tuple[int, int, dict[str, str]]]:
     """Records of product-like elements that show at least two of title, price, rating, description and URL."""
     noisy = {id(e) for e in elements(root) if e.name in LIST_NOISE}
-    items = [e for e in elements(root, noisy) if e.class_matches(ITEM_CLASS)][:ITEMS_PER_PAGE]
+    items = [e for e in elements(root, noisy) if e.class_matches(ITEM_CLASS)][: limits.items]
     found = []
     for i, item in enumerate(items):
         fields = {}
@@ -159,7 +170,7 @@ def list_records(root: Node) -> list[tuple[int, int, dict[str, str]]]:
             fields["rating"] = joined(rating, "", noisy)
         description = inside(named("p"))
         if description:
-            fields["description"] = joined(description, "", noisy)[:200]
+            fields["description"] = joined(description, "", noisy)[: limits.value]
         link = inside(named("a"))
         if link and link.attrs.get("href"):
             fields["url"] = link.attrs["href"]
@@ -168,27 +179,27 @@ def list_records(root: Node) -> list[tuple[int, int, dict[str, str]]]:
     return found
 
 
-def infobox_records(root: Node) -> list[tuple[int, int, dict[str, str]]]:
+def infobox_records(root: Node, limits: Limits = Limits()) -> list[tuple[int, int, dict[str, str]]]:
     """One record of the first infobox's label and value cells."""
     box = first(root, lambda e: e.name == "table" and e.class_matches(INFOBOX_CLASS))
     fields = {}
     for row in elements(box) if box else ():
         if row.name == "tr":
             cells = [joined(c) for c in elements(row) if c.name in ("th", "td")][:2]
-            if len(cells) == 2 and all(cells) and len(cells[0]) < 50:
-                fields[_field_name(cells[0])] = cells[1][:200]
+            if len(cells) == 2 and all(cells) and (limits.label is None or len(cells[0]) <= limits.label):
+                fields[_field_name(cells[0])] = cells[1][: limits.value]
     return [(0, 0, fields)] if fields else []
 
 
 RECORD_RULES = {"infobox": infobox_records, "tables": table_records, "lists": list_records}
 
 
-def page_records(root: Node, url: str) -> list[tuple[str, int, int, dict[str, str]]]:
+def page_records(root: Node, url: str, limits: Limits = Limits()) -> list[tuple[str, int, int, dict[str, str]]]:
     """Records of the first rule that finds any: infobox on Wikipedia only, tables, lists."""
     for rule, read in RECORD_RULES.items():
         if rule == "infobox" and "wikipedia.org" not in url:
             continue
-        found = read(root)
+        found = read(root, limits)
         if found:
             return [(rule, *record) for record in found]
     return []

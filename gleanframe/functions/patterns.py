@@ -56,12 +56,14 @@ PARAGRAPH_BREAK = r"\n\n+"
 
 # Fixed value: common English words left out of keyword counts.
 STOP_WORDS = [
-    "a", "about", "all", "also", "an", "and", "any", "are", "as", "at", "be", "been", "but", "by",
-    "can", "could", "did", "do", "does", "each", "for", "from", "had", "has", "have", "he", "how",
-    "i", "if", "in", "into", "is", "it", "its", "ll", "may", "might", "more", "my", "no", "not",
-    "of", "on", "one", "or", "our", "out", "re", "s", "she", "should", "so", "some", "t", "than",
-    "that", "the", "their", "then", "these", "they", "this", "those", "to", "up", "ve", "was", "we",
-    "were", "what", "when", "where", "which", "who", "will", "with", "would", "you", "your",
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for",
+    "of", "with", "by", "from", "is", "are", "was", "were", "be", "been",
+    "has", "have", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "this", "that", "these", "those", "it", "its",
+    "we", "you", "he", "she", "they", "i", "my", "your", "our", "their",
+    "what", "which", "who", "when", "where", "how", "not", "no", "as", "if",
+    "so", "than", "then", "more", "also", "about", "up", "out", "into",
+    "can", "all", "one", "some", "any", "each", "s", "t", "re", "ll", "ve",
 ]
 
 # Fixed value: topics in tie order, each with its keywords.

@@ -45,8 +45,13 @@ def _text(df: DataFrame, name: str) -> Column:
     return F.when(col.isNotNull(), value_text(col, dtype))
 
 
-def _key_text(df: DataFrame, key: str) -> Column:
-    return F.coalesce(_text(df, key), F.lit("None"))
+def _key_text(df: DataFrame, key: str, position: Sequence[str] = ()) -> Column:
+    """The key as text; where no column has its name, a row's position is its key."""
+    if key in df.columns:
+        return F.coalesce(_text(df, key), F.lit("None"))
+    if not position:
+        raise ValueError(f"no column {key}: name a key column, or position columns to pair rows by")
+    return F.concat_ws(" ", *[F.coalesce(_text(df, p), F.lit("None")) for p in position])
 
 
 def _record(df: DataFrame, fields: Sequence[str]) -> Column:
@@ -136,7 +141,7 @@ def summarised(paired: DataFrame, by: Sequence[str], fields: Sequence[str]) -> D
 
 def _tagged(df: DataFrame, key: str, fields: Sequence[str], position: Sequence[str], is_current: bool) -> DataFrame:
     return df.select(
-        _key_text(df, key).alias("key"),
+        _key_text(df, key, position).alias("key"),
         F.lit(is_current).alias("is_current"),
         F.struct(*[F.col(quoted(p)) for p in position], F.lit(0)).alias("pos"),
         _record(df, fields).alias("record"),
@@ -258,16 +263,28 @@ def number_snapshots(df: DataFrame, source: str, snapshot: str) -> DataFrame:
         source, snapshot, (F.col("__before") + F.col("__r")).alias("n"), "last_n")
 
 
+def _index(df: DataFrame, source: str, snapshot: str) -> DataFrame:
+    """The numbered snapshots as ``__source, __snapshot, n, last_n``, whatever the table calls them."""
+    keys = df.select(F.col(quoted(source)).alias("__source"), F.col(quoted(snapshot)).alias("__snapshot"))
+    return number_snapshots(keys, "__source", "__snapshot")
+
+
+def _within(df: DataFrame, index: DataFrame, source: str, snapshot: str) -> DataFrame:
+    """Rows of the snapshots in the index."""
+    wanted = (F.col(quoted(source)) == F.col("__source")) & (F.col(quoted(snapshot)) == F.col("__snapshot"))
+    return df.join(index.select("__source", "__snapshot"), wanted, "left_semi")
+
+
 def retain(df: DataFrame, source: str, snapshot: str, keep: int = MAX_HISTORY) -> DataFrame:
     """Rows of the newest ``keep`` snapshots of every source."""
-    index = number_snapshots(df, source, snapshot).where(F.col("last_n") - F.col("n") < keep)
-    return df.join(index.select(source, snapshot), [source, snapshot], "left_semi").select(*df.columns)
+    index = _index(df, source, snapshot).where(F.col("last_n") - F.col("n") < keep)
+    return _within(df, index, source, snapshot)
 
 
 def latest(df: DataFrame, source: str, snapshot: str, back: int = 0) -> DataFrame:
     """Rows of each source's newest snapshot, or of the one ``back`` steps before."""
-    index = number_snapshots(df, source, snapshot).where(F.col("last_n") - F.col("n") == back)
-    return df.join(index.select(source, snapshot), [source, snapshot], "left_semi").select(*df.columns)
+    index = _index(df, source, snapshot).where(F.col("last_n") - F.col("n") == back)
+    return _within(df, index, source, snapshot)
 
 
 def previous(df: DataFrame, source: str, snapshot: str) -> DataFrame:
@@ -282,20 +299,21 @@ def paired_snapshots(
     A row plays the current record of its own snapshot and the previous record
     of the next one, so the comparison needs no self-join.
     """
-    index = number_snapshots(df, source, snapshot)
+    index = _index(df, source, snapshot)
     roles = F.array(
         F.struct(F.col("n").alias("n"), F.lit(True).alias("is_current")),
         F.when(F.col("n") < F.col("last_n"), F.struct((F.col("n") + 1).alias("n"), F.lit(False).alias("is_current"))),
     )
     rows = df.select(
-        F.col(quoted(source)).alias(source), F.col(quoted(snapshot)).alias(snapshot),
-        _key_text(df, key).alias("key"),
+        F.col(quoted(source)).alias("__source"), F.col(quoted(snapshot)).alias("__snapshot"),
+        _key_text(df, key, position).alias("key"),
         F.struct(*[F.col(quoted(p)) for p in position], F.lit(0)).alias("pos"),
         _record(df, fields).alias("record"),
-    ).join(index, [source, snapshot])
+    ).join(index, ["__source", "__snapshot"])
     tagged = rows.select(
-        source, "key", "pos", "record", F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("role")
-    ).select(source, "key", "pos", "record", "role.n", "role.is_current")
+        F.col("__source").alias(source), "key", "pos", "record",
+        F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("role")
+    ).select(F.col(quoted(source)), "key", "pos", "record", "role.n", "role.is_current")
     return _pair_up(tagged, [source, "n"])
 
 
@@ -341,7 +359,7 @@ def field_history(
     rank = F.struct(*[F.col(quoted(p)) for p in position], raw)
     return (
         df.where(F.col(quoted(field)).isNotNull())
-        .groupBy(F.col(quoted(source)).alias(source), F.col(quoted(snapshot)).alias(snapshot), _key_text(df, key).alias("key"))
+        .groupBy(F.col(quoted(source)).alias(source), F.col(quoted(snapshot)).alias(snapshot), _key_text(df, key, position).alias("key"))
         .agg(F.max_by(raw, rank).alias("raw"))
         .select(source, snapshot, "key", parse_money(F.col("raw")).alias("number"), "raw")
     )

@@ -6,29 +6,24 @@ after that is a projection.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions.numeric import quoted, string_columns
 from ..functions.text import strip, value_text
 from .profile import one_row
 
-# Share of missing values above which a column is dropped, the
-# text put in place of a missing value, and the records shown of a nested list.
+# Share of missing values above which a column is dropped, and the
+# text put in place of a missing value.
 MISSING_SHARE = 0.8
 FILL = "N/A"
-NESTED_RECORDS = 3
 
 # What may surround a number in text, and the number itself.
 MONEY_SIGNS = r"[\$£€₹¥,\[\]\(\)\+]"
 WHOLE_NUMBER = r"^-?\d+\.?\d*$"
 FIRST_NUMBER = r"(-?\d+\.?\d*)"
 NUMERIC_SHARE = 0.6
-NUMERIC_SAMPLE = 20
 
 
 def _is_real(col: Column, dtype: T.DataType) -> Column:
@@ -58,7 +53,7 @@ def _map_pairs(col: Column, dtype: T.MapType, colon: str) -> Column:
     )
 
 
-def _flat_text(col: Column, dtype: T.DataType, has_gaps: bool) -> Column:
+def _flat_text(col: Column, dtype: T.DataType, has_gaps: bool, nested_records: int | None) -> Column:
     """The cleaned value: nested values as text, gaps filled, text stripped."""
     if isinstance(dtype, T.ArrayType):
         item = dtype.elementType
@@ -67,7 +62,8 @@ def _flat_text(col: Column, dtype: T.DataType, has_gaps: bool) -> Column:
             flat = F.when(F.exists(col, lambda x: x.isNull()), whole).otherwise(F.array_join(col, ", "))
         elif isinstance(item, (T.StructType, T.MapType)):
             pairs = _pairs if isinstance(item, T.StructType) else _map_pairs
-            shown = F.transform(F.slice(col, 1, NESTED_RECORDS), lambda x: pairs(x, item, ":"))
+            shown = F.transform(
+                col if nested_records is None else F.slice(col, 1, nested_records), lambda x: pairs(x, item, ":"))
             flat = F.when(F.exists(col, lambda x: x.isNull()), whole).otherwise(F.array_join(shown, "; "))
         else:
             flat = whole
@@ -85,14 +81,15 @@ def _flat_text(col: Column, dtype: T.DataType, has_gaps: bool) -> Column:
     return col
 
 
-def clean_records(df: DataFrame) -> DataFrame:
+def clean_records(df: DataFrame, nested_records: int | None = None) -> DataFrame:
     """Rows with two or more real values, without columns that are mostly blank.
 
     A value is real unless it is null, an empty string, list or map. If no row
     has two, the table comes back unchanged. A column goes when more than 80 %
     of the remaining rows hold null or an empty string in it. Lists and
     mappings become text, booleans Yes or No, gaps ``N/A``, and text is
-    stripped; numbers stay numbers unless their column has gaps to fill.
+    stripped; numbers stay numbers unless their column has gaps to fill. Of a list
+    of records the first ``nested_records`` are shown, all without it.
     """
     fields = df.schema.fields
     cols = {f.name: F.col(quoted(f.name)) for f in fields}
@@ -105,7 +102,7 @@ def clean_records(df: DataFrame) -> DataFrame:
     chosen = [(f, blank) for f, blank in zip(fields, blanks) if blank / rows <= MISSING_SHARE]
     if not chosen:
         return kept.where(F.lit(False)).select()
-    return kept.select(*[_flat_text(cols[f.name], f.dataType, blank > 0).alias(f.name) for f, blank in chosen])
+    return kept.select(*[_flat_text(cols[f.name], f.dataType, blank > 0, nested_records).alias(f.name) for f, blank in chosen])
 
 
 def clean_record_maps(df: DataFrame, column: str = "fields") -> DataFrame:
@@ -164,11 +161,10 @@ def clean_dataframe(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def coerce_numeric(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
+def coerce_numeric(df: DataFrame) -> DataFrame:
     """Turn string columns that mostly hold numbers into doubles.
 
-    Judged by the first 20 values of a column in ``order_by`` order, or by the
-    whole column without it: 60 % must be a number once currency signs,
+    Judged by the whole column: 60 % of its values must be a number once currency signs,
     brackets, commas, plus signs and spaces are gone. A converted value is the
     first number left in its text, else null.
     """
@@ -176,22 +172,20 @@ def coerce_numeric(df: DataFrame, order_by: Sequence[str] | None = None) -> Data
     if not names:
         return df
     pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(quoted(c)).alias("v")) for i, c in enumerate(names)])
-    if order_by:
-        order = [F.col(quoted(c)).alias(f"__o{i}") for i, c in enumerate(order_by)]
-        ordered = [F.col(f"__o{i}") for i in range(len(order))]
-        sample = df.select(*order, F.inline(pairs)).where(F.col("v").isNotNull())
-        window = Window.partitionBy("i").orderBy(*ordered)
-        sample = sample.withColumn("rn", F.row_number().over(window)).where(F.col("rn") <= NUMERIC_SAMPLE)
-    else:
-        sample = df.select(F.inline(pairs)).where(F.col("v").isNotNull())
+    values = df.select(F.inline(pairs)).where(F.col("v").isNotNull())
     bare = F.regexp_replace("v", MONEY_SIGNS + r"|\s", "")
-    judged = sample.groupBy("i").agg(F.count("*").alias("n"), F.count_if(bare.rlike(WHOLE_NUMBER)).alias("hits"))
+    judged = values.groupBy("i").agg(F.count("*").alias("n"), F.count_if(bare.rlike(WHOLE_NUMBER)).alias("hits"))
     numeric = {names[r["i"]] for r in judged.collect() if r["hits"] >= r["n"] * NUMERIC_SHARE}
     return df.select(*[
         _first_number(F.col(quoted(c))).alias(c) if c in numeric else F.col(quoted(c)) for c in df.columns
     ])
 
 
+def min_length_filter(df: DataFrame, text: str = "text", min_length: int = 20) -> DataFrame:
+    """Rows whose stripped text has at least ``min_length`` characters; null has none."""
+    return df.where(F.length(strip(F.coalesce(F.col(quoted(text)), F.lit("")))) >= min_length)
+
+
 def _first_number(col: Column) -> Column:
     bare = strip(F.regexp_replace(col, MONEY_SIGNS, ""))
     return F.regexp_extract(bare, FIRST_NUMBER, 1).try_cast("double")

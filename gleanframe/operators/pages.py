@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 
 from ..functions import page_rules as R
 from ..functions import patterns as P
+from ..functions.html import Node
 from ..functions.html import parse as parse_html
 from ..functions.numeric import pinned
 from ..functions.text import domain, strip
-from ..session import materialised
-from .clean import FILL, MISSING_SHARE
-from .reshape import widen
+from .clean import FILL, MISSING_SHARE, min_length_filter
 
 # The page rules travel with the task; workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
@@ -50,7 +49,7 @@ _TYPES = {
 }
 
 
-def _read(part: str, root, url: str):
+def _read(part: str, root: Node, url: str, limits: R.Limits):
     if part == "text":
         return R.clean_text(root)
     if part == "all_text":
@@ -62,20 +61,32 @@ def _read(part: str, root, url: str):
     if part == "metadata":
         return R.metadata(root)
     if part == "records":
-        found = R.page_records(root, url)
+        found = R.page_records(root, url, limits)
     else:
-        found = [(part, *record) for record in R.RECORD_RULES[part](root)]
+        found = [(part, *record) for record in R.RECORD_RULES[part](root, limits)]
     return [
         {"strategy": s, "table_no": t, "row_no": r, "fields": list(fields.items())} for s, t, r, fields in found
     ]
 
 
-def parse_pages(pages: DataFrame, *parts: str) -> DataFrame:
-    """``page_id, url`` and the parts asked for, one row per page.
+def _read_page(parts: Sequence[str], html: str, url: str, limits: R.Limits) -> tuple[list, str | None]:
+    """The parts of a page, and what was wrong with it; an unreadable page has empty parts."""
+    try:
+        root, fault = parse_html(html)
+        return [_read(part, root, url, limits) for part in parts], fault
+    except Exception as error:
+        root = Node("[document]", {})
+        return [_read(part, root, url, limits) for part in parts], f"{type(error).__name__}: {error}"[:200]
+
+
+def parse_pages(pages: DataFrame, *parts: str, limits: R.Limits = R.Limits()) -> DataFrame:
+    """``page_id, url``, the parts asked for and ``error``, one row per page.
 
     Parts are ``text`` (main region), ``all_text``, ``main_content`` (reader's
     view), ``content`` (the same with a fallback for short pages), ``metadata``
     and the record arrays ``records``, ``tables``, ``lists`` and ``infobox``.
+    No page ends the job: ``error`` tells what had to be skipped, or why the
+    parts of a page are empty; it is null for a sound page.
     """
     unknown = set(parts) - set(_TYPES)
     if unknown or not parts:
@@ -86,34 +97,42 @@ def parse_pages(pages: DataFrame, *parts: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             urls = batch.column(1).to_pylist()
-            rows: dict[str, list] = {part: [] for part in parts}
+            rows: list[list] = [[] for _ in parts]
+            errors = []
             for url, html in zip(urls, batch.column(2)):
-                root = parse_html(html.as_py())
-                for part in parts:
-                    rows[part].append(_read(part, root, url))
+                values, error = _read_page(parts, html.as_py(), url, limits)
+                for held, value in zip(rows, values):
+                    held.append(value)
+                errors.append(error)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(rows[p], _TYPES[p][1]) for p in parts]],
-                ["page_id", "url", *parts],
+                [batch.column(0), batch.column(1), *[pa.array(held, _TYPES[p][1]) for held, p in zip(rows, parts)],
+                 pa.array(errors, pa.string())],
+                ["page_id", "url", *parts, "error"],
             )
 
-    schema = ", ".join(["page_id long", "url string", *[f"{p} {_TYPES[p][0]}" for p in parts]])
+    schema = ", ".join(["page_id long", "url string", *[f"{p} {_TYPES[p][0]}" for p in parts], "error string"])
     return source.mapInArrow(parse, schema)
 
 
 def pages_to_text(pages: DataFrame, region: str = "main") -> DataFrame:
     """``page_id, url, text`` of the main region, or of the whole page with ``region='all'``."""
     part = "all_text" if region == "all" else "text"
-    return parse_pages(pages, part).withColumnRenamed(part, "text")
+    return parse_pages(pages, part).select("page_id", "url", F.col(part).alias("text"))
+
+
+def page_errors(pages: DataFrame) -> DataFrame:
+    """``page_id, url, error`` of the pages that were read in part or not at all."""
+    return parse_pages(pages, "text").where("error is not null").select("page_id", "url", "error")
 
 
 def main_content(pages: DataFrame) -> DataFrame:
-    return parse_pages(pages, "main_content").withColumnRenamed("main_content", "text")
+    return parse_pages(pages, "main_content").select("page_id", "url", F.col("main_content").alias("text"))
 
 
 def page_content(pages: DataFrame, min_length: int = 0) -> DataFrame:
     """``page_id, url, text``; pages with fewer than ``min_length`` stripped characters are left out."""
-    texts = parse_pages(pages, "content").withColumnRenamed("content", "text")
-    return texts.where(F.length(strip(F.col("text"))) >= min_length) if min_length else texts
+    texts = parse_pages(pages, "content").select("page_id", "url", F.col("content").alias("text"))
+    return min_length_filter(texts, min_length=min_length) if min_length else texts
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
@@ -135,19 +154,19 @@ def extract_tables(pages: DataFrame) -> DataFrame:
     return _exploded(parse_pages(pages, "tables"), "tables").drop("strategy")
 
 
-def extract_lists(pages: DataFrame) -> DataFrame:
+def extract_lists(pages: DataFrame, limits: R.Limits = R.Limits()) -> DataFrame:
     """``page_id, url, row_no, fields`` of product-like elements."""
-    return _exploded(parse_pages(pages, "lists"), "lists").drop("strategy", "table_no")
+    return _exploded(parse_pages(pages, "lists", limits=limits), "lists").drop("strategy", "table_no")
 
 
-def extract_infobox(pages: DataFrame) -> DataFrame:
+def extract_infobox(pages: DataFrame, limits: R.Limits = R.Limits()) -> DataFrame:
     """``page_id, url, fields`` of each page's first infobox."""
-    return _exploded(parse_pages(pages, "infobox"), "infobox").drop("strategy", "table_no", "row_no")
+    return _exploded(parse_pages(pages, "infobox", limits=limits), "infobox").drop("strategy", "table_no", "row_no")
 
 
-def extract_records(pages: DataFrame) -> DataFrame:
+def extract_records(pages: DataFrame, limits: R.Limits = R.Limits()) -> DataFrame:
     """``page_id, url, strategy, table_no, row_no, fields`` by the first rule that finds records."""
-    return _exploded(parse_pages(pages, "records"), "records")
+    return _exploded(parse_pages(pages, "records", limits=limits), "records")
 
 
 def _cleaned_array(df: DataFrame, column: str) -> DataFrame:
@@ -169,17 +188,17 @@ def _cleaned_array(df: DataFrame, column: str) -> DataFrame:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """Clean, distinct records of every page as one wide table: ``page_id, url, row_no`` and a column per field.
+    """Clean, distinct records of every page in long form: ``page_id, url, row_no, field, value``.
 
-    The records are written once: column discovery and the result both read
-    them, and pages are far too dear to parse twice.
+    Pages name their fields as they like, so fields are rows and not columns,
+    and one pass over the pages is enough.
     """
     parsed = parse_pages(pages, "records").where(F.size("records") > 0)
     maps = parsed.select("page_id", "url", F.transform("records", lambda r: r["fields"]).alias("records"))
     cleaned = _cleaned_array(maps, "records")
     rows = cleaned.select("page_id", "url", F.posexplode("records").alias("i", "fields"))
-    numbered = rows.select("page_id", "url", (F.col("i") + 1).cast("long").alias("row_no"), "fields")
-    return widen(materialised(numbered, "page-records"), "fields")
+    return rows.select("page_id", "url", (F.col("i") + 1).cast("long").alias("row_no"),
+                       F.explode("fields").alias("field", "value"))
 
 
 def _ends_with(col: Column, suffixes: Sequence[str]) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,30 +16,31 @@ from ..functions.text import value_text
 MAX_COLUMNS = 5000
 
 
-def _text_fields(names: str) -> T.StructType:
+def _text_fields(*names: str) -> T.StructType:
     return T.StructType([
-        T.StructField(name, T.ArrayType(T.StringType()) if name == "tags" else T.StringType())
-        for name in names.split()
+        T.StructField(name, T.ArrayType(T.StringType()) if name == "tags" else T.StringType()) for name in names
     ])
 
 
 # Fixed value: columns of the record kinds.
 RECORD_KINDS = {
-    "article": _text_fields("title author published_date summary tags"),
-    "product": _text_fields("name price currency description rating availability"),
-    "job": _text_fields("title company location salary description"),
-    "event": _text_fields("name date location description"),
-    "contact": _text_fields("name email phone address"),
+    "article": _text_fields("title", "author", "published_date", "summary", "tags"),
+    "product": _text_fields("name", "price", "currency", "description", "rating", "availability"),
+    "job": _text_fields("title", "company", "location", "salary", "description"),
+    "event": _text_fields("name", "date", "location", "description"),
+    "contact": _text_fields("name", "email", "phone", "address"),
 }
 
 
-def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
+def flatten(df: DataFrame, sep: str = "_", map_keys: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Nested structs to ``outer_inner`` columns, lists to text joined by `` | ``.
 
-    When two columns end up with one name, the later value takes the place of
+    A map's keys are data: those named in ``map_keys`` for its flat name become
+    ``outer_key`` columns, and a map without named keys becomes JSON text. When two columns end up with one name, the later value takes the place of
     the earlier one.
     """
     flat: dict[str, Column] = {}
+    named = map_keys or {}
 
     def walk(col: Column, dtype: T.DataType, name: str) -> None:
         if isinstance(dtype, T.StructType):
@@ -47,6 +49,11 @@ def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
         elif isinstance(dtype, T.ArrayType):
             items = F.transform(col, lambda x: value_text(x, dtype.elementType))
             flat[name] = F.array_join(items, " | ")
+        elif isinstance(dtype, T.MapType) and name in named:
+            for key in named[name]:
+                walk(F.try_element_at(col, F.lit(key)), dtype.valueType, f"{name}{sep}{key}")
+        elif isinstance(dtype, T.MapType):
+            flat[name] = F.to_json(col)
         else:
             flat[name] = col
 
@@ -64,16 +71,21 @@ def records_to_df(df: DataFrame, flat: bool = True) -> DataFrame:
     return flatten(df) if flat else df
 
 
-def widen(df: DataFrame, column: str = "fields", max_columns: int = MAX_COLUMNS) -> DataFrame:
-    """The map column as one column per key that occurs, by name; absent keys are null.
+def widen(df: DataFrame, column: str = "fields", keys: Sequence[str] | None = None,
+          max_columns: int = MAX_COLUMNS) -> DataFrame:
+    """The map column as one column per key; absent keys are null.
 
-    A key named like one of the other columns gets the map's name in front.
-    Key discovery is one distributed count whose result is the column list.
+    ``keys`` names the columns. Without it they are the keys that occur, found
+    by a distributed count, which raises beyond ``max_columns``: a table with
+    more belongs in long form. A key named like one of the other columns gets
+    the map's name in front.
     """
-    keys = df.select(F.explode(F.map_keys(quoted(column))).alias("key")).distinct()
-    names = sorted(row["key"] for row in keys.limit(max_columns + 1).collect())
-    if len(names) > max_columns:
-        raise ValueError(f"{column} holds more than {max_columns} distinct keys")
+    names = list(keys) if keys is not None else None
+    if names is None:
+        found = df.select(F.explode(F.map_keys(quoted(column))).alias("key")).distinct()
+        names = sorted(row["key"] for row in found.limit(max_columns + 1).collect())
+        if len(names) > max_columns:
+            raise ValueError(f"{column} holds more than {max_columns} distinct keys")
     others = [c for c in df.columns if c != column]
     values = [
         F.try_element_at(F.col(quoted(column)), F.lit(k)).alias(f"{column}_{k}" if k in others else k) for k in names

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import string_columns
+from ..functions.numeric import quoted, string_columns
 from ..operators import charts as C
 from ..operators.clean import coerce_numeric
 from ..operators.profile import value_counts
@@ -67,7 +67,7 @@ def dashboard_data(df: DataFrame, style: C.Style = C.DASHBOARD, order_by: list[s
     become numeric, and panels whose columns are missing are left out.
     """
     source = drop_duplicate_columns(df)
-    df = coerce_numeric(source, order_by)
+    df = coerce_numeric(source)
     if df.schema != source.schema:
         # Parsing text into numbers costs more than reading numbers back for every panel.
         df = materialised(df, "dashboard")
@@ -75,7 +75,7 @@ def dashboard_data(df: DataFrame, style: C.Style = C.DASHBOARD, order_by: list[s
     numeric, measure, category, axis = choice.numeric, choice.best_numeric, choice.best_category, choice.axis
     panels = {"kpis": C.kpis(df, style, choice)}
     if len(numeric) >= 2:
-        panels["gauges"] = C.gauges(df, numeric)
+        panels["gauges"] = C.gauges(df, numeric[:4])
         panels["heatmap"] = C.heatmap(df)
         x, y = C.scatter_columns(choice, style)
         panels["scatter"] = C.scatter(df, x, y, category, choice.best_label)
@@ -84,11 +84,12 @@ def dashboard_data(df: DataFrame, style: C.Style = C.DASHBOARD, order_by: list[s
         panels["histogram_marks"] = C.histogram_marks(df, measure)
         panels["density"] = C.kde(df, measure)
     if axis and numeric:
-        panels["area_line"] = C.area_line(df, axis, numeric)
-        panels["bar_grouped"] = C.bar_grouped(df, axis, numeric)
+        panels["area_line"] = C.area_line(df, axis, numeric[:3])
+        panels["bar_grouped"] = C.bar_grouped(df, axis, numeric[:3])
         panels["treemap"] = C.treemap(df, axis, measure)
     if axis:
-        panels["summary"] = C.summary_table(df, axis, numeric, order_by=order_by or ())
+        shown = df if numeric else df.select(*[F.col(quoted(c)) for c in df.columns[:5]])
+        panels["summary"] = C.summary_table(shown, axis, numeric[:4], order_by=order_by or ())
     if category:
         panels["donut"] = C.donut(df, category, measure, style)
         others = choice.categories
@@ -96,7 +97,7 @@ def dashboard_data(df: DataFrame, style: C.Style = C.DASHBOARD, order_by: list[s
     if category and measure:
         panels["box"], panels["box_outliers"] = C.box(df, category, measure)
     if category and len(numeric) >= 2:
-        panels["stacked"] = C.stacked(df, category, numeric, style)
+        panels["stacked"] = C.stacked(df, category, numeric[:4], style)
     if choice.row_label and measure:
         panels["funnel"] = C.funnel(df, choice.row_label, measure)
         if len(numeric) >= 2:

@@ -89,6 +89,20 @@ def _typed_pages(spark, sf):
         F.when(n % 15 == 14, "application/JSON; charset=utf-8").otherwise("text/html").alias("content_type"))
 
 
+def _broken_pages(spark, sf):
+    """The pages, with a declaration that no browser knows at the front of every seventh."""
+    return _pages(spark, sf).withColumn("html", F.concat(
+        F.when(F.col("page_id") % 7 == 0, "<![mark[x]]>").otherwise(""), "html"))
+
+
+def _listed_pages(spark, sf):
+    """The pages, each with a table of two columns at its end."""
+    row = F.concat(F.lit("<tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td>"), F.length("html").cast("string"),
+                   F.lit("</td></tr>"))
+    table = F.concat(F.lit("<table><tr><th>Page No</th><th>Chars</th></tr>"), row, row, F.lit("</table>"))
+    return _pages(spark, sf).withColumn("html", F.concat("html", table))
+
+
 QUERIES = {
     "pages_to_text": lambda spark, sf: pages.pages_to_text(_pages(spark, sf)).drop("url"),
     "pages_to_text_all": lambda spark, sf: pages.pages_to_text(_pages(spark, sf), region="all").drop("url"),
@@ -106,6 +120,9 @@ QUERIES = {
     "extract_records": lambda spark, sf: pages.extract_records(mixed_pages(spark, sf)).select(
         "page_id", "strategy", "table_no", "row_no", F.size("fields").cast("long").alias("n")),
     "page_records": lambda spark, sf: pages.page_records(mixed_pages(spark, sf)),
+    "page_records_given": lambda spark, sf: pages.page_records(_listed_pages(spark, sf)),
+    "broken_pages": lambda spark, sf: pages.parse_pages(_broken_pages(spark, sf), "text").drop("url"),
+    "page_errors": lambda spark, sf: pages.page_errors(_broken_pages(spark, sf)).drop("url"),
     "classify_pages": lambda spark, sf: pages.classify_pages(_typed_pages(spark, sf), "content_type").drop("url"),
 }
 
@@ -148,6 +165,9 @@ _CARDS = f"""SELECT p_partkey AS id, 0::BIGINT AS row_no, p_name AS title, '$' |
     p_type || p_brand AS description, '/p/' || p_partkey AS url FROM part
   UNION ALL SELECT p_partkey, 1, 'offer', '£ ' || p_size || ',000', NULL, NULL, NULL FROM part"""
 
+_RECORD_NAMES = ["customer_name", "market_segment", "balance", "nation", "order_key", "status", "total__usd",
+                 "title", "price", "rating", "description", "url"]
+
 ORACLES = {
     "pages_to_text": f"WITH {_PARTS} SELECT page_id, {_squeezed('article')} AS text FROM parts",
     "pages_to_text_all": f"WITH {_PARTS} SELECT page_id, {_squeezed('all_lines')} AS text FROM parts",
@@ -166,11 +186,18 @@ ORACLES = {
     "extract_records": f"""SELECT id * 3 AS page_id, 'infobox' AS strategy, 0::BIGINT AS table_no, 0::BIGINT AS row_no, 4::BIGINT AS n FROM ({_INFO})
       UNION ALL SELECT id * 3 + 1, 'tables', 0, 0, 2 + (total__usd IS NOT NULL)::BIGINT FROM ({_TABLE})
       UNION ALL SELECT id * 3 + 2, 'lists', 0, row_no, CASE row_no WHEN 0 THEN 5 ELSE 2 END FROM ({_CARDS})""",
-    "page_records": f"""SELECT * FROM (
+    "page_records_given": """SELECT page_id, url, 1::BIGINT AS row_no, unnest(['page_no', 'chars']) AS field,
+      unnest([page_id::VARCHAR, length(html)::VARCHAR]) AS value FROM pages""",
+    "broken_pages": f"""WITH {_PARTS} SELECT page_id, {_squeezed('article')} AS text,
+      CASE WHEN page_id % 7 = 0 THEN 'malformed declaration' END AS error FROM parts""",
+    "page_errors": "SELECT page_id, 'malformed declaration' AS error FROM pages WHERE page_id % 7 = 0",
+    "page_records": f"""WITH wide AS (
       SELECT id * 3 AS page_id, 'https://en.wikipedia.org/wiki/' || id AS url, 1::BIGINT AS row_no, customer_name, market_segment, balance, nation FROM ({_INFO})
       UNION ALL BY NAME SELECT id * 3 + 1 AS page_id, 'https://shop.example.com/o/' || id AS url, 1::BIGINT AS row_no, order_key, status, total__usd FROM ({_TABLE})
       UNION ALL BY NAME SELECT id * 3 + 2 AS page_id, 'https://shop.example.com/p/' || id AS url, row_no + 1 AS row_no, title, price, rating, description,
-        url AS fields_url FROM ({_CARDS}))""",
+        url AS link FROM ({_CARDS}))
+      SELECT * FROM (SELECT page_id, url, row_no, unnest([{', '.join(repr(n) for n in _RECORD_NAMES)}]) AS field,
+        unnest([{', '.join(_RECORD_NAMES).replace(', url', ', link')}]) AS value FROM wide) WHERE value IS NOT NULL""",
     "classify_pages": f"""WITH t AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://netflix.com/' WHEN 1 THEN 'https://www.reddit.com/r/'
           WHEN 2 THEN 'https://en.wikipedia.org/' WHEN 3 THEN 'http://m.bbc.co.uk/' ELSE url END AS url,
           html || CASE WHEN page_id % 10 = 4 THEN '<DIV class=''a'' ID="Root">' ELSE '' END AS html FROM pages),

@@ -23,6 +23,17 @@ def _csv_round_trip(spark, sf):
     return tables.read_csv(spark, path)
 
 
+def _csv_texts(spark, sf):
+    """Whole texts with quotes, commas and line breaks, and a map flattened by its keys."""
+    path = shared_dir(spark, "csv")
+    marked = F.concat(F.lit('"'), "text", F.lit('", he said:\n\\ '), "lang")
+    tables.write_csv(
+        load_spread(spark, sf, "documents").select("doc_id", marked.alias("text"), F.create_map(
+            F.lit("lang"), "lang", F.lit("from"), "source").alias("origin")),
+        path, map_keys={"origin": ["lang", "from"]})
+    return tables.read_csv(spark, path, schema="doc_id long, text string, origin_lang string, origin_from string")
+
+
 def _csv_nested_round_trip(spark, sf):
     path = shared_dir(spark, "csv")
     tables.write_csv(_nested(spark, sf), path)
@@ -155,15 +166,17 @@ QUERIES = {
         "page_id", "url", F.length("html").cast("long").alias("chars")),
     "read_csv": _csv_round_trip,
     "write_csv": _csv_nested_round_trip,
+    "csv_texts": _csv_texts,
     "write_json": _json_round_trip,
     "parse_json_records": _parsed,
     "records_to_df": lambda spark, sf: reshape.records_to_df(_nested(spark, sf)),
     "fresh_rows": lambda spark, sf: crawl_log.fresh_rows(_log(spark, sf), AS_OF, TTL),
     "freshness_stats": lambda spark, sf: crawl_log.freshness_stats(_log(spark, sf), AS_OF, TTL),
     "flatten": lambda spark, sf: reshape.flatten(_nested(spark, sf)),
+    "flatten_maps": lambda spark, sf: reshape.flatten(_event_maps(spark, sf), map_keys={"fields": ["k", "view"]}),
     "clean_records": lambda spark, sf: clean.clean_records(_messy(spark, sf)),
     "clean_dataframe": lambda spark, sf: clean.clean_dataframe(_gappy(spark, sf)),
-    "coerce_numeric": lambda spark, sf: clean.coerce_numeric(_money_text(spark, sf), ["c_custkey"]),
+    "coerce_numeric": lambda spark, sf: clean.coerce_numeric(_money_text(spark, sf)),
     "parse_money": _loose_money,
     "drop_duplicate_columns": lambda spark, sf: reshape.drop_duplicate_columns(
         load(spark, sf, "nation").select("n_name", "n_nationkey", F.lower("n_name").alias("n_name"))),
@@ -180,7 +193,8 @@ QUERIES = {
     "valid_url": lambda spark, sf: load_spread(spark, sf, "pages").select(
         "page_id", X.valid_url(F.col("url")).alias("plain"), X.valid_url(F.upper("url")).alias("upper"),
         X.valid_url(F.concat(F.lit(" "), "url")).alias("padded")),
-    "widen": lambda spark, sf: reshape.widen(_event_maps(spark, sf)),
+    "widen": lambda spark, sf: reshape.widen(
+        _event_maps(spark, sf), keys=["k", "click", "error", "purchase", "signup", "view"]),
     "domain": lambda spark, sf: load_spread(spark, sf, "pages").select(
         "page_id", X.domain(F.col("url")).alias("domain"),
         X.domain(F.replace("url", F.lit("://"), F.lit("://WWW.we."))).alias("www"),
@@ -220,6 +234,10 @@ ORACLES = {
     "read_csv": "SELECT c_custkey::INTEGER AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "write_csv": """SELECT o_orderkey AS order_id, o_custkey AS customer_key, o_orderpriority AS customer_rank,
       o_orderstatus || ' | ' || o_orderpriority[1] AS marks FROM orders""",
+    "csv_texts": r"""SELECT doc_id, '"' || text || E'", he said:\n\\ ' || lang AS text, lang AS origin_lang, source AS origin_from
+      FROM documents""",
+    "flatten_maps": """SELECT event_id, props::JSON->>'$.k' AS fields_k,
+      CASE WHEN event_type = 'view' THEN (value::DECIMAL(18,2))::VARCHAR END AS fields_view FROM events""",
     "write_json": "SELECT o_orderkey, nullif(o_orderstatus, 'P') AS o_orderstatus, o_totalprice FROM orders",
     "parse_json_records": rf"""WITH raw AS (SELECT event_id, CASE event_id % 7
         WHEN 0 THEN E'```json\n[' || props || ', ' || props || E', 7]\n```' WHEN 1 THEN 'Here it is: ' || props || ' as asked.'
@@ -253,7 +271,7 @@ ORACLES = {
         CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 2 = 0 END AS even,
         CASE WHEN o_orderkey % 10 = 0 THEN 'rare' END AS rare,
         CASE WHEN o_orderkey % 4 = 0 THEN []::VARCHAR[] WHEN o_orderkey % 4 = 1 THEN [o_orderstatus, o_orderpriority] END AS tags,
-        CASE WHEN o_orderkey % 4 < 2 THEN 'no:1, s:' || o_orderstatus || '; no:2, s:' || o_orderstatus || '; no:3, s:' || o_orderstatus END AS specs
+        CASE WHEN o_orderkey % 4 < 2 THEN 'no:1, s:' || o_orderstatus || '; no:2, s:' || o_orderstatus || '; no:3, s:' || o_orderstatus || '; no:4, s:' || o_orderstatus END AS specs
         FROM orders),
       kept AS (SELECT * FROM m WHERE (id IS NOT NULL)::INT + (priority IS NOT NULL)::INT + (coalesce(status, '') <> '')::INT
         + (even IS NOT NULL)::INT + (rare IS NOT NULL)::INT + (len(coalesce(tags, [])) > 0)::INT + (specs IS NOT NULL)::INT >= 2)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..operators import chunks, extracts, sentiment, topics, words
+from ..operators import chunks, clean, extracts, sentiment, topics, words
 from ..plans import texts
 from ..session import load, load_spread
 from .sqltext import ASCII_DIGITS, ASCII_WORDS, TOKENS, half_up, words as words_sql
@@ -69,8 +69,8 @@ QUERIES = {
         "doc_id", X.estimate_tokens(F.col("text")).alias("tokens")),
     "trim_content": lambda spark, sf: _docs(spark, sf).select(
         "doc_id", X.trim_content(F.col("text")).alias("trimmed")),
-    "min_length_filter": lambda spark, sf: _docs(spark, sf).where(
-        F.length(X.strip(F.col("text"))) >= 20).select("doc_id", F.length("text").cast("long").alias("chars")),
+    "min_length_filter": lambda spark, sf: clean.min_length_filter(_docs(spark, sf)).select(
+        "doc_id", F.length("text").cast("long").alias("chars")),
     "humanize": lambda spark, sf: load(spark, sf, "part").select(
         "p_partkey", X.humanize(F.concat_ws("_", "p_type", "p_brand", "p_name")).alias("label")),
 }
@@ -89,6 +89,7 @@ _PAIRS = """pairs AS (SELECT doc_id, pos, word || ' ' || lead(word) OVER (PARTIT
   FROM words),
 found AS (SELECT * FROM pairs WHERE phrase IS NOT NULL)"""
 
+# The patterns of the library once more, in the syntax of the comparison's regular expressions.
 _PRICE = r"[$£€¥₹]\s*[\d,]+\.?\d*"
 _EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 _URL = r"https?://[^\s<>\"{}|\\^`\[\]]+"
@@ -177,28 +178,23 @@ ORACLES = {
     "bigrams_per_document": f"WITH {words_sql()}, {_PAIRS} " + _top_sql("phrase", "found", "doc_id", 10),
     "numbers": rf"""WITH n AS (SELECT doc_id, {ASCII_WORDS} AS a, text FROM documents),
       found AS (
-        {_listed('prices', f"SELECT doc_id, regexp_extract_all(text, '{_PRICE}')[1:20] AS l FROM n")}
+        {_listed('prices', f"SELECT doc_id, regexp_extract_all(text, '{_PRICE}') AS l FROM n")}
         UNION ALL
-        {_listed('percentages', r"SELECT doc_id, regexp_extract_all(text, '\d+\.?\d*\s*%')[1:20] AS l FROM n")}
+        {_listed('percentages', r"SELECT doc_id, regexp_extract_all(text, '\d+\.?\d*\s*%') AS l FROM n")}
         UNION ALL
-        {_listed('numbers', r"SELECT doc_id, list_transform(list_filter(regexp_extract_all(a, '\b\d+\.?\d*\b')[1:50], lambda x: x::DOUBLE < 1e9), lambda x: x::DOUBLE::VARCHAR) AS l FROM n")})
+        {_listed('numbers', r"SELECT doc_id, list_transform(list_filter(regexp_extract_all(a, '\b\d+\.?\d*\b'), lambda x: x::DOUBLE < 1e9), lambda x: x::DOUBLE::VARCHAR) AS l FROM n")})
       SELECT doc_id, kind, pos, value FROM found""",
-    "entities": f"""WITH found AS ({_ENTITY_ROWS}),
-      counted AS (SELECT doc_id, kind, value, count(*) AS count, min(pos) AS first_pos FROM found GROUP BY 1, 2, 3),
-      ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY
-        CASE WHEN kind = 'proper_nouns' THEN -count END, CASE WHEN kind = 'proper_nouns' THEN first_pos END, value) AS rn
-        FROM counted)
-      SELECT doc_id, kind, value, count FROM ranked WHERE rn <= 10 OR kind IN ('emails', 'phones')""",
+    "entities": f"SELECT doc_id, kind, value, count(*) AS count FROM ({_ENTITY_ROWS}) GROUP BY 1, 2, 3",
     "entity_counts": f"SELECT kind, value, count(*) AS count FROM ({_ENTITY_ROWS}) GROUP BY 1, 2",
     "key_values": rf"""WITH lists AS (
-        SELECT doc_id, 'prices_found' AS name, regexp_extract_all(text, '{_PRICE}')[1:5] AS l FROM documents
-        UNION ALL SELECT doc_id, 'dates_found', list_sort(list_distinct(regexp_extract_all({ASCII_WORDS}, '{_FULL_DATE}')))[1:5] FROM documents
+        SELECT doc_id, 'prices_found' AS name, regexp_extract_all(text, '{_PRICE}') AS l FROM documents
+        UNION ALL SELECT doc_id, 'dates_found', list_sort(list_distinct(regexp_extract_all({ASCII_WORDS}, '{_FULL_DATE}'))) FROM documents
         UNION ALL SELECT doc_id, 'emails', list_sort(list_distinct(regexp_extract_all(text, '{_EMAIL}'))) FROM documents
-        UNION ALL SELECT doc_id, 'phones', list_sort(list_distinct(regexp_extract_all({ASCII_WORDS}, '{_PHONE}')))[1:5] FROM documents
-        UNION ALL SELECT doc_id, 'urls_found', list_sort(list_distinct(regexp_extract_all(text, '{_URL}')))[1:5] FROM documents),
+        UNION ALL SELECT doc_id, 'phones', list_sort(list_distinct(regexp_extract_all({ASCII_WORDS}, '{_PHONE}'))) FROM documents
+        UNION ALL SELECT doc_id, 'urls_found', list_sort(list_distinct(regexp_extract_all(text, '{_URL}'))) FROM documents),
       listed AS (SELECT doc_id, name, generate_subscripts(l, 1) AS pos, unnest(l) AS value FROM lists),
-      raw AS (SELECT doc_id, regexp_extract_all(text, '{_LABEL}', 1)[1:10] AS a,
-                     regexp_extract_all(text, '{_LABEL}', 2)[1:10] AS b FROM documents),
+      raw AS (SELECT doc_id, regexp_extract_all(text, '{_LABEL}', 1) AS a,
+                     regexp_extract_all(text, '{_LABEL}', 2) AS b FROM documents),
       pairs AS (SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS label, unnest(b) AS value FROM raw),
       named AS (SELECT doc_id, i, regexp_replace(lower(trim(label, E' \t\n\r')), '\s+', '_', 'g') AS name,
                        trim(value, E' \t\n\r') AS value FROM pairs),

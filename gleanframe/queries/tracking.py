@@ -31,12 +31,12 @@ def snapshots(spark, sf):
 
 
 def _two(spark, sf):
-    """The events of two overlapping spans, where the last event of a user wins."""
+    """All events in two overlapping spans, where the last event of a user wins."""
     events = load(spark, sf, "events")
     ts = F.col("ts")
-    when = lambda a, b: events.where((ts >= F.lit(a).cast("timestamp_ntz")) & (ts < F.lit(b).cast("timestamp_ntz"))).select(
-        "user_id", "event_type", "value", "event_id")
-    return when("2024-01-01", "2024-01-03"), when("2024-01-02", "2024-01-04")
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    rows = lambda span: events.where(span).select("user_id", "event_type", "value", "event_id")
+    return rows(ts < at("2024-01-17")), rows(ts >= at("2024-01-14"))
 
 
 TWO = dict(key="user_id", value_fields=["event_type", "value"], position=["event_id"])
@@ -97,9 +97,9 @@ _ALERTS = f"""fires AS (SELECT *, try_cast(translate(current, '$', '') AS DOUBLE
     UNION ALL SELECT *, 'total moved' FROM fires WHERE field = 'total' AND abs(pct_change) >= 250)"""
 
 _TWO = """a AS (SELECT user_id::VARCHAR AS key, count(*) AS k, arg_max(event_type, event_id) AS t, arg_max(value, event_id) AS v
-    FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-03' GROUP BY 1),
+    FROM events WHERE ts < TIMESTAMP '2024-01-17' GROUP BY 1),
   b AS (SELECT user_id::VARCHAR AS key, count(*) AS k, arg_max(event_type, event_id) AS t, arg_max(value, event_id) AS v
-    FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-04' GROUP BY 1),
+    FROM events WHERE ts >= TIMESTAMP '2024-01-14' GROUP BY 1),
   two AS (SELECT coalesce(a.key, b.key) AS key, a.k AS ak, b.k AS bk, a.t AS ta, b.t AS bt, a.v AS av, b.v AS bv,
       CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed'
            WHEN a.t <> b.t OR a.v <> b.v THEN 'changed' ELSE 'unchanged' END AS status

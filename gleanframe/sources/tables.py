@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,19 +11,30 @@ from pyspark.sql import types as T
 from ..operators.clean import clean_dataframe
 from ..operators.reshape import flatten
 
+# Quotes inside a value are doubled, and spaces belong to the value.
+_QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def read_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    """``page_id, url, html`` from Parquet, or with ``format="html"`` one page per file of a folder or pattern."""
+    if format not in ("parquet", "html"):
+        raise ValueError("format is parquet or html")
+    if format == "parquet":
+        return spark.read.parquet(path).select("page_id", "url", "html")
+    files = spark.read.text(path, wholetext=True)
+    url = F.col("_metadata.file_path")
+    return files.select(F.xxhash64(url).alias("page_id"), url.alias("url"), F.col("value").alias("html"))
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, url, html`` from Parquet, or one page per file from a folder of HTML."""
-    if path.rstrip("/").endswith((".html", ".htm")) or "*" in path:
-        files = spark.read.text(path, wholetext=True)
-        url = F.col("_metadata.file_path")
-        return files.select(F.xxhash64(url).alias("page_id"), url.alias("url"), F.col("value").alias("html"))
-    return spark.read.parquet(path).select("page_id", "url", "html")
 
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, clean: bool = False,
+             multi_line: bool = True) -> DataFrame:
+    """A CSV file with a header row; give ``schema`` to spare the pass that infers types.
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, clean: bool = False) -> DataFrame:
-    """A CSV file with a header row; give ``schema`` to spare the pass that infers types."""
-    reader = spark.read.option("header", True).option("multiLine", False)
+    Values may hold quotes, commas and line breaks. A file is then one task;
+    ``multi_line=False`` splits large files whose values have no line breaks.
+    Empty values are null.
+    """
+    reader = spark.read.options(header=True, multiLine=multi_line, **_QUOTING)
     df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path, inferSchema=True)
     return clean_dataframe(df) if clean else df
 
@@ -31,6 +44,7 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def write_csv(df: DataFrame, path: str, flat: bool = True, mode: str = "errorifexists") -> None:
-    """CSV part files with a header each, nested columns flattened."""
-    (flatten(df) if flat else df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, flat: bool = True, mode: str = "errorifexists",
+              map_keys: Mapping[str, Sequence[str]] | None = None) -> None:
+    """CSV part files with a header each, nested columns flattened; ``read_csv`` reads them back."""
+    (flatten(df, map_keys=map_keys) if flat else df).write.mode(mode).options(header=True, **_QUOTING).csv(path)

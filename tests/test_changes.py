@@ -197,3 +197,20 @@ def test_timestamps_number_snapshots(spark):
     made = [("s", start + timedelta(hours=7 * i)) for i in range(30)]
     found = C.number_snapshots(spark.createDataFrame(made, "source string, at timestamp"), "source", "at")
     assert [r["n"] for r in found.orderBy("at").collect()] == list(range(1, 31))
+
+
+def test_rows_without_a_key_pair_by_position(spark):
+    before = spark.createDataFrame([(1, "a"), (2, "b")], "row int, v string")
+    now = spark.createDataFrame([(1, "a"), (2, "c"), (3, "d")], "row int, v string")
+    found = C.detect_changes(before, now, "id", ["v"], ["row"])
+    assert rows(found) == [("1", "unchanged", 1), ("2", "changed", 1), ("3", "added", 1)]
+    with pytest.raises(ValueError):
+        C.detect_changes(before, now, "id", ["v"])
+
+
+def test_a_snapshot_column_may_have_any_name(spark):
+    for name in ("n", "last_n", "record", "pos"):
+        table = spark.createDataFrame([("s", 1, "k", "a"), ("s", 2, "k", "b")], f"source string, {name} int, item string, v string")
+        found = C.snapshot_field_changes(table, "source", name, "item", ["v"])
+        assert rows(found.select("source", "n", "previous", "current")) == [("s", 2, "a", "b")]
+        assert rows(C.latest(table, "source", name)) == [("s", 2, "k", "b")]

@@ -84,14 +84,15 @@ def test_lists(spark):
       <div class=result><h1>alone</h1></div>"""
     found = [r["fields"] for r in P.extract_lists(page(spark, html)).orderBy("row_no").collect()]
     assert found == [
-        {"title": "Lamp", "price": "9 EUR", "rating": "5/5", "description": "d" * 200},
+        {"title": "Lamp", "price": "9 EUR", "rating": "5/5", "description": "d" * 300},
         {"title": "Desk", "price": "$ 1,200.50"},
     ]
 
 
-def test_at_most_fifty_containers(spark):
+def test_containers_are_limited_on_request(spark):
     html = "".join(f"<div class=item><h2>t{i}</h2><p>d</p></div>" for i in range(60))
-    assert P.extract_lists(page(spark, html)).count() == 50
+    assert P.extract_lists(page(spark, html)).count() == 60
+    assert P.extract_lists(page(spark, html), P.R.Limits(items=50)).count() == 50
 
 
 INFO = """<table class="infobox vcard"><tr><th>Born</th><td>1815 <b>London</b></td></tr><tr><td>one</td></tr>
@@ -101,6 +102,8 @@ INFO = """<table class="infobox vcard"><tr><th>Born</th><td>1815 <b>London</b></
 def test_infobox_and_priority(spark):
     html = INFO.format(k="k" * 50, v="v" * 250) + "<div class=card><h2>a</h2><p>b</p></div>"
     fields = P.extract_infobox(page(spark, html)).first()["fields"]
+    assert fields == {"born": "1815London", "k" * 50: "long key", "note": "v" * 250}
+    fields = P.extract_infobox(page(spark, html), P.R.Limits(label=49, value=200)).first()["fields"]
     assert fields == {"born": "1815London", "note": "v" * 200}
     pick = lambda h, url: {r["strategy"] for r in P.extract_records(page(spark, h, url)).collect()}
     assert pick(html, "https://en.wikipedia.org/wiki/A") == {"infobox"}
@@ -115,7 +118,8 @@ def test_page_records_are_cleaned_per_page(spark):
     lone = "<table>" + row("a", "b") + row("", "only") + "</table>"
     table = spark.createDataFrame([(1, "u", rare), (2, "u", lone), (3, "u", "<p>x</p>")], "page_id long, url string, html string")
     found = P.page_records(table)
-    assert found.columns == ["page_id", "url", "row_no", "a", "b"]
+    assert found.columns == ["page_id", "url", "row_no", "field", "value"]
+    found = found.groupBy("page_id", "url", "row_no").pivot("field", ["a", "b"]).agg(F.first("value"))
     # Page 1 drops its rare column and its duplicate rows; page 2 has no row with two values and stays as it is.
     assert rows(found) == sorted([(1, "u", i + 1, str(i), "x") for i in range(6)] + [(2, "u", 1, None, "only")], key=repr)
 
@@ -138,6 +142,19 @@ def test_content_type_decides_last(spark):
     assert P.classify_pages(served, "ct").first()["page_type"] == "dynamic"
 
 
+def test_no_page_ends_the_job(spark):
+    table = spark.createDataFrame(
+        [(1, "u", "<p>a<![foo[x]]>b</p>"), (2, "u", "<p>good</p>"), (3, "u", "<p>x<![if IE"), (4, "u", None)],
+        "page_id long, url string, html string")
+    found = {r["page_id"]: (r["text"], r["error"]) for r in P.parse_pages(table, "text", "records").collect()}
+    assert found[1] == ("a\nb", "malformed declaration") and found[2] == ("good", None) and found[4] == ("", None)
+    assert found[3][0].startswith("x")
+    # Whatever the rules stumble over, the page stays and says so.
+    values, error = P._read_page(["text", "records"], None, "u", P.R.Limits())
+    assert values == ["", []] and error.startswith("TypeError")
+    assert 1 in {r["page_id"] for r in P.page_errors(table).collect()}
+
+
 def test_tolerant_parsing(spark):
     assert text(spark, "<p>a<b>b</p>c</b>d<br/>e</i>f < g") == "a\nb\nc\nd\ne\nf < g"
     assert text(spark, "<div/>x<ruby>k<rt>hidden</rt></ruby><template><p>t</p></template>") == "x\nk"

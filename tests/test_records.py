@@ -64,7 +64,7 @@ def test_clean_records(spark):
         ("Cy", ["z"], spec[:1], None, (2, "q"), "n", 2.0),
     ], MESSY)
     assert rows(clean.clean_records(table)) == [
-        ("Ann", "x, y", "k:k0, v:0; k:k1, v:1; k:k2, v:2",
+        ("Ann", "x, y", "k:k0, v:0; k:k1, v:1; k:k2, v:2; k:k3, v:3",
          "Yes", "a: 1, b: None", "", "1.5"),
         ("Bob", "N/A", "N/A", "No", "N/A", "N/A", "N/A"),
         ("Cy", "z", "k:k0, v:0", "N/A", "a: 2, b: q", "n", "2.0"),
@@ -109,9 +109,11 @@ def test_coerce_numeric_needs_sixty_percent(spark):
     table = spark.createDataFrame([
         (i, "$1,200" if i < 12 else "n/a", "$1,200" if i < 11 else "n/a", "(5.50) each" if i % 2 else "-3 +") for i in range(20)
     ] + [(i, "n/a", "$7", "x") for i in range(20, 90)], "n int, yes string, no string, mixed string")
-    found = clean.coerce_numeric(table, ["n"])
+    head = table.where("n < 20")
+    found = clean.coerce_numeric(head)
     assert dict(found.dtypes) == {"n": "int", "yes": "double", "no": "string", "mixed": "string"}
     assert rows(found.select("yes").distinct()) == [(1200.0,), (None,)]
+    # The whole column decides, whatever its first values are.
     whole = clean.coerce_numeric(table)
     assert dict(whole.dtypes)["no"] == "double" and dict(whole.dtypes)["yes"] == "string"
 
@@ -138,6 +140,14 @@ def test_widen(spark):
     assert rows(wide) == [(1, "1", "2", None, None), (2, None, None, None, "9"), (3, None, None, None, None)]
     with pytest.raises(ValueError):
         reshape.widen(table, max_columns=2)
+    assert reshape.widen(table, keys=["c", "zz"]).columns == ["id", "c", "zz"]
+
+
+def test_maps_are_flattened(spark):
+    table = spark.createDataFrame([(1, {"b": "2", "a": "1"}), (2, {}), (3, None)], "id int, fields map<string,string>")
+    assert rows(reshape.flatten(table, map_keys={"fields": ["a", "c"]})) == [(1, "1", None), (2, None, None), (3, None, None)]
+    assert rows(reshape.flatten(table.where("id > 1"))) == [(2, "{}"), (3, None)]
+    assert '"b":"2"' in reshape.flatten(table).where("id = 1").first()["fields"]
 
 
 def test_names(spark):
@@ -177,8 +187,11 @@ def test_round_trips(spark, tmp_path):
     assert rows(spark.read.schema(scores.schema).json(f"{tmp_path}/json")) == rows(scores)
     products = spark.createDataFrame([("Widget, \"big\"", 9.99, ["x", "y"])], "product string, price double, tags array<string>")
     tables.write_csv(products, f"{tmp_path}/csv")
-    back = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/csv", inferSchema=True)
-    assert rows(back) == [("Widget, \"big\"", 9.99, "x | y")]
+    assert rows(tables.read_csv(spark, f"{tmp_path}/csv")) == [("Widget, \"big\"", 9.99, "x | y")]
+    texts = ['he said "hi", ok', "two\nlines", "\r\n", '"', " padded\t", "back\\slash", '\\"', ",", "#", "'", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    tables.write_csv(table, f"{tmp_path}/texts")
+    assert rows(tables.read_csv(spark, f"{tmp_path}/texts", schema="i int, t string")) == rows(table)
     gaps = spark.createDataFrame([(str(i), None if i else "v") for i in range(9)], "a string, b string")
     tables.write_csv(gaps, f"{tmp_path}/gaps")
     cleaned = tables.read_csv(spark, f"{tmp_path}/gaps", clean=True)
@@ -187,7 +200,7 @@ def test_round_trips(spark, tmp_path):
 
 def test_pages_from_files(spark, tmp_path):
     (tmp_path / "a.html").write_text("<p>one</p>\n<p>two</p>")
-    page = tables.read_pages(spark, f"{tmp_path}/*.html").first()
+    page = tables.read_pages(spark, f"{tmp_path}/*.html", format="html").first()
     assert page["html"] == "<p>one</p>\n<p>two</p>" and page["url"].endswith("a.html")
 
 
