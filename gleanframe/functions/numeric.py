@@ -10,13 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Columns of up to this many values go through the built-in percentile(), which
-# holds a column's distinct values in one aggregation buffer; and the values of
-# all columns that one aggregate may hold.
-PERCENTILE_ROWS = 1_000_000
-PERCENTILE_TOTAL = 5_000_000
-# Values a larger column may have left between two bounds before they are sorted.
-LEFT_ROWS = 50_000
+# Values that all searches together may have left between their bounds before they are sorted.
+LEFT_VALUES = 200_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -70,16 +65,16 @@ def quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float],
-    max_rows: int = PERCENTILE_ROWS,
-    left_rows: int = LEFT_ROWS,
+    left_values: int = LEFT_VALUES,
     accuracy: int = SKETCH_ACCURACY,
     sizes: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles of whole columns, by column name.
 
-    Columns above ``max_rows`` values are narrowed down from both sides, see
-    ``_ranked``, so that no task ever holds a column. ``sizes`` passes in
-    non-null counts that are known already.
+    Every column is narrowed down from both sides, see ``_ranked``, so that no
+    task ever holds a column: at most ``left_values`` values of all columns and
+    probabilities together. ``sizes`` passes in non-null counts that are known
+    already.
     """
     columns = list(columns)
     if not columns:
@@ -88,20 +83,12 @@ def quantiles(
     if sizes is None:
         counts = df.agg(*[F.count(values[c]).alias(f"c{i}") for i, c in enumerate(columns)]).first()
         sizes = dict(zip(columns, counts))
-    small = [c for c in columns if 0 < sizes[c] <= max_rows]
-    large = [c for c in columns if sizes[c] > max_rows]
     found: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
-    while small:
-        batch, held = [], 0
-        while small and (not batch or held + sizes[small[0]] <= PERCENTILE_TOTAL):
-            held += sizes[small[0]]
-            batch.append(small.pop(0))
-        row = df.agg(*[F.percentile(values[c], list(probs)).alias(f"p{i}") for i, c in enumerate(batch)]).first()
-        found.update({c: list(row[i]) for i, c in enumerate(batch)})
-    if large:
-        spots = {(c, p): p * (sizes[c] - 1) for c in large for p in probs}
+    filled = [c for c in columns if sizes[c]]
+    if filled:
+        spots = {(c, p): p * (sizes[c] - 1) for c in filled for p in probs}
         floors = sorted({(c, math.floor(spot)) for (c, _), spot in spots.items()})
-        ranked = _ranked(df, values, {t: sizes[t[0]] for t in floors}, left_rows, accuracy)
+        ranked = _ranked(df, values, {t: sizes[t[0]] for t in floors}, max(1, left_values // len(floors)), accuracy)
         following = _next_values(df, values, ranked)
         for (c, p), spot in spots.items():
             at = (c, math.floor(spot))

@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 from ..functions.numeric import quoted
 from ..functions.patterns import KEY_FIELDS
 from ..functions.text import parse_money, value_text
+from ..session import materialised
 
 # Fixed value: snapshots kept per source.
 MAX_HISTORY = 60
@@ -264,9 +265,14 @@ def number_snapshots(df: DataFrame, source: str, snapshot: str) -> DataFrame:
 
 
 def _index(df: DataFrame, source: str, snapshot: str) -> DataFrame:
-    """The numbered snapshots as ``__source, __snapshot, n, last_n``, whatever the table calls them."""
+    """The numbered snapshots as ``__source, __snapshot, n, last_n``, whatever the table calls them.
+
+    Built once and written: Spark then knows its size, sends it to the tasks
+    where it is small and joins by shuffle, with skewed snapshots split, where
+    it is not.
+    """
     keys = df.select(F.col(quoted(source)).alias("__source"), F.col(quoted(snapshot)).alias("__snapshot"))
-    return number_snapshots(keys, "__source", "__snapshot")
+    return materialised(number_snapshots(keys, "__source", "__snapshot"), "snapshot-index")
 
 
 def _within(df: DataFrame, index: DataFrame, source: str, snapshot: str) -> DataFrame:
@@ -292,14 +298,15 @@ def previous(df: DataFrame, source: str, snapshot: str) -> DataFrame:
 
 
 def paired_snapshots(
-    df: DataFrame, source: str, snapshot: str, key: str, fields: Sequence[str], position: Sequence[str]
+    df: DataFrame, source: str, snapshot: str, key: str, fields: Sequence[str], position: Sequence[str],
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Each snapshot against the one before it: ``source, n, key, prev, cur, ...``.
 
     A row plays the current record of its own snapshot and the previous record
     of the next one, so the comparison needs no self-join.
     """
-    index = _index(df, source, snapshot)
+    index = index if index is not None else _index(df, source, snapshot)
     roles = F.array(
         F.struct(F.col("n").alias("n"), F.lit(True).alias("is_current")),
         F.when(F.col("n") < F.col("last_n"), F.struct((F.col("n") + 1).alias("n"), F.lit(False).alias("is_current"))),
@@ -371,12 +378,12 @@ def session_summary(
 ) -> DataFrame:
     """Per source: retained snapshots, their changes, all alerts, first and last snapshot."""
     fields = _fields(df, source, snapshot, value_fields, position)
-    paired = paired_snapshots(df, source, snapshot, key, fields, position)
-    index = number_snapshots(df, source, snapshot)
-    totals = index.groupBy(source).agg(
+    index = _index(df, source, snapshot)
+    paired = paired_snapshots(df, source, snapshot, key, fields, position, index)
+    totals = index.groupBy(F.col("__source").alias(source)).agg(
         F.least(F.max("last_n"), F.lit(keep)).alias("snapshots_taken"),
-        F.min(snapshot).alias("first_snapshot"),
-        F.max(snapshot).alias("latest_snapshot"),
+        F.min("__snapshot").alias("first_snapshot"),
+        F.max("__snapshot").alias("latest_snapshot"),
         F.max("last_n").alias("last_n"),
     )
     changes = (

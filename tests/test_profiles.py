@@ -103,8 +103,8 @@ def test_refined_quantiles_are_exact(spark, values):
     probs = [0.0, 0.25, 0.5, 0.99]
     values = [float(v) for v in values]
     table = numbers(spark, values, values[::-1]).repartition(3)
-    for left_rows, accuracy in ((20, 100), (150, 1000)):
-        found = quantiles(table, ["c0", "c1"], probs, max_rows=0, left_rows=left_rows, accuracy=accuracy)
+    for left_values, accuracy in ((120, 100), (900, 1000)):
+        found = quantiles(table, ["c0", "c1"], probs, left_values=left_values, accuracy=accuracy)
         expected = np.quantile(values, probs)
         assert np.allclose(found["c0"], expected, rtol=1e-12) and np.allclose(found["c1"], expected, rtol=1e-12)
 
