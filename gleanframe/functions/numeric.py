@@ -148,13 +148,20 @@ def _ranked(
         if not wide:
             break
         margin = 2.0 / accuracy
-        sketches = df.agg(*[
+        # Searches between the same bounds share a sketch.
+        shared: dict[tuple, list[_Search]] = {}
+        for s in wide:
+            shared.setdefault((s.column, s.low, s.high), []).append(s)
+        row = df.agg(*[
             F.percentile_approx(
-                F.when(s.within(values[s.column]), values[s.column]),
-                [max(0.0, s.rank / s.left - margin), min(1.0, (s.rank + 1) / s.left + margin)], accuracy,
+                F.when(group[0].within(values[column]), values[column]),
+                [x for s in group for x in (max(0.0, s.rank / s.left - margin), min(1.0, (s.rank + 1) / s.left + margin))],
+                accuracy,
             ).alias(f"s{i}")
-            for i, s in enumerate(wide)
+            for i, ((column, _, _), group) in enumerate(shared.items())
         ]).first()
+        wide = [s for group in shared.values() for s in group]
+        sketches = [(found[2 * i], found[2 * i + 1]) for found, group in zip(row, shared.values()) for i in range(len(group))]
         tests = []
         for s, (a, b) in zip(wide, sketches):
             v, inside = values[s.column], s.within(values[s.column])
