@@ -8,9 +8,14 @@ is stored lies in shared tables partitioned by batch, so a lost executor or a
 restarted query loses nothing, and a batch that runs twice overwrites its own
 partitions.
 
+Rows of a snapshot that is not newer than the stored one of its source came too
+late, or are the second part of a snapshot that was split between batches. They
+go to the table ``late`` and never into the state, so that no comparison runs
+backwards or with half a snapshot in place of a whole one.
+
 Layout below ``path``: ``snapshots/batch_id=N`` the newest snapshots seen by a
 batch, ``index/batch_id=N`` which batch holds the newest snapshot of each
-source, ``changes``, ``alerts`` and ``summaries`` by batch.
+source, ``changes``, ``alerts``, ``summaries`` and ``late`` by batch.
 """
 
 from __future__ import annotations
@@ -47,6 +52,8 @@ class SnapshotWatch:
         if rows.isEmpty():
             return
         stored, index = self._stored(spark, batch_id, rows)
+        if stored is not None:
+            rows = self._in_time(rows, stored, batch_id)
         both = rows if stored is None else rows.unionByName(stored)
         numbered = C.number_snapshots(both, self.source, self.snapshot)
         paired = C.paired_snapshots(both, self.source, self.snapshot, self.key, self.fields, self.position)
@@ -67,6 +74,14 @@ class SnapshotWatch:
             current = current.unionByName(index.join(current, self.source, "left_anti"))
         self._written(current, "index", batch_id)
 
+    def _in_time(self, rows: DataFrame, stored: DataFrame, batch_id: int) -> DataFrame:
+        """The rows of new snapshots; the others are written to ``late``."""
+        newest = stored.groupBy(self.source).agg(F.max(self.snapshot).alias("__newest"))
+        marked = rows.join(newest, self.source, "left")
+        self._written(marked.where(F.col(self.snapshot) <= F.col("__newest")).select(*self.columns), "late", batch_id)
+        new = F.col("__newest").isNull() | (F.col(self.snapshot) > F.col("__newest"))
+        return marked.where(new).select(*self.columns)
+
     def _written(self, df: DataFrame, table: str, batch_id: int) -> DataFrame:
         target = f"{self.path}/{table}/batch_id={batch_id}"
         df.write.mode("overwrite").parquet(target)

@@ -214,3 +214,14 @@ def test_a_snapshot_column_may_have_any_name(spark):
         found = C.snapshot_field_changes(table, "source", name, "item", ["v"])
         assert rows(found.select("source", "n", "previous", "current")) == [("s", 2, "a", "b")]
         assert rows(C.latest(table, "source", name)) == [("s", 2, "k", "b")]
+
+
+def test_late_and_split_snapshots_stay_out_of_the_state(spark, tmp_path):
+    job = SnapshotWatch(f"{tmp_path}/store", "source", "snap", "key", ["v"])
+    arrivals = [[(1, "x", "a"), (1, "y", "a")], [(3, "x", "b"), (3, "y", "a")], [(2, "x", "z")], [(3, "z", "q")],
+                [(4, "x", "c"), (4, "y", "a")]]
+    for batch_id, made in enumerate(arrivals):
+        job(spark.createDataFrame([("s", *m) for m in made], "source string, snap int, key string, v string"), batch_id)
+    found = job.read(spark, "changes").select("snapshot", "key", "previous", "current")
+    assert rows(found) == [(3, "x", "a", "b"), (4, "x", "b", "c")]
+    assert rows(job.read(spark, "late").select("snap", "key", "v")) == [(2, "x", "z"), (3, "z", "q")]
