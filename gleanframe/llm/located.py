@@ -71,7 +71,10 @@ def locate(docs: DataFrame, keep: list[str], text: str, kinds: list[Kind],
             return F.struct((end - F.length(found)).alias("start"), F.lit(i).alias("kind_no"), F.lit(kind.name).alias("kind"),
                             end.alias("end"), found.alias("found"))
 
-        return F.filter(F.transform(F.col(f"_m{i}"), span), lambda s: test(kind, s["found"])).cast(SPAN)
+        # Places are added up only for the matches that hold.
+        held = F.filter(F.transform(F.col(f"_m{i}"), lambda found, at: F.struct(found.alias("found"), at.alias("at"))),
+                        lambda m: test(kind, m["found"]))
+        return F.transform(held, lambda m: span(m["found"], m["at"])).cast(SPAN)
 
     found = F.array_sort(F.concat(*[spans(i, k) for i, k in enumerate(kinds)]))
     return rows.select(*keep, found.alias("spans"))

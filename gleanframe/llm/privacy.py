@@ -4,8 +4,10 @@ A protected entity (an e-mail address, IP address, card or telephone number) is
 found by pattern. A term that occurs with one entity far more often than chance
 still points at it when the entity itself is masked. How much it discloses is
 measured over the whole corpus by normalised pointwise mutual information of
-term and entity; in the documents that hold the entity, such terms are
-generalised or, above a second threshold, removed. Built-in functions only.
+term and entity, with the share of the term's rows that hold the entity taken at
+its lower confidence bound: few rows weigh less, and none are left out. Such
+terms are generalised or, above a second threshold, removed. Built-in functions
+only.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from pyspark.sql import functions as F
 from ..session import materialised
 from .located import SPAN, Kind, locate, outside, replaced
 
-# Different texts that must show an entity and a term together.
-SUPPORT = 3
+# Standard errors of the lower bound: one-sided, 90 %.
+BOUND = 1.2816
 GENERALISE_AT = 0.7
 REMOVE_AT = 0.9
-# Terms are words of so many letters and digits, with a letter first.
-TERM = r"\p{L}[\p{L}\p{N}]{3,}+"
+# Terms are words of letters and digits, with a letter first.
+TERM = r"\p{L}[\p{L}\p{N}]*+"
+# Frequent terms that disclose nothing and are kept out of the join with all documents.
+USUAL = 20_000
 
 
 def _digits(found: Column) -> Column:
@@ -61,45 +65,80 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], plain)
 
 
-def _terms(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+def _hashes(text: Column) -> Column:
+    """Hash of each different term."""
+    terms = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+    return F.transform(terms, lambda t: F.xxhash64(t))
 
 
-def disclosing_terms(docs: DataFrame, holders: DataFrame, support: int = SUPPORT, at: float = GENERALISE_AT) -> DataFrame:
-    """``k1, k2, term, disclosure``: the terms of each text that give away an entity it holds.
+def _at_least(part: Column, whole: Column, z: float) -> Column:
+    """Lower confidence bound of the share ``part / whole`` (Wilson)."""
+    share = part / whole
+    middle = share + z * z / (2 * whole)
+    return (middle - z * F.sqrt(share * (1 - share) / whole + z * z / (4 * whole * whole))) / (1 + z * z / whole)
 
+
+def term_rows(docs: DataFrame) -> DataFrame:
+    """``hash, n_term``: rows of ``docs`` that hold each term; the shuffle carries partial counts."""
+    return docs.select(F.explode(_hashes(F.col("text"))).alias("hash")).groupBy("hash").agg(F.count("*").alias("n_term"))
+
+
+def disclosing_terms(holders: DataFrame, spread: DataFrame, rows: int, at: float = GENERALISE_AT,
+                     bound: float = BOUND, everywhere: bool = False) -> DataFrame:
+    """``k1, k2, hash, disclosure``: the terms of each text that give away an entity it holds, by hash.
+
+    ``hash, disclosure`` if ``everywhere``: the terms that give away an entity of any text.
     ``holders(k1, k2, copies, text, spans)`` are the different texts with
-    entities. Shares are of rows of ``docs``, so copies weigh in all of them
-    alike; ``support`` counts different texts.
+    entities, ``spread`` the rows of each term out of ``rows``. Everything is
+    counted in rows, so copies weigh.
     """
     held = holders.select("k1", "k2", "copies", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
-    often = held.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_entity")).where(
-        F.col("texts") >= support).select("entity", "n_entity")
-    held = materialised(held.join(often, "entity"), "held")
-    words = holders.join(held.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select(
-        "k1", "k2", F.explode(_terms(F.col("text"))).alias("term"))
-    pairs = materialised(held.join(words, ["k1", "k2"]).withColumn("hash", F.xxhash64("term")), "pairs")
-    together = pairs.groupBy("entity", "hash", "n_entity").agg(
-        F.count("*").alias("texts"), F.sum("copies").alias("n_both")).where(F.col("texts") >= support)
-    # Every distinct term of every document is counted; the shuffle carries partial counts by hash.
-    corpus = docs.select(F.explode(F.transform(_terms(F.col("text")), lambda t: F.xxhash64(t))).alias("hash"))
-    spread = corpus.groupBy("hash").agg(F.count("*").alias("n_term"))
-    rows = docs.count()
+    counted = held.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_entity"))
+    held = materialised(held.join(counted, "entity"), "held")
+    # Entities of one text only are all met by its terms in the same rows, so one of them stands for all.
+    held = held.withColumn("entity", F.when(F.col("texts") > 1, F.col("entity"))).dropDuplicates(["k1", "k2", "entity"])
+    words = materialised(holders.select("k1", "k2", F.explode(_hashes(F.col("text"))).alias("hash")), "words")
+    pairs = held.join(words, ["k1", "k2"])
+    own = pairs.where("entity is null").select("k1", "k2", "hash", F.col("copies").alias("n_both"), "n_entity")
+    several = materialised(pairs.where("entity is not null").select("k1", "k2", "entity", "hash", "copies", "n_entity"), "pairs")
+    together = several.groupBy("entity", "hash", "n_entity").agg(F.sum("copies").alias("n_both"))
     both = F.col("n_both") / rows
-    gain = F.log(both * rows * rows / (F.col("n_term") * F.col("n_entity")))
+    gain = F.log(_at_least(F.col("n_both"), F.col("n_term"), bound) * rows / F.col("n_entity"))
     # A pair that is in every row says nothing.
-    share = F.when(both < 1, gain / -F.log(both)).otherwise(0.0)
-    telling = together.join(spread, "hash").select("entity", "hash", share.alias("disclosure")).where(F.col("disclosure") >= at)
-    return pairs.join(telling, ["entity", "hash"]).groupBy("k1", "k2", "term").agg(F.max("disclosure").alias("disclosure"))
-
-
-def private_spans(docs: DataFrame, support: int = SUPPORT, generalise_at: float = GENERALISE_AT,
-                  remove_at: float = REMOVE_AT) -> DataFrame:
+    share = F.when(both < 1, gain / -F.log(both)).otherwise(0.0).alias("disclosure")
+
+    def telling(counts: DataFrame, *keys: str) -> DataFrame:
+        return counts.join(spread, "hash").select(*keys, "hash", share).where(F.col("disclosure") >= at)
+
+    # A term met by entities of single texts has few different counts, however many texts hold it.
+    alone = telling(own.select("hash", "n_both", "n_entity").distinct(), "n_both", "n_entity")
+    often = telling(together, "entity")
+    if everywhere:
+        found, keys = alone.select("hash", "disclosure").unionByName(often.select("hash", "disclosure")), ["hash"]
+    else:
+        keys = ["k1", "k2", "hash"]
+        found = own.join(alone, ["hash", "n_both", "n_entity"]).select(*keys, "disclosure").unionByName(
+            several.join(often, ["entity", "hash"]).select(*keys, "disclosure"))
+    return found.groupBy(*keys).agg(F.max("disclosure").alias("disclosure"))
+
+
+def _in_all(texts: DataFrame, telling: DataFrame, spread: DataFrame) -> DataFrame:
+    """``k1, k2, hash, disclosure``: the terms ``telling(hash, disclosure)`` in every text that holds them."""
+    telling = materialised(telling, "telling")
+    usual = spread.join(telling, "hash", "left_anti").orderBy(F.desc("n_term"), "hash").limit(USUAL).select("hash")
+    words = texts.select("k1", "k2", F.explode(_hashes(F.col("text"))).alias("hash"))
+    words = words.join(F.broadcast(materialised(usual, "usual")), "hash", "left_anti")
+    return words.join(telling, "hash").select("k1", "k2", "hash", "disclosure").distinct()
+
+
+def private_spans(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT,
+                  bound: float = BOUND, everywhere: bool = False) -> DataFrame:
     """``doc_id, base, terms`` of every row of ``docs(doc_id, text)``.
 
     ``base`` are the entities' spans (start, kind, end, found), by start and
     kind; ``terms`` the spans of disclosing terms outside of them, of kind
-    ``term`` (generalised) or ``removed``. A text without entities has no terms.
+    ``term`` (generalised) or ``removed``: those that disclose an entity of the
+    same text, or, if ``everywhere``, of any text, also where no entity stands.
     Null and empty texts have no spans; repeated rows and copies have equal
     ones; null ids stay. Other columns are not looked at. No rows: none.
     """
@@ -108,11 +147,18 @@ def private_spans(docs: DataFrame, support: int = SUPPORT, generalise_at: float
     found = materialised(found.select("doc_id", "k1", "k2", F.when(F.size("spans") > 0, F.col("text")).alias("text"), "spans"), "found")
     holders = materialised(found.where("text is not null").groupBy("k1", "k2").agg(
         F.count("*").alias("copies"), F.first("text").alias("text"), F.first("spans").alias("spans")), "holders")
-    telling = disclosing_terms(docs.select("text"), holders, support, generalise_at)
+    spread = materialised(term_rows(docs), "spread")
+    telling = disclosing_terms(holders, spread, found.count(), generalise_at, bound, everywhere)
+    named = holders
+    if everywhere:
+        telling = _in_all(texts, telling, spread)
+        named = texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(
+            holders.select("k1", "k2", "spans"), ["k1", "k2"], "left").withColumn(
+            "spans", F.coalesce("spans", F.lit([]).cast(SPAN)))
     flagged = telling.groupBy("k1", "k2").agg(
-        F.collect_set(F.col("term")).alias("flagged"),
-        F.collect_set(F.when(F.col("disclosure") >= remove_at, F.col("term"))).alias("gone"))
-    placed = _term_spans(holders.join(flagged, ["k1", "k2"]))
+        F.collect_set("hash").alias("flagged"),
+        F.collect_set(F.when(F.col("disclosure") >= remove_at, F.col("hash"))).alias("gone"))
+    placed = _term_spans(named.join(flagged, ["k1", "k2"]))
     return found.select("doc_id", "k1", "k2", F.col("spans").alias("base")).join(placed, ["k1", "k2"], "left").select(
         "doc_id", "base", F.coalesce("terms", F.lit([]).cast(SPAN)).alias("terms"))
 
@@ -120,11 +166,11 @@ def private_spans(docs: DataFrame, support: int = SUPPORT, generalise_at: float
 def _term_spans(texts: DataFrame) -> DataFrame:
     """``k1, k2, terms`` out of ``k1, k2, text, spans, flagged, gone``."""
     rows = texts.select("k1", "k2", F.col("spans").alias("base"), "flagged", "gone", "text")
-    found = locate(rows, ["k1", "k2", "base", "flagged", "gone"], "text", [_TERM])
-    told = F.filter("spans", lambda s: F.array_contains(F.col("flagged"), F.lower(s["found"])))
-    named = F.transform(outside(told, F.col("base")), lambda s: F.struct(
+    found = locate(rows, ["k1", "k2", "base", "flagged", "gone"], "text", [_TERM],
+                   lambda _, term: F.array_contains(F.col("flagged"), F.xxhash64(F.lower(term))))
+    named = F.transform(outside(F.col("spans"), F.col("base")), lambda s: F.struct(
         s["start"].alias("start"), F.lit(len(KINDS)).alias("kind_no"),
-        F.when(F.array_contains(F.col("gone"), F.lower(s["found"])), F.lit("removed")).otherwise(F.lit("term")).alias("kind"),
+        F.when(F.array_contains(F.col("gone"), F.xxhash64(F.lower(s["found"]))), F.lit("removed")).otherwise(F.lit("term")).alias("kind"),
         s["end"].alias("end"), s["found"].alias("found")))
     return found.select("k1", "k2", named.cast(SPAN).alias("terms"))
 

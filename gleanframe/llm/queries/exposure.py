@@ -12,7 +12,7 @@ from ..secrets import secret_spans
 
 
 def op3_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = private_spans(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = private_spans(load(spark, sf_dir, "documents").select("doc_id", "text"), everywhere=True)
     return found.select(
         "doc_id", *[number_of(F.col("base"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),

@@ -219,6 +219,28 @@ def test_disclosing_terms(spark):
     assert "zorblatt" not in rows[0]["clean"] and "[EMAIL]" in rows[0]["clean"] and rows[10]["clean"] == texts[10]
 
 
+def flagged_terms(spark, texts, **how):
+    return {r["doc_id"]: {s["found"] for s in r["terms"]} for r in private_spans(docs_of(spark, texts), **how).collect()}
+
+
+def test_rare_and_copied_entities_are_judged(spark):
+    plain = [f"other words about topic{i % 20} today" for i in range(400)]
+    once = "Bob Zyx about topic1 today bob.z@mail.example.org"
+    copied = "quorn about today +49 30 1234567"
+    found = flagged_terms(spark, [once, *[copied] * 30, *plain])
+    assert {"Bob", "Zyx"} <= found[0] and "quorn" in found[1] and found[1] == found[30]
+    assert not {"about", "today", "topic1"} & (found[0] | found[1]) and not any(found[i] for i in range(31, 431))
+
+
+def test_terms_are_removed_from_all_documents(spark):
+    plain = [f"other words about topic{i % 20} today" for i in range(400)]
+    holders = [f"zorblatt writes about topic{i} today zed@mail.example.org" for i in range(4)]
+    texts = [*holders, "Zorblatt alone", "li today 10.1.2.3", *plain, None, ""]
+    found = flagged_terms(spark, texts, everywhere=True)
+    assert "zorblatt" in found[0] and found[4] == {"Zorblatt"} and found[5] == {"li"}
+    assert not any(found[i] for i in range(6, len(texts)))
+
+
 def test_close_vectors(spark):
     import numpy as np
 
