@@ -34,7 +34,7 @@ def _scored_columns(spark, sf):
 
 
 def _page_sentiment(spark, sf):
-    scored = sentiment.page_sentiment(_docs(spark, sf), lexicon(spark, sf))
+    scored = sentiment.page_sentiment(_docs(spark, sf), lexicon(spark, sf), sentence_chars=sentiment.SENTENCE_CHARS)
     return scored.select(
         "doc_id", "polarity", "subjectivity", "label", "sentence_count", "average_polarity",
         F.col("most_positive")[0]["polarity"].alias("best"), F.col("most_negative")[0]["polarity"].alias("worst"),

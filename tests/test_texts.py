@@ -112,6 +112,14 @@ def test_page_sentiment_extremes_and_limits(spark, lexicon):
     assert cut["polarity"] == 0.75
 
 
+def test_page_sentiment_keeps_whole_sentences(spark, lexicon):
+    text = "It is good " + "and plain " * 20 + "here."
+    row = sentiment.page_sentiment(docs(spark, text), lexicon).first()
+    assert row["most_positive"][0]["text"] == text
+    cut = sentiment.page_sentiment(docs(spark, text), lexicon, sentence_chars=100).first()
+    assert cut["most_positive"][0]["text"] == text[:100]
+
+
 def test_text_profile(spark, lexicon):
     parts = text_profile(docs(spark, " Good software \n in 2024 "), lexicon)
     assert set(parts) == {"summary", "keywords", "bigrams", "entities", "topics", "sentiment"}
