@@ -6,7 +6,7 @@ from importlib import import_module
 
 import corpus_pipeline
 
-MODULES = ["layout", "leaks", "copies", "classes", "exposure", "wording", "search"]
+MODULES = ["layout", "leaks", "copies", "classes", "exposure", "wording", "search", "threads"]
 
 
 def _merged(attribute: str) -> dict:
