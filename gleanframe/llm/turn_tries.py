@@ -295,7 +295,9 @@ def prefix_nodes(turns: DataFrame, members: DataFrame, segment: int = SEGMENT, s
         below = upper.where("segment_root").select("key.*", F.col("children").alias("below_children"),
                                                    F.col("leaves").alias("below_leaves"), F.col("saved").alias("below_saved"))
         nodes = _nodes(paths, segment, below)
-    above = merged.select(F.col("key").alias("parent"), F.col("low").alias("above_low"))
+    # The root of a further segment stands for the node it hangs below, which has more members.
+    above = merged.where(~F.col("segment_root")).select(F.col("key").alias("parent"), F.col("low").alias("above_low")).unionByName(
+        nodes.where("up_depth IS NOT NULL").select(key.alias("parent"), F.col("low").alias("above_low")))
     parted = ["parent", "n", "low", "children", "leaves", "saved"]
     top = upper.where(~F.col("segment_root")).select("key", *parted).join(above, "parent", "left").withColumnRenamed("above_low", "parent_low")
     alone = nodes.where(~F.col("shared")).select(
