@@ -62,15 +62,19 @@ def _record(df: DataFrame, fields: Sequence[str]) -> Column:
 def _pair_up(tagged: DataFrame, by: Sequence[str]) -> DataFrame:
     """One row per key with the last previous and the last current record.
 
-    ``tagged`` holds ``by..., key, is_current, pos, record``.
+    ``tagged`` holds ``by..., key, is_current, pos, record, copies``.
     """
     rank = F.struct("pos", "record")
     current = F.col("is_current")
+
+    def rows(side: Column) -> Column:
+        return F.coalesce(F.sum(F.when(side, F.col("copies"))), F.lit(0).cast("long"))
+
     return tagged.groupBy(*by, "key").agg(
         F.max_by(F.when(~current, F.col("record")), F.when(~current, rank)).alias("prev"),
         F.max_by(F.when(current, F.col("record")), F.when(current, rank)).alias("cur"),
-        F.count_if(~current).alias("prev_copies"),
-        F.count_if(current).alias("cur_copies"),
+        rows(~current).alias("prev_copies"),
+        rows(current).alias("cur_copies"),
     )
 
 
@@ -104,6 +108,11 @@ def changed_fields(paired: DataFrame, by: Sequence[str], fields: Sequence[str])
         lambda c: c.isNotNull(),
     )
     rows = paired.where((F.col("prev_copies") > 0) & (F.col("cur_copies") > 0)).select(*by, "key", F.inline(changed))
+    return measured(rows, by)
+
+
+def measured(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by..., key, field, previous, current`` with the numeric difference, percentage and direction."""
     numbers = rows.withColumn("_p", parse_money(F.coalesce("previous", F.lit("None")))).withColumn(
         "_c", parse_money(F.coalesce("current", F.lit("None"))))
     diff = F.col("_c") - F.col("_p")
@@ -145,7 +154,7 @@ def _tagged(df: DataFrame, key: str, fields: Sequence[str], position: Sequence[s
         _key_text(df, key, position).alias("key"),
         F.lit(is_current).alias("is_current"),
         F.struct(*[F.col(quoted(p)) for p in position], F.lit(0)).alias("pos"),
-        _record(df, fields).alias("record"),
+        _record(df, fields).alias("record"), F.lit(1).cast("long").alias("copies"),
     )
 
 
@@ -264,15 +273,21 @@ def number_snapshots(df: DataFrame, source: str, snapshot: str) -> DataFrame:
         source, snapshot, (F.col("__before") + F.col("__r")).alias("n"), "last_n")
 
 
-def _index(df: DataFrame, source: str, snapshot: str) -> DataFrame:
+def snapshot_index(df: DataFrame, source: str, snapshot: str) -> DataFrame:
     """The numbered snapshots as ``__source, __snapshot, n, last_n``, whatever the table calls them.
 
     Built once and written: Spark then knows its size, sends it to the tasks
     where it is small and joins by shuffle, with skewed snapshots split, where
-    it is not.
+    it is not. The operators below take one as ``index``, for callers that use
+    several of them; without it each builds its own.
     """
+    return materialised(snapshot_numbers(df, source, snapshot), "snapshot-index")
+
+
+def snapshot_numbers(df: DataFrame, source: str, snapshot: str) -> DataFrame:
+    """What ``snapshot_index`` writes."""
     keys = df.select(F.col(quoted(source)).alias("__source"), F.col(quoted(snapshot)).alias("__snapshot"))
-    return materialised(number_snapshots(keys, "__source", "__snapshot"), "snapshot-index")
+    return number_snapshots(keys, "__source", "__snapshot")
 
 
 def _within(df: DataFrame, index: DataFrame, source: str, snapshot: str) -> DataFrame:
@@ -281,32 +296,33 @@ def _within(df: DataFrame, index: DataFrame, source: str, snapshot: str) -> Data
     return df.join(index.select("__source", "__snapshot"), wanted, "left_semi")
 
 
-def retain(df: DataFrame, source: str, snapshot: str, keep: int = MAX_HISTORY) -> DataFrame:
+def retain(df: DataFrame, source: str, snapshot: str, keep: int = MAX_HISTORY, index: DataFrame | None = None) -> DataFrame:
     """Rows of the newest ``keep`` snapshots of every source."""
-    index = _index(df, source, snapshot).where(F.col("last_n") - F.col("n") < keep)
+    index = (index if index is not None else snapshot_index(df, source, snapshot)).where(F.col("last_n") - F.col("n") < keep)
     return _within(df, index, source, snapshot)
 
 
-def latest(df: DataFrame, source: str, snapshot: str, back: int = 0) -> DataFrame:
+def latest(df: DataFrame, source: str, snapshot: str, back: int = 0, index: DataFrame | None = None) -> DataFrame:
     """Rows of each source's newest snapshot, or of the one ``back`` steps before."""
-    index = _index(df, source, snapshot).where(F.col("last_n") - F.col("n") == back)
+    index = (index if index is not None else snapshot_index(df, source, snapshot)).where(F.col("last_n") - F.col("n") == back)
     return _within(df, index, source, snapshot)
 
 
-def previous(df: DataFrame, source: str, snapshot: str) -> DataFrame:
-    return latest(df, source, snapshot, back=1)
+def previous(df: DataFrame, source: str, snapshot: str, index: DataFrame | None = None) -> DataFrame:
+    return latest(df, source, snapshot, back=1, index=index)
 
 
 def paired_snapshots(
     df: DataFrame, source: str, snapshot: str, key: str, fields: Sequence[str], position: Sequence[str],
-    index: DataFrame | None = None,
+    index: DataFrame | None = None, copies: str | None = None,
 ) -> DataFrame:
     """Each snapshot against the one before it: ``source, n, key, prev, cur, ...``.
 
     A row plays the current record of its own snapshot and the previous record
-    of the next one, so the comparison needs no self-join.
+    of the next one, so the comparison needs no self-join. ``copies`` names a
+    column that says for how many rows of its key a row stands.
     """
-    index = index if index is not None else _index(df, source, snapshot)
+    index = index if index is not None else snapshot_index(df, source, snapshot)
     roles = F.array(
         F.struct(F.col("n").alias("n"), F.lit(True).alias("is_current")),
         F.when(F.col("n") < F.col("last_n"), F.struct((F.col("n") + 1).alias("n"), F.lit(False).alias("is_current"))),
@@ -315,12 +331,12 @@ def paired_snapshots(
         F.col(quoted(source)).alias("__source"), F.col(quoted(snapshot)).alias("__snapshot"),
         _key_text(df, key, position).alias("key"),
         F.struct(*[F.col(quoted(p)) for p in position], F.lit(0)).alias("pos"),
-        _record(df, fields).alias("record"),
+        _record(df, fields).alias("record"), (F.col(quoted(copies)) if copies else F.lit(1)).cast("long").alias("copies"),
     ).join(index, ["__source", "__snapshot"])
     tagged = rows.select(
-        F.col("__source").alias(source), "key", "pos", "record",
+        F.col("__source").alias(source), "key", "pos", "record", "copies",
         F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("role")
-    ).select(F.col(quoted(source)), "key", "pos", "record", "role.n", "role.is_current")
+    ).select(F.col(quoted(source)), "key", "pos", "record", "copies", "role.n", "role.is_current")
     return _pair_up(tagged, [source, "n"])
 
 
@@ -331,28 +347,28 @@ def _fields(df: DataFrame, source: str, snapshot: str, value_fields: Sequence[st
 
 def snapshot_diffs(
     df: DataFrame, source: str, snapshot: str, key: str,
-    value_fields: Sequence[str] | None = None, position: Sequence[str] = (),
+    value_fields: Sequence[str] | None = None, position: Sequence[str] = (), index: DataFrame | None = None,
 ) -> DataFrame:
     """``source, n, key, status`` of every key of every snapshot; the first is all added."""
     fields = _fields(df, source, snapshot, value_fields, position)
-    paired = paired_snapshots(df, source, snapshot, key, fields, position)
+    paired = paired_snapshots(df, source, snapshot, key, fields, position, index)
     return paired.select(source, "n", "key", _status(fields).alias("status"))
 
 
 def snapshot_field_changes(
     df: DataFrame, source: str, snapshot: str, key: str,
-    value_fields: Sequence[str] | None = None, position: Sequence[str] = (),
+    value_fields: Sequence[str] | None = None, position: Sequence[str] = (), index: DataFrame | None = None,
 ) -> DataFrame:
     fields = _fields(df, source, snapshot, value_fields, position)
-    return changed_fields(paired_snapshots(df, source, snapshot, key, fields, position), [source, "n"], fields)
+    return changed_fields(paired_snapshots(df, source, snapshot, key, fields, position, index), [source, "n"], fields)
 
 
 def snapshot_summaries(
     df: DataFrame, source: str, snapshot: str, key: str,
-    value_fields: Sequence[str] | None = None, position: Sequence[str] = (),
+    value_fields: Sequence[str] | None = None, position: Sequence[str] = (), index: DataFrame | None = None,
 ) -> DataFrame:
     fields = _fields(df, source, snapshot, value_fields, position)
-    return summarised(paired_snapshots(df, source, snapshot, key, fields, position), [source, "n"], fields)
+    return summarised(paired_snapshots(df, source, snapshot, key, fields, position, index), [source, "n"], fields)
 
 
 def field_history(
@@ -374,11 +390,11 @@ def field_history(
 
 def session_summary(
     df: DataFrame, source: str, snapshot: str, key: str, rules: DataFrame | Sequence[dict] = (),
-    value_fields: Sequence[str] | None = None, position: Sequence[str] = (), keep: int = MAX_HISTORY,
+    value_fields: Sequence[str] | None = None, position: Sequence[str] = (), keep: int = MAX_HISTORY, index: DataFrame | None = None,
 ) -> DataFrame:
     """Per source: retained snapshots, their changes, all alerts, first and last snapshot."""
     fields = _fields(df, source, snapshot, value_fields, position)
-    index = _index(df, source, snapshot)
+    index = index if index is not None else snapshot_index(df, source, snapshot)
     paired = paired_snapshots(df, source, snapshot, key, fields, position, index)
     totals = index.groupBy(F.col("__source").alias(source)).agg(
         F.least(F.max("last_n"), F.lit(keep)).alias("snapshots_taken"),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import changes
-from ..session import load
-from ..streaming import watch
+from ..session import load, materialised, shared_dir
+from ..streaming import keyed, watch
 from .sqltext import half_up
 
 RULES = [
@@ -30,6 +30,38 @@ def snapshots(spark, sf):
     )
 
 
+def _arrivals(spark, sf):
+    """The snapshots as they come in: a week at a time, where a user's rows may be up to four days behind."""
+    at = F.datediff("day", F.lit("2024-01-01").cast("date")) + F.pmod(F.xxhash64("user_id"), F.lit(5))
+    rows = materialised(snapshots(spark, sf).withColumn("week", F.floor(at / 7)).withColumn("day", F.col("day").cast("timestamp")), "arrivals")
+    weeks = rows.agg(F.min("week"), F.max("week")).first()
+    return [rows.where(F.col("week") == w).drop("week").coalesce(1) for w in range(weeks[0], weeks[1] + 1)]
+
+
+def _keyed(spark, sf):
+    """Field changes of single users out of keyed state, over several micro-batches."""
+    root = shared_dir(spark, "keyed")
+    rows = materialised(snapshots(spark, sf), "daily")
+    days = rows.agg(F.min("day"), F.max("day")).first()
+    third = (days[1] - days[0]) / 3
+    for i in range(3):
+        low, high = F.col("day") >= days[0] + i * third, F.col("day") < days[0] + (i + 1) * third
+        rows.where(low & (high if i < 2 else F.lit(True))).coalesce(1).write.mode("append").parquet(f"{root}/input")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, keyed.PROVIDER)
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/input")
+        found = keyed.keyed_changes(stream, **SNAPSHOT, value_fields=FIELDS)
+        found.writeStream.format("parquet").option("path", f"{root}/changes").option(
+            "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.parquet(f"{root}/changes").select(
+        F.col("source").alias("event_type"), F.to_date("snapshot").alias("snapshot"), "key", "field", "previous", "current", "diff",
+        "pct_change", "direction")
+
+
 def _two(spark, sf):
     """All events in two overlapping spans, where the last event of a user wins."""
     events = load(spark, sf, "events")
@@ -61,8 +93,9 @@ QUERIES = {
     "session_summary": lambda spark, sf: changes.session_summary(
         snapshots(spark, sf), **SNAPSHOT, rules=RULES, value_fields=FIELDS, keep=20),
     "watch_stream": lambda spark, sf: watch.replay(
-        snapshots(spark, sf), **SNAPSHOT, value_fields=FIELDS).select(
-            "event_type", "snapshot", "key", "field", "previous", "current", "diff", "pct_change", "direction"),
+        _arrivals(spark, sf), **SNAPSHOT, value_fields=FIELDS, delay="5 days").select(
+            "event_type", F.to_date("snapshot").alias("snapshot"), "key", "field", "previous", "current", "diff", "pct_change", "direction"),
+    "keyed_stream": lambda spark, sf: _keyed(spark, sf),
 }
 
 _SNAPSHOTS = """s AS (SELECT event_type, ts::DATE AS day, user_id, count(*) AS n,
@@ -133,4 +166,12 @@ ORACLES = {
         (SELECT count(*) FROM alerts WHERE alerts.event_type = t.event_type) AS total_alerts FROM t""",
     "watch_stream": f"""WITH {_SNAPSHOTS}, named AS (SELECT fc.*, day AS snapshot FROM fc JOIN idx USING (event_type, num))
       """ + _changes("named", "event_type, snapshot, key,"),
+    "keyed_stream": f"""WITH {_SNAPSHOTS}, seen AS (
+        SELECT event_type, day AS snapshot, user_id::VARCHAR AS key, n::VARCHAR AS cn, total AS ct, last AS cl,
+               lag(n::VARCHAR) OVER w AS pn, lag(total) OVER w AS pt, lag(last) OVER w AS pl
+        FROM s WINDOW w AS (PARTITION BY event_type, user_id ORDER BY day)),
+      fc2 AS (SELECT event_type, snapshot, key, 'n' AS field, pn AS previous, cn AS current FROM seen WHERE pn <> cn
+        UNION ALL SELECT event_type, snapshot, key, 'total', pt, ct FROM seen WHERE pt <> ct
+        UNION ALL SELECT event_type, snapshot, key, 'last', pl, cl FROM seen WHERE pl <> cl)
+      """ + _changes("fc2", "event_type, snapshot, key,"),
 }

@@ -7,7 +7,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from gleanframe.operators import changes as C
-from gleanframe.streaming.watch import SnapshotWatch, watch
+from gleanframe.streaming import keyed
+from gleanframe.streaming.watch import COPIES, SnapshotWatch, closed_snapshots, watch
 
 SCHEMA = "pos int, name string, price string, stock string"
 PREVIOUS = [
@@ -225,3 +226,106 @@ def test_late_and_split_snapshots_stay_out_of_the_state(spark, tmp_path):
     found = job.read(spark, "changes").select("snapshot", "key", "previous", "current")
     assert rows(found) == [(3, "x", "a", "b"), (4, "x", "b", "c")]
     assert rows(job.read(spark, "late").select("snap", "key", "v")) == [(2, "x", "z"), (3, "z", "q")]
+
+
+STREAM = "source string, at timestamp, pos long, key string, price string, note string"
+
+
+def timed(made):
+    """The history with its days as timestamps."""
+    start = datetime(2024, 1, 1)
+    days = sorted({r[1] for r in made})
+    return [(r[0], start + timedelta(days=days.index(r[1])), *r[2:]) for r in made]
+
+
+def test_split_and_shuffled_snapshots_are_closed_by_the_watermark(spark, tmp_path):
+    """Halves of snapshots in different batches, over a restart, give the rows of the batch comparison."""
+    made = history(12)
+    assert [f.name for f in spark.createDataFrame(made[:1], HISTORY).schema] == ["source", "day", "pos", "key", "price", "note"]
+    table = spark.createDataFrame(timed(made), STREAM)
+    job = SnapshotWatch(f"{tmp_path}/store", "source", "at", "key", ["price", "note"], position=["pos"], copies=COPIES)
+    args = dict(source="source", snapshot="at", key="key", value_fields=["price", "note"], delay="5 days", position=["pos"])
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    # Every second row is three days late.
+    half = F.pmod(F.xxhash64("source", "key", "pos", "at"), F.lit(2))
+    arrival = F.floor((F.datediff("at", F.lit("2024-01-01")) + 3 * half) / 4)
+    for part in range(5):
+        rows_of = table.where(arrival == part)
+        if part == 4:
+            rows_of = rows_of.unionByName(spark.createDataFrame([(None, datetime(2025, 1, 1), None, None, None, None)], STREAM))
+        rows_of.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if part % 2 == 0:
+            watch(closed_snapshots(stream, **args), job, f"{tmp_path}/checkpoint", {"availableNow": True}).awaitTermination()
+    found = job.read(spark, "changes").select("source", F.datediff("snapshot", F.lit("2024-01-01")).alias("d"), "key", "field", "previous", "current")
+    names = sorted({r[1] for r in made})
+    assert rows(found) == sorted([(r[0], names.index(r[1]), *r[2:]) for r in restated(made)], key=repr)
+    index = C.number_snapshots(table, "source", "at")
+    batch = C.snapshot_summaries(table, "source", "at", "key", ["price", "note"], ["pos"]).join(index, ["source", "n"])
+    counts = ["source", "added", "removed", "changed", "unchanged_count"]
+    assert rows(job.read(spark, "summaries").select("snapshot", *counts)) == rows(batch.select("at", *counts))
+    # Only two generations of the state are kept.
+    assert sorted(p.name for p in (tmp_path / "store" / "state").iterdir()) == ["slot=0", "slot=1"]
+
+
+def test_sources_that_did_not_come_stay_in_the_state(spark, tmp_path):
+    job = SnapshotWatch(f"{tmp_path}/store", "source", "snap", "key", ["v"])
+    arrivals = [[("a", 1, "x", "1"), ("b", 1, "x", "1")], [("a", 2, "x", "2")], [("a", 3, "x", "3")], [("b", 2, "x", "5")]]
+    for batch_id, made in enumerate(arrivals):
+        job(spark.createDataFrame(made, "source string, snap int, key string, v string"), batch_id)
+    found = job.read(spark, "changes").select("source", "snapshot", "previous", "current")
+    assert rows(found) == [("a", 2, "1", "2"), ("a", 3, "2", "3"), ("b", 2, "1", "5")]
+
+
+def test_keyed_state_over_batches_and_a_restart(spark, tmp_path):
+    made = [("s", f"2024-01-{d:02d}", d * 10 + p, k, f"${(d * 7 + p) % 5}", None if d % 3 else "n")
+            for d in range(1, 13) for k in ("x", "y") for p in range(2) if not (k == "y" and d in (4, 5))]
+    table = spark.createDataFrame(made, "source string, day string, pos long, key string, price string, note string")
+    (tmp_path / "in").mkdir()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, keyed.PROVIDER)
+    try:
+        for low, high in ((1, 4), (5, 5), (6, 12)):
+            table.where(F.substring("day", 9, 2).cast("int").between(low, high)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema(table.schema).parquet(f"{tmp_path}/in")
+            found = keyed.keyed_changes(stream, "source", "day", "key", ["price", "note"], position=["pos"])
+            found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+                "checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    expected = []
+    for key in ("x", "y"):
+        last = {}
+        for _, day, pos, k, price, note in made:
+            if k == key and pos % 10 == 1:
+                for field, value in (("price", price), ("note", note or "None")):
+                    if field in last and last[field] != value:
+                        expected.append((key, day, field, last[field], value))
+                    last[field] = value
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert rows(out.select("key", "snapshot", "field", "previous", "current")) == sorted(expected, key=repr)
+    up = out.where("field = 'price'").select("previous", "current", "direction").collect()
+    assert all((r["direction"] == "up") == (r["current"] > r["previous"]) for r in up)
+
+
+def test_keyed_state_forgets_after_its_time(spark, tmp_path):
+    """With a time to live, a value that was not seen for a second is no longer compared with."""
+    schema = "source string, day string, key string, price string"
+    (tmp_path / "in").mkdir()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, keyed.PROVIDER)
+    try:
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        found = keyed.keyed_changes(stream, "source", "day", "key", ["price"], ttl_ms=1000)
+        # State with a time to live is looked through at every trigger, so such a stream never runs dry by itself.
+        query = found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+            "checkpointLocation", f"{tmp_path}/checkpoint").trigger(processingTime="1 second").start()
+        for day, price in (("1", "a"), ("2", "b")):
+            spark.createDataFrame([("s", day, "x", price)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            query.awaitTermination(12)
+        query.stop()
+    finally:
+        spark.conf.set(setting, before)
+    assert spark.read.schema("previous string").parquet(f"{tmp_path}/out").count() == 0
