@@ -9,6 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from ..session import materialised
 
 # Values that all searches together may have left between their bounds before they are sorted.
 LEFT_VALUES = 200_000
@@ -54,13 +57,6 @@ def adjusted_skewness(col: Column) -> Column:
     return F.when(n < 3, F.lit(None).cast("double")).when(constant, 0.0).otherwise(F.skewness(col) * factor)
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """Pairwise-complete correlation; null instead of an error on a constant."""
-    x = F.when(b.isNotNull(), a.cast("double"))
-    y = F.when(a.isNotNull(), b.cast("double"))
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -97,6 +93,44 @@ def quantiles(
     return found
 
 
+def grouped_quantiles(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """``category, n, quantiles`` of ``counts(category, value, copies)``, exact and interpolated, for any number of groups.
+
+    The distinct values stand in the order of group and value, dealt to range
+    partitions; each partition's copies of a group are added up, so a value's first rank is
+    the copies before its partition plus those before it inside. A group that holds most of the
+    rows spans many partitions. Only the values at the wanted ranks are brought together, a few a group.
+    """
+    spark = counts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = counts.repartitionByRange(parts, "category", "value").withColumn("part", F.spark_partition_id())
+    placed = materialised(placed, "ranked")
+    sums = placed.groupBy("category", "part").agg(F.sum("copies").alias("held"))
+    before = Window.partitionBy("category").orderBy("part")
+    offsets = sums.select("category", "part", (F.sum("held").over(before) - F.col("held")).alias("ahead"),
+                          F.sum("held").over(Window.partitionBy("category")).alias("n"))
+    inside = Window.partitionBy("category", "part").orderBy("value")
+    ranked = placed.withColumn("last", F.sum("copies").over(inside)).join(offsets, ["category", "part"]).select(
+        "category", "n", "value", (F.col("ahead") + F.col("last") - F.col("copies")).alias("first"), (F.col("ahead") + F.col("last")).alias("end"))
+    spot = lambda p: F.lit(float(p)) * (F.col("n") - 1)
+    floors = [F.floor(spot(p)) for p in probs]
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("first") <= rank) & (rank < F.col("end")), F.col("value")))
+
+    wanted = F.lit(False)
+    for low in floors:
+        wanted = wanted | ((F.col("first") <= low + 1) & (low < F.col("end")))
+    few = ranked.where(wanted).groupBy("category", "n").agg(*[
+        x for i, low in enumerate(floors) for x in (at(low).alias(f"low{i}"), at(low + 1).alias(f"next{i}"))])
+
+    def value(i: int, p: float) -> Column:
+        low, following, part = F.col(f"low{i}"), F.col(f"next{i}"), spot(p) - floors[i]
+        return F.when((part == 0) | (following == low), low).otherwise(low + (following - low) * part)
+
+    return few.select("category", "n", F.array(*[value(i, p) for i, p in enumerate(probs)]).alias("quantiles"))
+
+
 def _next_values(
     df: DataFrame, values: dict[str, Column], ranked: dict[tuple[str, int], float]
 ) -> dict[tuple[str, int], float | None]:

@@ -9,8 +9,10 @@ the map side before the shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,6 @@ from pyspark.sql.window import Window
 from ..functions.numeric import (
     adjusted_skewness,
     numeric_columns,
-    pearson,
     present,
     quantiles,
     quoted,
@@ -27,8 +28,9 @@ from ..functions.numeric import (
 )
 from ..functions.patterns import SEMANTIC_NAMES
 
-# Pairs of columns correlated by one aggregate; wide tables take several.
-PAIRS_PER_PASS = 150
+# Columns of a block of products, and the share of a sum of squares below which its spread is rounding.
+GRAM_BLOCK = 64
+CONSTANT = 1e-13
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -184,42 +186,73 @@ def semantic_types(df: DataFrame) -> DataFrame:
     return small_table(df.sparkSession, rows, "column string, semantic_type string")
 
 
-def correlations(df: DataFrame) -> dict[tuple[str, str], float | None]:
-    """Pearson correlation of every pair of numeric columns, null on a constant.
+def _gram(centres: list[float]):
+    """A task's sums over the rows that have both values of each pair of columns, by blocks of columns."""
+    n = len(centres)
 
-    Complete columns share their squared deviations from a mean taken in a
-    first pass, so a pair costs one sum. A pair with gaps is correlated over
-    the rows that have both values.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, ones, squares, products = (np.zeros((n, n)) for _ in range(4))
+        for batch in batches:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - np.array(centres)
+            there = ~np.isnan(values)
+            values = np.where(there, values, 0.0)
+            there = there.astype(float)
+            for a in range(0, n, GRAM_BLOCK):
+                left = slice(a, a + GRAM_BLOCK)
+                count[left] += there[:, left].T @ there
+                ones[left] += values[:, left].T @ there
+                squares[left] += (values[:, left] ** 2).T @ there
+                products[left] += values[:, left].T @ values
+        i, j = np.triu_indices(n, 1)
+        columns = [i, j, count[i, j], ones[i, j], ones[j, i], squares[i, j], squares[j, i], products[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    return run
+
+
+def _pairs(df: DataFrame, names: Sequence[str], stats: dict[str, list]) -> DataFrame:
+    """``i, j, r``: Pearson correlations of the columns, null on a constant; one scan whatever the number of pairs.
+
+    Each task adds up the products of its rows, less the columns' means; pairs with gaps count the rows
+    that have both values. What is summed is one row a task and pair.
     """
+    values = df.select(*[present(df, c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
+    sums = values.mapInArrow(
+        _gram([stats[c][1] or 0.0 for c in names]), "i long, j long, n double, x double, y double, xx double, yy double, xy double"
+    ).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+
+    def spread(square: str, one: str) -> Column:
+        found = F.col(square) - F.col(one) * F.col(one) / F.col("n")
+        return F.when(found > F.col(square) * CONSTANT, found)
+
+    r = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(spread("xx", "x")) / F.sqrt(spread("yy", "y"))
+    return sums.where("n > 0").select("i", "j", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"))
+
+
+def _varied(df: DataFrame) -> tuple[list[str], dict[str, list]]:
+    """Numeric columns with their count, mean, least and largest value."""
     names = numeric_columns(df)
-    values = {c: present(df, c).cast("double") for c in names}
-    found = one_row(df, [F.count("*"), *[
-        x for v in values.values() for x in (F.count(v), F.avg(v), F.min(v), F.max(v))]])
-    stats = {c: found[1 + 4 * i: 5 + 4 * i] for i, c in enumerate(names)}
-    full = [c for c in names if stats[c][0] == found[0]]
-    varied = [c for c in full if stats[c][0] and stats[c][2] < stats[c][3]]
-    off = {c: values[c] - F.lit(stats[c][1]) for c in varied}
-    spread = dict(zip(varied, one_row(df, [F.sum(off[c] * off[c]) for c in varied])))
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    result: dict[tuple[str, str], float | None] = dict.fromkeys(pairs)
-    shared = [(a, b) for a, b in pairs if a in spread and b in spread]
-    gappy = [(a, b) for a, b in pairs if a not in full or b not in full]
-    for start in range(0, len(shared), PAIRS_PER_PASS):
-        part = shared[start: start + PAIRS_PER_PASS]
-        for (a, b), s in zip(part, one_row(df, [F.sum(off[a] * off[b]) for a, b in part])):
-            result[a, b] = max(-1.0, min(1.0, s / (spread[a] ** 0.5 * spread[b] ** 0.5)))
-    for start in range(0, len(gappy), PAIRS_PER_PASS):
-        part = gappy[start: start + PAIRS_PER_PASS]
-        result.update(zip(part, one_row(df, [pearson(values[a], values[b]) for a, b in part])))
-    return result
+    found = one_row(df, [x for c in names for v in [present(df, c).cast("double")] for x in (F.count(v), F.avg(v), F.min(v), F.max(v))])
+    return names, {c: found[4 * i: 4 * i + 4] for i, c in enumerate(names)}
+
+
+def _named_pairs(df: DataFrame, names: list[str], stats: dict[str, list]) -> DataFrame:
+    """``col1, col2, r`` of every pair; null where a column is constant."""
+    columns = F.array(*[F.lit(c) for c in names])
+    moves = F.array(*[F.lit(bool(s[0]) and s[2] < s[3]) for s in stats.values()])
+    at = lambda x, i: F.element_at(x, F.col(i).cast("int") + 1)
+    return _pairs(df, names, stats).select(
+        at(columns, "i").alias("col1"), at(columns, "j").alias("col2"), F.when(at(moves, "i") & at(moves, "j"), F.col("r")).alias("r"))
 
 
 def correlation_pairs(df: DataFrame) -> DataFrame:
     """``col1, col2, correlation, strength, direction``, strongest first."""
-    rows = [(a, b, r) for (a, b), r in correlations(df).items() if r is not None]
+    names, stats = _varied(df)
+    if len(names) < 2:
+        return small_table(df.sparkSession, [], "col1 string, col2 string, correlation double, strength string, direction string")
     r = F.col("r")
     return (
-        small_table(df.sparkSession, rows, "col1 string, col2 string, r double")
+        _named_pairs(df, names, stats).where(r.isNotNull())
         .select(
             "col1", "col2", F.round(r, 4).alias("correlation"),
             F.when(F.abs(r) >= 0.7, "strong").when(F.abs(r) >= 0.4, "moderate").otherwise("weak").alias("strength"),
@@ -231,15 +264,15 @@ def correlation_pairs(df: DataFrame) -> DataFrame:
 
 def correlation_matrix(df: DataFrame) -> DataFrame:
     """``col1, col2, correlation`` of all ordered pairs, the diagonal included."""
-    found = correlations(df)
-    names = numeric_columns(df)
+    names, stats = _varied(df)
     if len(names) < 2:
         return small_table(df.sparkSession, [], "col1 string, col2 string, correlation double")
-    varies = one_row(df, [F.min(present(df, c)) < F.max(present(df, c)) for c in names])
-    rows = [(c, c, 1.0 if v else None) for c, v in zip(names, varies)]
-    for (a, b), r in found.items():
-        rows += [(a, b, r), (b, a, r)]
-    return small_table(df.sparkSession, rows, "col1 string, col2 string, correlation double")
+    same = small_table(df.sparkSession, [(c, c, 1.0 if s[0] and s[2] < s[3] else None) for c, s in stats.items()],
+                       "col1 string, col2 string, correlation double")
+    every = small_table(df.sparkSession, [(a, b) for i, a in enumerate(names) for b in names[i + 1:]], "col1 string, col2 string")
+    found = every.join(_named_pairs(df, names, stats), ["col1", "col2"], "left")
+    sides = F.array(F.struct("col1", "col2"), F.struct(F.col("col2").alias("col1"), F.col("col1").alias("col2")))
+    return same.unionByName(found.select(F.col("r").alias("correlation"), F.inline(sides)))
 
 
 def count_duplicates(df: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def dashboard_data(df: DataFrame, style: C.Style = C.DASHBOARD, order_by: list[s
     if measure:
         panels["histogram"] = C.histogram(df, measure)
         panels["histogram_marks"] = C.histogram_marks(df, measure)
-        panels["density"] = C.kde(df, measure)
+        panels["density"] = C.density(df, measure)
     if axis and numeric:
         panels["area_line"] = C.area_line(df, axis, numeric[:3])
         panels["bar_grouped"] = C.bar_grouped(df, axis, numeric[:3])

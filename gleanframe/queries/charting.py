@@ -55,6 +55,8 @@ QUERIES = {
     "histogram": lambda spark, sf: _rounded(C.histogram(orders(spark, sf), PRICE), "low", "high", digits=4),
     "histogram_marks": lambda spark, sf: _rounded(C.histogram_marks(orders(spark, sf), PRICE), "mean", "median", digits=4),
     "kde": lambda spark, sf: _rounded(C.kde(load(spark, sf, "customer"), "c_acctbal"), "x", "y", digits=4),
+    "density": lambda spark, sf: _rounded(C.density(load(spark, sf, "customer"), "c_acctbal"), "x", "y", digits=4),
+    "box_many": lambda spark, sf: _rounded(C.box(_suppliers(spark, sf), "supplier", "l_extendedprice")[0], "q1", "median", "q3", digits=6),
     "waterfall": lambda spark, sf: _rounded(C.waterfall(load(spark, sf, "part"), "p_name", "p_retailprice"), "start", "end"),
     "funnel": lambda spark, sf: _rounded(C.funnel(orders(spark, sf), CATEGORY, PRICE), "share", digits=8),
     "treemap": lambda spark, sf: _rounded(C.treemap(load(spark, sf, "customer"), "c_mktsegment", "c_acctbal"), "value"),
@@ -75,6 +77,12 @@ def _box(spark, sf):
     return C.box(events, "event_type", "squared")
 
 
+def _suppliers(spark, sf):
+    """Line items by part and supplier, a third of them under one name: thousands of categories, one of them hot."""
+    name = F.when(F.col("l_orderkey") % 3 == 0, "house").otherwise(F.concat_ws("-", "l_suppkey", F.col("l_partkey") % 40))
+    return load(spark, sf, "lineitem").select(name.alias("supplier"), "l_extendedprice")
+
+
 def _sums(table: str, by: str, measures, k: int, order: str, digits=2) -> str:
     shown = ", ".join(f"round(coalesce(sum({m}), 0), {digits})::DOUBLE AS {m}" for m in measures)
     return f"SELECT {by}, {shown} FROM {table} GROUP BY {by} ORDER BY {order} DESC, {by} LIMIT {k}"
@@ -127,6 +135,20 @@ ORACLES = {
       g AS (SELECT p AS point, lo + p * ((hi - lo) / 199) AS x, h, n, lo, hi FROM s, range(200) t(p))
       SELECT point, round(x, 4) AS x, round(sum(exp(-0.5 * ((x - c_acctbal) / h) ** 2)) / (n * h * sqrt(2 * pi())) * n * (hi - lo) / 25, 4) AS y
       FROM g, customer GROUP BY point, x, n, h, lo, hi""",
+    "density": """WITH s AS (SELECT count(c_acctbal) AS n, stddev_samp(c_acctbal) * count(c_acctbal) ** -0.2 AS h, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer),
+      v AS (SELECT (c_acctbal - lo) / (h / 64) AS place, h, lo FROM customer, s WHERE c_acctbal IS NOT NULL),
+      w AS (SELECT floor(place)::BIGINT AS cell, 1 - (place - floor(place)) AS weight FROM v
+            UNION ALL SELECT floor(place)::BIGINT + 1, place - floor(place) FROM v),
+      c AS (SELECT cell, sum(weight) AS weight FROM w GROUP BY 1),
+      g AS (SELECT p AS point, lo + p * ((hi - lo) / 199) AS x, h, n, lo, hi FROM s, range(200) t(p))
+      SELECT point, round(x, 4) AS x, round(sum(weight * exp(-0.5 * ((x - (lo + cell * (h / 64))) / h) ** 2)) / (n * h * sqrt(2 * pi())) * n * (hi - lo) / 25, 4) AS y
+      FROM g, c GROUP BY point, x, n, h, lo, hi""",
+    "box_many": """WITH e AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'house' ELSE l_suppkey || '-' || (l_partkey % 40) END AS category, l_extendedprice AS v FROM lineitem),
+      q AS (SELECT category, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM e GROUP BY 1),
+      j AS (SELECT e.*, q1, median, q3, v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM e JOIN q USING (category))
+      SELECT category, count(*) AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median,
+      round(any_value(q3), 6) AS q3, min(v) FILTER (inside) AS whisker_low, max(v) FILTER (inside) AS whisker_high,
+      count(*) FILTER (NOT inside) AS outliers FROM j GROUP BY 1""",
     "waterfall": """WITH t AS (SELECT p_name AS label, p_retailprice AS value FROM part ORDER BY 2 DESC, 1 LIMIT 10)
       SELECT row_number() OVER w AS position, label, value, round(sum(value) OVER w - value, 2) AS start, round(sum(value) OVER w, 2) AS "end"
       FROM t WINDOW w AS (ORDER BY value DESC, label ROWS UNBOUNDED PRECEDING)""",

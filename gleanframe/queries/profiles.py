@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import profile
-from ..session import load
+from ..operators import profile, sketches
+from ..session import load, materialised
 from .sqltext import strings
 
 
@@ -43,7 +43,34 @@ def flags(spark, sf):
 
 FLAGS = "f AS (SELECT l_returnflag, l_linestatus, l_quantity, l_discount FROM lineitem)"
 
+def _within_rank_error(spark, sf):
+    """Quantiles out of merged daily sketches, each held against its exact rank in the table."""
+    events = load(spark, sf, "events")
+    daily = sketches.quantile_sketches(events.withColumn("day", F.to_date("ts")), ["value"], ["day"])
+    found = materialised(sketches.merged_quantiles(daily, [0.01, 0.25, 0.5, 0.75, 0.99]), "quantiles")
+    values = [r["value"] for r in found.collect()]
+    ranks = events.agg(F.array(*[F.struct(F.lit(v).alias("value"), F.count_if(F.col("value") < v).alias("below"),
+                                          F.count_if(F.col("value") <= v).alias("upto")) for v in values]).alias("r"))
+    placed = found.join(ranks.select(F.inline("r")).dropDuplicates(["value"]), "value")
+    off = F.greatest(F.col("below") / F.col("n") - F.col("prob"), F.col("prob") - F.col("upto") / F.col("n"))
+    return placed.select("column", "n", "prob", (off <= F.col("error")).alias("within"))
+
+
+def _within_bounds(spark, sf):
+    """Distinct counts out of merged daily sketches, each held against the exact count."""
+    columns = ["user_id", "event_type", "value", "event_id"]
+    events = load(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    bounds = sketches.distinct_bounds(sketches.distinct_sketches(events, columns, ["day"]))
+    exact = profile.value_counts_by_column(events.select(*[F.col(c).cast("string").alias(c) for c in columns]), columns).groupBy(
+        "column").agg(F.count("*").alias("unique_count"))
+    return bounds.join(exact, "column").select("column", "unique_count", F.col("unique_count").between(F.col("low"), F.col("high")).alias("within"))
+
+
 QUERIES = {
+    "quantile_sketches": _within_rank_error,
+    "distinct_sketches": _within_bounds,
+    "frequent_values": lambda spark, sf: sketches.frequent_values(
+        load(spark, sf, "documents").select(F.explode(F.split("text", r"\s+")).alias("word")), "word", 15, counters=400),
     "shape": lambda spark, sf: profile.shape(load(spark, sf, "lineitem")),
     "missing": lambda spark, sf: profile.missing(orders(spark, sf)),
     "numeric_stats": lambda spark, sf: profile.numeric_stats(orders(spark, sf)),
@@ -118,6 +145,12 @@ def _score(table: str, columns) -> str:
 
 
 ORACLES = {
+    "quantile_sketches": """SELECT 'value' AS column, (SELECT count(value) FROM events) AS n, prob::DOUBLE AS prob, true AS within
+      FROM (SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.99]) AS prob)""",
+    "distinct_sketches": " UNION ALL ".join(f"SELECT '{c}' AS column, count(DISTINCT {c}) AS unique_count, true AS within FROM events"
+                                            for c in ("user_id", "event_type", "value", "event_id")),
+    "frequent_values": r"""SELECT word, count(*) AS count FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) AS word FROM documents)
+      GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15""",
     "shape": "SELECT count(*) AS rows, 11::BIGINT AS columns FROM lineitem",
     "missing": f'WITH {ORDERS} SELECT "column", count, round(count / n * 100, 2) AS percent FROM ('
                + _union(_gap("o", c) for c in ORDER_COLUMNS) + ")",

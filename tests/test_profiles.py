@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gleanframe.functions.numeric import quantiles
 from gleanframe.operators import charts as C
 from gleanframe.operators import profile as P
+from gleanframe.operators import sketches as S
 from gleanframe.plans import dashboards, profiles
 
 
@@ -132,12 +133,94 @@ def test_pie_other(spark):
     assert rows(C.pie_with_other(table, "s", 3)) == [("a", 3), ("b", 2), ("c", 1)]
 
 
-def test_box_with_many_categories_equals_few(spark, monkeypatch):
-    table = spark.range(600).select((F.col("id") % 6).cast("string").alias("k"), (F.col("id") * F.col("id") % 997).cast("double").alias("v"))
-    few = [rows(t) for t in C.box(table, "k", "v")]
-    monkeypatch.setattr(C, "BOX_CATEGORIES", 3)
-    assert [rows(t) for t in C.box(table, "k", "v")] == few
-    assert len(few[0]) == 6
+def test_box_of_many_uneven_categories(spark):
+    draw = np.random.default_rng(4)
+    made = [("hot", float(v)) for v in draw.integers(0, 50, 3000)] + [(f"k{i % 500}", float(v)) for i, v in enumerate(draw.normal(0, 9, 2000))]
+    made += [("one", 1.0), ("two", 1.0), ("two", 2.0), ("gap", None), (None, 3.0)]
+    table = spark.createDataFrame(made, "k string, v double").repartition(3)
+    summary, beyond = C.box(table, "k", "v")
+    found = {r["category"]: r for r in summary.collect()}
+    groups = {}
+    for k, v in made:
+        if k is not None and v is not None:
+            groups.setdefault(k, []).append(v)
+    assert set(found) == set(groups)
+    out = []
+    for k, values in groups.items():
+        q1, median, q3 = np.quantile(values, [0.25, 0.5, 0.75])
+        inside = [v for v in values if q1 - 1.5 * (q3 - q1) <= v <= q3 + 1.5 * (q3 - q1)]
+        out += [(k, v) for v in values if v not in set(inside)]
+        r = found[k]
+        assert np.allclose([r["q1"], r["median"], r["q3"]], [q1, median, q3], rtol=1e-12)
+        assert (r["n"], r["whisker_low"], r["whisker_high"], r["outliers"]) == (
+            len(values), min(inside), max(inside), len(values) - len(inside))
+    assert rows(beyond) == sorted(out, key=repr)
+    assert C.box(table.limit(0), "k", "v")[0].count() == 0
+
+
+def test_binned_density_is_close(spark):
+    draw = np.random.default_rng(3)
+    for values in (draw.normal(5, 2, 500), np.append(draw.normal(0, 1, 300), [80.0, 80.0, -40.0]), np.repeat([1.0, 2.0], 50)):
+        table = numbers(spark, [*map(float, values), None])
+        exact = [r["y"] for r in C.kde(table, "c0", points=40).orderBy("point").collect()]
+        found = [r["y"] for r in C.density(table, "c0", points=40).orderBy("point").collect()]
+        peak = len(values) * np.ptp(values) / 25 / (values.std(ddof=1) * len(values) ** -0.2 * math.sqrt(2 * math.pi))
+        assert np.abs(np.array(exact) - found).max() <= peak / (8 * C.CELLS**2) + 1e-9
+    assert C.density(numbers(spark, [1.0, 1.0]), "c0").count() == 0
+
+
+def test_correlations_with_gaps_and_constants(spark):
+    draw = np.random.default_rng(2)
+    base = draw.normal(1e6, 3, 400)
+    columns = [base, base * 2 + draw.normal(0, 5, 400), np.full(400, 0.1), draw.normal(0, 1, 400), np.where(np.arange(400) < 200, 7.0, np.nan)]
+    columns[3][::3] = np.nan
+    made = [tuple(None if np.isnan(v) else float(v) for v in row) for row in zip(*columns)]
+    table = spark.createDataFrame(made, ", ".join(f"c{i} double" for i in range(5))).repartition(3)
+    found = {(r["col1"], r["col2"]): r["correlation"] for r in P.correlation_matrix(table).collect()}
+    assert len(found) == 25
+    for i in range(5):
+        for j in range(5):
+            both = ~np.isnan(columns[i]) & ~np.isnan(columns[j])
+            a, b = columns[i][both], columns[j][both]
+            if a.min() == a.max() or b.min() == b.max():
+                assert found[f"c{i}", f"c{j}"] is None
+            else:
+                assert abs(found[f"c{i}", f"c{j}"] - np.corrcoef(a, b)[0, 1]) < 1e-9
+    wide = spark.createDataFrame([tuple(map(float, r)) for r in draw.normal(0, 1, (30, 130))], ", ".join(f"w{i} double" for i in range(130)))
+    assert P.correlation_pairs(wide).count() == 130 * 129 // 2
+
+
+def test_near_ties_are_chosen_as_by_exact_counts(spark):
+    """Columns of almost equal distinct counts: the sketch's bounds overlap, so they are counted."""
+    made = [(f"a{i % 1999}", f"b{i}" if i < 2000 else "b0", f"c{i % 26}", f"d{i % 25}") for i in range(6000)]
+    table = spark.createDataFrame(made, "first string, second string, over string, limit string")
+    choice = C.choose(table)
+    assert choice.best_label == "second" and choice.categories == ["limit"]
+
+
+def test_sketches_merge(spark):
+    draw = np.random.default_rng(9)
+    made = [(int(i % 7), float(v), f"u{int(abs(v) * 3)}") for i, v in enumerate(draw.normal(0, 100, 20_000))]
+    table = spark.createDataFrame([*made, (1, None, None), (8, float("nan"), None)], "day int, v double, u string")
+    quantile = S.merged_quantiles(S.quantile_sketches(table, ["v"], ["day"]), [0.0, 0.1, 0.5, 0.999]).collect()
+    ordered = np.sort([m[1] for m in made])
+    for r in quantile:
+        assert r["n"] == 20_000
+        assert abs(np.searchsorted(ordered, r["value"]) / 20_000 - r["prob"]) <= S.rank_error()
+    bounds = S.distinct_bounds(S.distinct_sketches(table, ["u", "day"], ["day"])).collect()
+    exact = {"u": len({m[2] for m in made}), "day": 8}
+    assert all(b["low"] <= exact[b["column"]] <= b["high"] for b in bounds) and len(bounds) == 2
+
+
+@pytest.mark.parametrize("counters", [5, 40, 10_000])
+def test_frequent_values_are_exact(spark, counters):
+    draw = np.random.default_rng(6)
+    values = [int(v) for v in draw.zipf(1.6, 5000)] + list(range(10**6, 10**6 + 900)) + [None] * 30
+    table = spark.createDataFrame([(v,) for v in values], "v long").repartition(3)
+    assert S.frequent_values(table, "v", 6, counters).collect() == P.value_counts(table, "v", 6).collect()
+    flat = spark.range(300).select((F.col("id") % 100).alias("v"))
+    assert S.frequent_values(flat, "v", 4, counters).collect() == P.value_counts(flat, "v", 4).collect()
+    assert S.frequent_values(table.limit(0), "v").count() == 0
 
 
 def test_column_choice(spark):
