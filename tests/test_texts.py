@@ -1,12 +1,14 @@
 """Text operators on literal rows."""
 
 import re
+import time
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from gleanframe.functions import text as X
+from gleanframe.functions.membership import likely_in
 from gleanframe.operators import chunks, extracts, sentiment, topics, words
 from gleanframe.plans.texts import text_profile, word_count
 
@@ -220,3 +222,43 @@ def test_short_and_empty_texts(spark):
     assert rows(chunks.chunk(docs(spark, "", " as is ", None)).select("doc_id", "chunk")) == [(1, " as is ")]
     with pytest.raises(ValueError):
         chunks.chunk(docs(spark, "x"), overlap=0)
+
+
+def test_counting_per_text_needs_no_shuffle(spark):
+    import contextlib
+    import io
+
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        words.keywords(docs(spark, "a text"), key="doc_id").explain("formatted")
+        words.bigrams(docs(spark, "a text"), key="doc_id").explain("formatted")
+    assert "Exchange" not in text.getvalue()
+
+
+def test_long_texts_are_counted_in_a_sort(spark):
+    body = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnop'[i * i % 6]}" for i in range(60_000))
+    found = words.keywords(docs(spark, body, None, "", "the of"), key="doc_id", top_n=100).collect()
+    counts, first = {}, {}
+    for i, w in enumerate(body.split()):
+        if re.fullmatch("[a-z]{3,}", w):
+            counts[w] = counts.get(w, 0) + 1
+            first.setdefault(w, i)
+    expected = sorted(counts, key=lambda w: (-counts[w], first[w]))[:100]
+    assert [(r["word"], r["count"]) for r in sorted(found, key=lambda r: r["rank"])] == [(w, counts[w]) for w in expected]
+
+
+def test_many_label_pairs_stay_linear(spark):
+    body = "\n".join(f"Label {'abcdefghijklmnopqrstuvwxyz'[i % 26]}: {i}" for i in range(40_000))
+    start = time.time()
+    found = {r["name"]: r["value"] for r in extracts.key_values(docs(spark, body)).collect()}
+    assert time.time() - start < 60
+    assert found["label_a"] == str(max(i for i in range(40_000) if i % 26 == 0)) and len(found) == 26
+
+
+def test_bitmap_holds_every_word(spark):
+    table = spark.createDataFrame([(f"w{i}",) for i in range(3000)] + [(None,)], "word string")
+    test = likely_in(table, "word", 1 << 16)
+    assert table.where("word is not null").where(~test(F.col("word"))).count() == 0
+    others = spark.range(3000).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("word"))
+    assert others.where(test(F.col("word"))).count() < 300
+    assert others.where(likely_in(table.limit(0), "word")(F.col("word"))).count() == 0
