@@ -3,9 +3,10 @@
 A protected entity (an e-mail address, IP address, card or telephone number) is
 found by pattern. A term that occurs with one entity far more often than chance
 still points at it when the entity itself is masked. How much it discloses is
-measured over the whole corpus by normalised pointwise mutual information of
-term and entity, with the share of the term's rows that hold the entity taken at
-its lower confidence bound: few rows weigh less, and none are left out. Such
+measured over the whole corpus: the share of the term's rows that hold the entity, at
+its lower confidence bound, so few rows weigh less and none are left out. The measure does
+not depend on how many other rows there are; where the entity is
+about as frequent as that in all rows, the term says nothing. Such
 terms are generalised or, above a second threshold, removed. Built-in functions
 only.
 """
@@ -18,10 +19,14 @@ from pyspark.sql import functions as F
 from ..session import materialised
 from .located import SPAN, Kind, locate, outside, replaced
 
-# Standard errors of the lower bound: one-sided, 90 %.
-BOUND = 1.2816
-GENERALISE_AT = 0.7
-REMOVE_AT = 0.9
+# Standard errors of the lower bound: one-sided, 95 %.
+BOUND = 1.6449
+# Reached by a term with the entity in three of three rows, or four of five, but not in one of one or two of two.
+GENERALISE_AT = 0.43
+# Seven of seven rows.
+REMOVE_AT = 0.7
+# A share of rows must be so many times the entity's share of all rows.
+LIFT = 2.0
 # Terms are words of letters and digits, with a letter first.
 TERM = r"\p{L}[\p{L}\p{N}]*+"
 # Frequent terms that disclose nothing and are kept out of the join with all documents.
@@ -102,10 +107,8 @@ def disclosing_terms(holders: DataFrame, spread: DataFrame, rows: int, at: float
     own = pairs.where("entity is null").select("k1", "k2", "hash", F.col("copies").alias("n_both"), "n_entity")
     several = materialised(pairs.where("entity is not null").select("k1", "k2", "entity", "hash", "copies", "n_entity"), "pairs")
     together = several.groupBy("entity", "hash", "n_entity").agg(F.sum("copies").alias("n_both"))
-    both = F.col("n_both") / rows
-    gain = F.log(_at_least(F.col("n_both"), F.col("n_term"), bound) * rows / F.col("n_entity"))
-    # A pair that is in every row says nothing.
-    share = F.when(both < 1, gain / -F.log(both)).otherwise(0.0).alias("disclosure")
+    least = _at_least(F.col("n_both"), F.col("n_term"), bound)
+    share = F.when(least * rows > LIFT * F.col("n_entity"), least).otherwise(0.0).alias("disclosure")
 
     def telling(counts: DataFrame, *keys: str) -> DataFrame:
         return counts.join(spread, "hash").select(*keys, "hash", share).where(F.col("disclosure") >= at)
@@ -152,7 +155,9 @@ def private_spans(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_
     named = holders
     if everywhere:
         telling = _in_all(texts, telling, spread)
-        named = texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(
+        telling = materialised(telling, "in-all")
+        wanted = telling.select("k1", "k2").distinct()
+        named = texts.join(wanted, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text")).join(
             holders.select("k1", "k2", "spans"), ["k1", "k2"], "left").withColumn(
             "spans", F.coalesce("spans", F.lit([]).cast(SPAN)))
     flagged = telling.groupBy("k1", "k2").agg(
