@@ -241,7 +241,8 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     placed = anchors.select("k1", "copies", F.explode(F.arrays_zip("nodes", "at")).alias("n")).select(
         "k1", "copies", F.col("n.nodes").alias("node"), F.col("n.at").alias("at"))
-    repeated = placed.groupBy("node").agg(F.sum("copies").alias("n")).where("n > 1").select("node")
+    # What is joined with the rows it was counted on is written first: only then does Spark split a node that very many texts share.
+    repeated = materialised(placed.groupBy("node").agg(F.sum("copies").alias("n")).where("n > 1").select("node"), "repeated")
     # A clash of k1 alone only makes more windows be compared.
     candidates = placed.select("k1", "node", "at").join(repeated, "node").groupBy("k1").agg(F.collect_set("at").alias("wanted"))
     holders = measured.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("_doc"))
@@ -257,9 +258,9 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     steps = graph.select("k1", "k2", F.explode(F.arrays_zip("nodes", "at", "enter", "leave")).alias("s")).select(
         "k1", "k2", F.col("s.nodes").alias("node"), F.col("s.at").alias("at"), F.col("s.enter").alias("enter"),
         F.col("s.leave").alias("leave"))
-    branches = steps.groupBy("node").agg(
+    branches = materialised(steps.groupBy("node").agg(
         ((F.min("enter") == F.max("enter")) & (F.min("enter") != 0)).alias("one_in"),
-        ((F.min("leave") == F.max("leave")) & (F.min("leave") != 0)).alias("one_out"))
+        ((F.min("leave") == F.max("leave")) & (F.min("leave") != 0)).alias("one_out")), "branches")
     marks = steps.select("node", "k1", "k2", "at").join(branches, "node").groupBy("k1", "k2").agg(
         F.collect_list(F.struct("at", "one_in", "one_out")).alias("marks"))
     compared = graph.select("k1", "k2", "copies", "text").join(marks, ["k1", "k2"]).select(
@@ -270,7 +271,7 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     opened = compared.select("k1", "k2", "copies", F.explode("opened").alias("w")).select(
         "k1", "k2", "copies", F.col("w.node").alias("node"), F.col("w.value").alias("value"), F.col("w.start").alias("start"))
-    again = opened.groupBy("node", "value").agg(F.sum("copies").alias("n")).where("n > 1").select("node", "value")
+    again = materialised(opened.groupBy("node", "value").agg(F.sum("copies").alias("n")).where("n > 1").select("node", "value"), "again")
     starts = opened.where("copies = 1").join(again, ["node", "value"]).groupBy("k1", "k2").agg(
         F.collect_list("start").alias("starts"))
     # Copied texts lose all words; only the others are cut.
