@@ -76,8 +76,8 @@ def test_one_of_each(spark):
     assert kept.columns == docs.columns
     first = {c for _, c, _ in brute_classes(TEXTS)}
     ids = [r["doc_id"] for r in kept.collect()]
-    # Rows 4 and 5 of the second table have ids 0 and 1; the smallest id of their class is now 0.
-    assert sorted(i for i in ids if i is not None) == sorted((first - {4}) | {0} | {0, 1, 2}) + [] or 4 not in ids
+    # Texts 4 and 5 come again under the ids 0 and 1, so 0 is now the smallest id of their class, beside the null text's own 0.
+    assert sorted(i for i in ids if i is not None) == sorted([*(first - {4}), 0])
     assert None not in ids
 
 
@@ -207,6 +207,25 @@ def test_random_strings_are_secrets(spark):
     assert [s["found"] for s in found[30]] == ["Zq8Zk2LmP0vXy7RtB5nWdK3"] and found[31] == [] and found[0] == []
 
 
+def test_random_strings_of_any_kind(spark):
+    """Recall on bare random strings of twelve to forty characters, with and without digits, and no false alarm on ordinary ones."""
+    import random
+
+    draw = random.Random(11)
+    kinds = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    made = ["".join(draw.choice(kinds[i % 2]) for _ in range(draw.randrange(12, 40))) for i in range(200)]
+    plain = ["international", "representatives", "row_number_of_batch", "configuration-file", "DataFrameWriter", "2024-01-01T00:00:00",
+             "https//example.org/path/to/page.html", "responsibilities", "org.apache.spark.sql.functions", "1234567890123"]
+    prose = ("The international representatives read the configuration-file of the DataFrameWriter in org.apache.spark.sql.functions "
+             "on 2024-01-01T00:00:00 at https//example.org/path/to/page.html and wrote row_number_of_batch 1234567890 times . ")
+    known = [f"token = {''.join(draw.choice(kinds[0]) for _ in range(32))}" for _ in range(300)]
+    texts = [f"see {m} there" for m in made] + [f"see {p} there" for p in plain] + known + [prose * 3] * 60
+    found = {r["doc_id"]: r["random"] for r in secret_spans(docs_of(spark, texts)).collect()}
+    recall = sum(any(s["found"] == m for s in found[i]) for i, m in enumerate(made)) / len(made)
+    assert recall >= 0.9
+    assert not any(found[len(made) + i] for i in range(len(plain)))
+
+
 def test_disclosing_terms(spark):
     holders = [f"zorblatt writes from zed@mail.example.org about topic{i} today" for i in range(4)]
     texts = [*holders, *[f"other words about topic{i} today" for i in range(40)], "zorblatt alone"]
@@ -228,17 +247,30 @@ def test_rare_and_copied_entities_are_judged(spark):
     once = "Bob Zyx about topic1 today bob.z@mail.example.org"
     copied = "quorn about today +49 30 1234567"
     found = flagged_terms(spark, [once, *[copied] * 30, *plain])
-    assert {"Bob", "Zyx"} <= found[0] and "quorn" in found[1] and found[1] == found[30]
-    assert not {"about", "today", "topic1"} & (found[0] | found[1]) and not any(found[i] for i in range(31, 431))
+    assert "quorn" in found[1] and found[1] == found[30]
+    # One meeting is no evidence; three of three are.
+    assert not found[0] and {"Bob", "Zyx"} <= flagged_terms(spark, [once] * 3 + plain)[0]
+    assert not {"about", "today", "topic1"} & found[1] and not any(found[i] for i in range(31, 431))
+
+
+def test_disclosure_does_not_follow_the_size_of_the_corpus(spark):
+    small = [f"zorblatt writes about topic{i} today zed@mail.example.org" for i in range(4)]
+    small += ["Zorblatt alone", *["quorn sends a list from 10.1.2.3"] * 3, "unrelated gizmo appears once today note a@b.example.net",
+              "twice seen thing c@d.example.org", "twice seen thing c@d.example.org again"]
+    seen = [flagged_terms(spark, [*small, *[f"other words about topic{i % 20} today from a list" for i in range(n)]], everywhere=True)
+            for n in (300, 3000, 30_000)]
+    for found in seen:
+        assert [found[i] for i in range(len(small))] == [seen[0][i] for i in range(len(small))]
+    assert "zorblatt" in seen[0][0] and "quorn" in seen[0][5] and not seen[0][8] and not seen[0][9]
 
 
 def test_terms_are_removed_from_all_documents(spark):
     plain = [f"other words about topic{i % 20} today" for i in range(400)]
     holders = [f"zorblatt writes about topic{i} today zed@mail.example.org" for i in range(4)]
-    texts = [*holders, "Zorblatt alone", "li today 10.1.2.3", *plain, None, ""]
+    texts = [*holders, "Zorblatt alone", *["li today 10.1.2.3"] * 3, *plain, None, ""]
     found = flagged_terms(spark, texts, everywhere=True)
     assert "zorblatt" in found[0] and found[4] == {"Zorblatt"} and found[5] == {"li"}
-    assert not any(found[i] for i in range(6, len(texts)))
+    assert not any(found[i] for i in range(8, len(texts)))
 
 
 def test_close_vectors(spark):
