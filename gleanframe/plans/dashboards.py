@@ -18,6 +18,7 @@ from ..operators.clean import coerce_numeric
 from ..operators.profile import value_counts
 from ..operators.reshape import drop_duplicate_columns
 from ..session import materialised
+from .rows import long_rows
 
 # Fixed value: distinct values up to which a text column counts as a category.
 FEW_VALUES = 20
@@ -49,15 +50,9 @@ def auto_charts(df: DataFrame) -> list[Chart]:
     return charts
 
 
-def chart_list(charts: list[Chart]) -> DataFrame:
-    """``position, kind, columns, points`` of a list of charts."""
-    listed = None
-    for i, chart in enumerate(charts):
-        row = chart.data.agg(F.count("*").alias("points")).select(
-            F.lit(i).cast("long").alias("position"), F.lit(chart.kind).alias("kind"),
-            F.lit(", ".join(chart.columns)).alias("columns"), "points")
-        listed = row if listed is None else listed.unionByName(row)
-    return listed
+def chart_rows(charts: list[Chart]) -> DataFrame:
+    """The rows of a list of charts in long form; a part's name tells its place, kind and columns."""
+    return long_rows([(f"{i}: {c.kind} of {', '.join(c.columns)}", c.data) for i, c in enumerate(charts)])
 
 
 def dashboard_data(df: DataFrame, style: C.Style = C.DASHBOARD, order_by: list[str] | None = None) -> dict[str, DataFrame]:

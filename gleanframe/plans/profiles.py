@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from ..operators.charts import missing_chart
 from .dashboards import Chart, auto_charts
+from .rows import long_rows
 
 EMPTY = "Empty DataFrame"
 
@@ -49,11 +49,6 @@ def analyze(df: DataFrame, order_by: Sequence[str] = ()) -> tuple[dict[str, Data
     return parts, auto_charts(df)
 
 
-def part_sizes(parts: dict[str, DataFrame], charts: Sequence[Chart]) -> DataFrame:
-    """``part, rows`` of everything an analysis returned."""
-    named = [*parts.items(), *((f"chart {i}: {c.kind}", c.data) for i, c in enumerate(charts))]
-    sized = None
-    for name, data in named:
-        row = data.agg(F.count("*").alias("rows")).select(F.lit(name).alias("part"), "rows")
-        sized = row if sized is None else sized.unionByName(row)
-    return sized
+def analysis_rows(parts: dict[str, DataFrame], charts: Sequence[Chart]) -> DataFrame:
+    """All that an analysis returned, in long form."""
+    return long_rows([*parts.items(), *((f"chart {i}: {c.kind}", c.data) for i, c in enumerate(charts))])

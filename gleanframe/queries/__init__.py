@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text", "profiles", "records", "tracking", "charting", "corpus"]
+MODULES = ["text", "profiles", "records", "tracking", "charting", "bundles", "corpus"]
 
 
 def _merged(attribute: str) -> dict:

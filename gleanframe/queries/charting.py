@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import charts as C
-from ..operators import profile, topics, words
-from ..plans import dashboards, profiles
+from ..operators import profile, sentiment, topics, words
 from ..session import load, load_spread
 from .profiles import ORDERS, orders
+from .sqltext import half_up
 from .sqltext import words as words_sql
+from .text import ORACLES as _TEXT
+from .text import lexicon
 
 CATEGORY, PRICE = "o_orderpriority", "o_totalprice"
 MEASURES = ["o_totalprice", "o_orderkey", "o_custkey"]
@@ -29,13 +31,6 @@ def _choices(spark, sf):
         spark, rows, "table string, style string, best_numeric string, best_category string, best_label string, categories string")
 
 
-def _panels(spark, sf):
-    source = load(spark, sf, "orders").drop("o_orderdate")
-    panels = dashboards.dashboard_data(
-        source.withColumn(PRICE, F.concat(F.lit("$"), F.col(PRICE).cast("decimal(12,2)").cast("string"))), order_by=["o_orderkey"])
-    return dashboards.chart_list([dashboards.Chart(name, [], data) for name, data in sorted(panels.items())]).drop("columns")
-
-
 QUERIES = {
     "kpis": lambda spark, sf: _rounded(C.kpis(orders(spark, sf)), "value", "average", "maximum"),
     "kpis_report": lambda spark, sf: _rounded(
@@ -65,10 +60,9 @@ QUERIES = {
     "scatter": lambda spark, sf: C.scatter(orders(spark, sf), PRICE, "o_custkey", "o_orderstatus", CATEGORY),
     "missing_chart": lambda spark, sf: C.missing_chart(profile.missing(orders(spark, sf))),
     "keyword_chart": lambda spark, sf: C.keyword_chart(words.keywords(load_spread(spark, sf, "documents"), top_n=30)),
+    "sentiment_gauge": lambda spark, sf: C.sentiment_gauge(
+        sentiment.sentiment(load_spread(spark, sf, "documents"), lexicon(spark, sf))),
     "topic_chart": lambda spark, sf: C.topic_chart(topics.topics(load_spread(spark, sf, "documents"))),
-    "auto_charts": lambda spark, sf: dashboards.chart_list(dashboards.auto_charts(orders(spark, sf))),
-    "dashboard_data": _panels,
-    "analyze": lambda spark, sf: profiles.part_sizes(*profiles.analyze(orders(spark, sf), ["o_orderkey"])),
 }
 
 
@@ -163,26 +157,8 @@ ORACLES = {
     "missing_chart": f"""WITH {ORDERS} SELECT "column", percent FROM (SELECT 'o_orderstatus' AS column, round(count(*) FILTER (o_orderstatus IS NULL) / count(*) * 100, 2) AS percent FROM o
       UNION ALL SELECT 'o_totalprice', round(count(*) FILTER (o_totalprice IS NULL) / count(*) * 100, 2) FROM o) WHERE percent > 0""",
     "keyword_chart": f"WITH {words_sql()} SELECT word, count(*) AS count FROM words GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
-    "auto_charts": f"""WITH {ORDERS} SELECT i::BIGINT AS position, kind, cols AS columns, points::BIGINT AS points FROM (VALUES
-      (0, 'histogram', 'o_orderkey', 20), (1, 'histogram', 'o_custkey', 20), (2, 'histogram', 'o_totalprice', 20),
-      (3, 'bar', 'o_orderstatus', (SELECT count(DISTINCT o_orderstatus) FROM o)), (4, 'bar', 'o_orderpriority', (SELECT count(DISTINCT o_orderpriority) FROM o)),
-      (5, 'scatter', 'o_orderkey, o_custkey', (SELECT count(*) FROM o)), (6, 'heatmap', 'o_orderkey, o_custkey, o_totalprice', 9),
-      (7, 'pie', 'o_orderstatus', (SELECT count(DISTINCT o_orderstatus) FROM o))) t(i, kind, cols, points)""",
-    "analyze": f"""WITH {ORDERS}, c AS (SELECT count(*) AS n, count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p FROM o)
-      SELECT part, rows::BIGINT AS rows FROM c, LATERAL (VALUES ('shape', 1), ('dtypes', 5), ('missing', 5), ('numeric_stats', 3),
-        ('categorical_stats', least(s, 5) + least(p, 5)), ('duplicates', 1), ('sample_rows', 3), ('semantic_types', 5), ('correlations', 3),
-        ('quality_score', 1), ('missing_chart', 2), ('chart 0: histogram', 20), ('chart 1: histogram', 20), ('chart 2: histogram', 20),
-        ('chart 3: bar', s), ('chart 4: bar', p), ('chart 5: scatter', n), ('chart 6: heatmap', 9), ('chart 7: pie', s)) t(part, rows)""",
-    "dashboard_data": """WITH q AS (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY 1),
-      n AS (SELECT count(*) AS rows, count(DISTINCT o_orderpriority) AS cats FROM orders),
-      out AS (SELECT count(*) AS outside FROM orders JOIN q USING (o_orderpriority)
-              WHERE o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1)),
-      p AS (SELECT unnest(['area_line', 'bar_grouped', 'box', 'breakdown', 'donut', 'stacked', 'summary', 'treemap']) AS kind, cats AS points FROM n
-        UNION ALL SELECT 'box_outliers', outside FROM out UNION ALL SELECT 'density', 200 UNION ALL SELECT 'funnel', 8
-        UNION ALL SELECT 'gauges', 3 UNION ALL SELECT 'heatmap', 9 UNION ALL SELECT 'histogram', 25 UNION ALL SELECT 'histogram_marks', 1
-        UNION ALL SELECT 'kpis', 6 UNION ALL SELECT 'scatter', rows FROM n UNION ALL SELECT 'waterfall', 10)
-      SELECT row_number() OVER (ORDER BY kind) - 1 AS position, kind, points::BIGINT AS points FROM p""",
 }
-from .text import ORACLES as _TEXT  # noqa: E402
 
 ORACLES["topic_chart"] = f"SELECT doc_id, topic, confidence FROM ({_TEXT['topics']})"
+ORACLES["sentiment_gauge"] = f"""SELECT doc_id, {half_up('polarity', 3)} AS value,
+  CASE WHEN polarity >= 0.1 THEN 'good' WHEN polarity <= -0.1 THEN 'bad' ELSE 'middle' END AS band FROM ({_TEXT['sentiment']})"""
