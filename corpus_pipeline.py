@@ -3,6 +3,10 @@
 Every stage takes ``(spark, docs, sf_dir)`` and gives a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All but the last
 return the columns of ``documents``.
+
+All stages: null and empty texts are documents without words, which no stage but
+mixing drops; repeated rows are rows of their own; columns beside those of
+``documents`` are kept under any name; no rows give no rows; texts of any length are worked on whole.
 """
 
 from __future__ import annotations
@@ -21,23 +25,32 @@ SHARDS = 24
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model of the labelled ones does not reject."""
+    """Documents that the model of the labelled ones does not reject.
+
+    Without enough labels for any word to tell, all documents stay. Equal texts share their fate.
+    """
     model = severity.fit(docs.select("doc_id", "text"), load(spark, sf_dir, "labels"))
     return severity.graded(docs, model).where(~F.col("toxic")).select("row.*")
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
+    """One document of each group of near copies, the one with the smallest id.
+
+    Texts without words are no copies of each other. Of rows that share the smallest id one stays.
+    """
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; an empty benchmark leaves all."""
     return clean_documents(docs, load(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target shares, by whole documents: as often as their source's budget takes them."""
+    """Sources in their target shares, by whole documents: as often as their source's budget takes them.
+
+    The null source is one of them. Rows with equal ids stand by their texts; of equal rows it does not matter which is at the cut.
+    """
     sized = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source",
         word_count(F.col("text")).alias("words"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tie"))
@@ -45,8 +58,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with ``shard`` and ``slot``: contiguous shards of nearly equal bytes."""
-    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id",
+    """All documents with ``shard`` and ``slot``: contiguous shards of nearly equal bytes.
+
+    Columns of these two names are replaced. Rows with equal ids are dealt in the order in which they come.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "doc_id",
                         byte_size(F.col("text")).alias("bytes"))
     return shard(sized, SHARDS, size="bytes").select("row.*", "shard", "slot")
 
