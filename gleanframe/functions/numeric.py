@@ -64,13 +64,14 @@ def quantiles(
     left_values: int = LEFT_VALUES,
     accuracy: int = SKETCH_ACCURACY,
     sizes: dict[str, int] | None = None,
+    brackets: dict[str, list[float]] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles of whole columns, by column name.
 
     Every column is narrowed down from both sides, see ``_ranked``, so that no
     task ever holds a column: at most ``left_values`` values of all columns and
     probabilities together. ``sizes`` passes in non-null counts that are known
-    already.
+    already, ``brackets`` what ``bracketing`` gave in the same pass; both spare a scan.
     """
     columns = list(columns)
     if not columns:
@@ -84,8 +85,13 @@ def quantiles(
     if filled:
         spots = {(c, p): p * (sizes[c] - 1) for c in filled for p in probs}
         floors = sorted({(c, math.floor(spot)) for (c, _), spot in spots.items()})
-        ranked = _ranked(df, values, {t: sizes[t[0]] for t in floors}, max(1, left_values // len(floors)), accuracy)
-        following = _next_values(df, values, ranked)
+        around = {}
+        if brackets is not None:
+            around = {(c, math.floor(spot)): brackets[c][2 * i: 2 * i + 2]
+                      for (c, p), spot in spots.items() for i in [list(probs).index(p)]}
+        ranked, following = _ranked(
+            df, values, {t: sizes[t[0]] for t in floors}, max(1, left_values // len(floors)), accuracy, around)
+        following |= _next_values(df, values, {t: v for t, v in ranked.items() if t not in following})
         for (c, p), spot in spots.items():
             at = (c, math.floor(spot))
             low, part = ranked[at], spot - math.floor(spot)
@@ -93,6 +99,12 @@ def quantiles(
     return found
 
 
+def bracketing(value: Column, probs: Sequence[float], accuracy: int = SKETCH_ACCURACY) -> Column:
+    """Two values around each of the quantiles, out of one sketch, for an aggregate that is made anyway."""
+    margin = 2.0 / accuracy
+    return F.percentile_approx(value, [min(1.0, max(0.0, p + off)) for p in probs for off in (-margin, margin)], accuracy)
+
+
 def grouped_quantiles(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
     """``category, n, quantiles`` of ``counts(category, value, copies)``, exact and interpolated, for any number of groups.
 
@@ -135,6 +147,8 @@ def _next_values(
     df: DataFrame, values: dict[str, Column], ranked: dict[tuple[str, int], float]
 ) -> dict[tuple[str, int], float | None]:
     """The value one rank above each of the ranks: the same one if it repeats, else the next larger."""
+    if not ranked:
+        return {}
     row = df.agg(*[
         x for i, ((c, _), at) in enumerate(ranked.items())
         for x in (F.count_if(values[c] <= at).alias(f"n{i}"), F.min(F.when(values[c] > at, values[c])).alias(f"m{i}"))
@@ -165,9 +179,12 @@ class _Search:
 
 
 def _ranked(
-    df: DataFrame, values: dict[str, Column], targets: dict[tuple[str, int], int], left_rows: int, accuracy: int
-) -> dict[tuple[str, int], float]:
-    """Values at 0-based ranks of columns; ``targets`` maps ``(column, rank)`` to the column's size.
+    df: DataFrame, values: dict[str, Column], targets: dict[tuple[str, int], int], left_rows: int, accuracy: int,
+    around: dict[tuple[str, int], list[float]],
+) -> tuple[dict[tuple[str, int], float], dict[tuple[str, int], float | None]]:
+    """Values at 0-based ranks of columns, and those one rank above where the last step shows them.
+
+    ``targets`` maps ``(column, rank)`` to the column's size, ``around`` to two values to begin with.
 
     Each round sketches two values around every rank and counts exactly what
     lies below, between and above them, which settles the rank or narrows its
@@ -186,7 +203,8 @@ def _ranked(
         shared: dict[tuple, list[_Search]] = {}
         for s in wide:
             shared.setdefault((s.column, s.low, s.high), []).append(s)
-        row = df.agg(*[
+        begun = bool(around)
+        row = [] if begun else df.agg(*[
             F.percentile_approx(
                 F.when(group[0].within(values[column]), values[column]),
                 [x for s in group for x in (max(0.0, s.rank / s.left - margin), min(1.0, (s.rank + 1) / s.left + margin))],
@@ -195,7 +213,10 @@ def _ranked(
             for i, ((column, _, _), group) in enumerate(shared.items())
         ]).first()
         wide = [s for group in shared.values() for s in group]
-        sketches = [(found[2 * i], found[2 * i + 1]) for found, group in zip(row, shared.values()) for i in range(len(group))]
+        names = {id(s): t for t, s in searches.items()}
+        sketches = [tuple(around[names[id(s)]]) for s in wide] if begun else [
+            (found[2 * i], found[2 * i + 1]) for found, group in zip(row, shared.values()) for i in range(len(group))]
+        around = {}
         tests = []
         for s, (a, b) in zip(wide, sketches):
             v, inside = values[s.column], s.within(values[s.column])
@@ -214,12 +235,17 @@ def _ranked(
             else:
                 passed = below + at_a + between + at_b
                 s.rank, s.left, s.low = s.rank - passed, s.left - passed, b
-    rest = [s for s in searches.values() if s.value is None]
+    rest = {t: s for t, s in searches.items() if s.value is None}
+    following: dict[tuple[str, int], float | None] = {}
     if rest:
-        picked = df.agg(*[
-            F.get(F.array_sort(F.collect_list(F.when(s.within(values[s.column]), values[s.column]))), F.lit(s.rank)).alias(f"v{i}")
-            for i, s in enumerate(rest)
-        ]).first()
-        for s, value in zip(rest, picked):
-            s.value = value
-    return {t: s.value for t, s in searches.items()}
+        picks = []
+        for s in rest.values():
+            value = values[s.column]
+            inside = F.slice(F.array_sort(F.collect_list(F.when(s.within(value), value))), s.rank + 1, 2)
+            beyond = F.lit(None).cast("double") if s.high is None else F.min(F.when(value >= s.high, value))
+            picks += [inside, beyond]
+        picked = df.agg(*[x.alias(f"v{i}") for i, x in enumerate(picks)]).first()
+        for i, (t, s) in enumerate(rest.items()):
+            pair, beyond = picked[2 * i], picked[2 * i + 1]
+            s.value, following[t] = pair[0], pair[1] if len(pair) > 1 else beyond
+    return {t: s.value for t, s in searches.items()}, following

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numeric import (
     adjusted_skewness,
+    bracketing,
     numeric_columns,
     present,
     quantiles,
@@ -77,12 +78,14 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     """
     names = list(columns) if columns is not None else numeric_columns(df)
     values = {c: present(df, c).cast("double") for c in names}
+    probs = [0.25, 0.5, 0.75]
     stats = one_row(df, [x for c in names for x in (
         F.count(values[c]), F.avg(values[c]), F.stddev_samp(values[c]), F.min(values[c]), F.max(values[c]),
-        adjusted_skewness(values[c]),
+        adjusted_skewness(values[c]), bracketing(values[c], probs),
     )])
-    by_name = {c: stats[6 * i: 6 * i + 6] for i, c in enumerate(names) if stats[6 * i]}
-    quartiles = quantiles(df, list(by_name), [0.25, 0.5, 0.75], sizes={c: s[0] for c, s in by_name.items()})
+    by_name = {c: stats[7 * i: 7 * i + 6] for i, c in enumerate(names) if stats[7 * i]}
+    quartiles = quantiles(df, list(by_name), probs, sizes={c: s[0] for c, s in by_name.items()},
+                          brackets={c: stats[7 * i + 6] for i, c in enumerate(names)})
     outside = iqr_counts(df, quartiles)
     rows = [
         (c, mean, quartiles[c][1], std, low, high, quartiles[c][0], quartiles[c][2], skew, outside[c])
@@ -115,7 +118,10 @@ def iqr_counts(df: DataFrame, quartiles: dict[str, list[float]]) -> dict[str, in
 def outliers_iqr(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column, outliers_iqr`` of every numeric column that holds a value."""
     names = list(columns) if columns is not None else numeric_columns(df)
-    quartiles = {c: q for c, q in quantiles(df, names, [0.25, 0.75]).items() if q[0] is not None}
+    values = {c: present(df, c).cast("double") for c in names}
+    found = one_row(df, [x for c in names for x in (F.count(values[c]), bracketing(values[c], [0.25, 0.75]))])
+    sizes, brackets = dict(zip(names, found[::2])), dict(zip(names, found[1::2]))
+    quartiles = {c: q for c, q in quantiles(df, names, [0.25, 0.75], sizes=sizes, brackets=brackets).items() if q[0] is not None}
     counts = iqr_counts(df, quartiles)
     return small_table(df.sparkSession, list(counts.items()), "column string, outliers_iqr long")
 

@@ -8,7 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from gleanframe.functions.numeric import quantiles
+from gleanframe.functions.numeric import bracketing, quantiles
 from gleanframe.operators import charts as C
 from gleanframe.operators import profile as P
 from gleanframe.operators import sketches as S
@@ -107,6 +107,9 @@ def test_refined_quantiles_are_exact(spark, values):
     for left_values, accuracy in ((120, 100), (900, 1000)):
         found = quantiles(table, ["c0", "c1"], probs, left_values=left_values, accuracy=accuracy)
         expected = np.quantile(values, probs)
+        given = table.agg(bracketing(F.col("c0"), probs, accuracy).alias("a"), bracketing(F.col("c1"), probs, accuracy).alias("b")).first()
+        begun = quantiles(table, ["c0", "c1"], probs, left_values=left_values, accuracy=accuracy, brackets={"c0": given[0], "c1": given[1]})
+        assert begun == found
         assert np.allclose(found["c0"], expected, rtol=1e-12) and np.allclose(found["c1"], expected, rtol=1e-12)
 
 
