@@ -2,7 +2,9 @@
 
 Each task sorts the suffixes of its texts' words (a suffix array a slice of
 text) and looks every benchmark window up by binary search. The benchmark goes
-to the tasks in blocks of bounded size; a block is one pass over the texts.
+to the tasks in blocks of bounded size, one on the driver at a time. A benchmark of one
+block is one pass over the texts. One of more blocks first marks the texts in which
+a window may occur, by a bitmap of all windows' hashes of fixed size, and then passes its blocks over those alone.
 """
 
 from __future__ import annotations
@@ -15,11 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialised
 from . import kernels as K
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 19
+FILTER_BITS = 1 << 22
+# Bits of one row of Spark's bitmap aggregate.
+_BITMAP = 32768
 
 _MATCHES = T.ArrayType(T.StructType([
     T.StructField("item_id", T.LongType()), T.StructField("item_pos", T.LongType()),
@@ -183,6 +189,61 @@ def _search(items: list[tuple[int | None, str]], width: int, text: str) -> K.Ker
     return run
 
 
+def _spans(hasher: K.Hasher, sums: np.ndarray, starts: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    return hasher.spans(sums, starts, starts + size)
+
+
+def _window_hashes(width: int) -> K.Kernel:
+    """Length and hash of every window of every item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, table, fold = K.Hasher(), K.letter_words(True), K.lower_table()
+        for batch in batches:
+            for _, _, data, offsets in K.text_slices(batch.column(0), SLICE_BYTES):
+                hashes, _, _, firsts = hasher.words(data, offsets, table, fold)
+                lengths = np.diff(firsts)
+                short = np.flatnonzero((lengths > 0) & (lengths < width))
+                starts = np.append(K.window_starts(firsts, width), firsts[short])
+                size = np.append(np.full(len(starts) - len(short), width), lengths[short])
+                found = _spans(hasher, hasher.sums(hashes), starts, size) if len(starts) else np.zeros(0, dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(size.astype(np.int64)), pa.array(found.view(np.int64))], ["size", "window"])
+
+    return run
+
+
+def _marked(wanted: np.ndarray, sizes: list[int], text: str) -> K.Kernel:
+    """``row, matches, n_words`` and ``marked``: whether a window may occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, table, fold = K.Hasher(), K.letter_words(True), K.lower_table()
+        for batch in batches:
+            row, matches = batch.column(0), batch.column(1)
+            for first, last, data, offsets in K.text_slices(row.field(text), SLICE_BYTES):
+                hashes, _, _, firsts = hasher.words(data, offsets, table, fold)
+                sums, marked = hasher.sums(hashes), np.zeros(last - first, dtype=bool)
+                for size in sizes:
+                    starts = K.window_starts(firsts, size)
+                    at = (_spans(hasher, sums, starts, size) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                    hit = starts[(wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+                    marked[np.searchsorted(firsts, hit, side="right") - 1] = True
+                yield pa.RecordBatch.from_arrays(
+                    [row.slice(first, last - first), matches.slice(first, last - first), pa.array(np.diff(firsts).astype(np.int64)),
+                     pa.array(marked)], ["row", "matches", "n_words", "marked"])
+
+    return run
+
+
+def _filter(benchmark: DataFrame, width: int) -> tuple[np.ndarray, list[int]]:
+    """The bitmap of all windows' hashes, and the lengths that windows have."""
+    windows = materialised(benchmark.select("text").mapInArrow(_window_hashes(width), "size long, window long"), "windows")
+    place = F.pmod("window", F.lit(FILTER_BITS))
+    wanted = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for part in windows.groupBy(F.floor(place / _BITMAP).cast("int").alias("bucket")).agg(
+            F.bitmap_construct_agg(place % _BITMAP).alias("bits")).collect():
+        wanted[part["bucket"] * _BITMAP // 8 :][: _BITMAP // 8] = np.frombuffer(part["bits"], dtype=np.uint8)
+    return wanted, sorted(r["size"] for r in windows.select("size").distinct().collect())
+
+
 def item_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str]]]:
     """The benchmark's items in blocks of at most ``limit`` bytes (or one item), one block on the driver at a time."""
     block, size = [], 0
@@ -197,7 +258,8 @@ def item_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list
         yield block
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW) -> DataFrame:
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW,
+                      block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``row`` (all columns of ``docs``), ``matches``, ``n_words`` and ``n_hit``, one row a document.
 
     Words are runs of ASCII letters and digits and of everything beyond ASCII,
@@ -206,17 +268,25 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     each longest run of windows found (item, first word in the item, first word
     in the document, words); ``n_hit`` counts the words inside any of them.
     Null texts have no words. Items with a null id count like others; repeated
-    items are found once each; without items every document is clean. Column
+    items are found once each; without items every document is clean. No rows give none; repeated
+    rows are found alike. Column
     names of ``docs`` cannot clash, as they stay inside ``row``.
     """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                       F.lit([]).cast(_MATCHES).alias("matches"))
     schema = T.StructType([T.StructField("row", row.schema["row"].dataType), T.StructField("matches", _MATCHES),
                            T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType())])
-    blocks, found = list(item_blocks(benchmark)) or [[]], row
-    for block in blocks:
-        found = found.select("row", "matches").mapInArrow(_search(block, width, text), schema)
-    return found
+    blocks = item_blocks(benchmark, block_bytes)
+    block, following = next(blocks, []), next(blocks, None)
+    if following is None:
+        return row.mapInArrow(_search(block, width, text), schema)
+    wanted, sizes = _filter(benchmark, width)
+    marked = row.mapInArrow(_marked(wanted, sizes, text), T.StructType([*schema.fields[:3], T.StructField("marked", T.BooleanType())]))
+    found = materialised(marked.where("marked").select("row", "matches"), "marked")
+    while block is not None:
+        found = materialised(found.select("row", "matches").mapInArrow(_search(block, width, text), schema), "searched")
+        block, following = following, next(blocks, None)
+    return marked.where("NOT marked").select("row", "matches", "n_words", F.lit(0).cast("long").alias("n_hit")).unionByName(found)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW) -> DataFrame:

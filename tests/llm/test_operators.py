@@ -112,6 +112,13 @@ def test_decontamination(spark):
     found = {r["row"]["doc_id"]: r for r in benchmark_matches(docs, bench).collect()}
     assert [found[i]["n_hit"] for i in range(len(texts))] == [12, 2, 2, 0, 0, 0, 0, 24]
     assert {(m["item_id"], m["words"]) for m in found[7]["matches"]} == {(7, 12)}
+    # The same in many blocks, behind the bitmap of windows.
+    split = {r["row"]["doc_id"]: r for r in benchmark_matches(docs, bench, block_bytes=20).collect()}
+    assert len(split) == len(texts)
+    for i, r in found.items():
+        by = lambda x: sorted(map(str, x["matches"]))
+        assert (split[i]["n_words"], split[i]["n_hit"], by(split[i])) == (r["n_words"], r["n_hit"], by(r))
+    assert benchmark_matches(docs.limit(0), bench, block_bytes=20).count() == 0
     kept = clean_documents(docs, bench)
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6] and kept.columns == docs.columns
     assert benchmark_matches(docs, bench.limit(0)).where("n_hit > 0").count() == 0
