@@ -163,7 +163,8 @@ def private_spans(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_
     flagged = telling.groupBy("k1", "k2").agg(
         F.collect_set("hash").alias("flagged"),
         F.collect_set(F.when(F.col("disclosure") >= remove_at, F.col("hash"))).alias("gone"))
-    placed = _term_spans(named.join(flagged, ["k1", "k2"]))
+    # Written, so that the rows of a text with very many copies are split in the join.
+    placed = materialised(_term_spans(named.join(flagged, ["k1", "k2"])), "placed")
     return found.select("doc_id", "k1", "k2", F.col("spans").alias("base")).join(placed, ["k1", "k2"], "left").select(
         "doc_id", "base", F.coalesce("terms", F.lit([]).cast(SPAN)).alias("terms"))
 
