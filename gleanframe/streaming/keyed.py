@@ -8,9 +8,11 @@ did not come, so nothing is ever reported as removed.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +21,9 @@ from ..functions.numeric import quoted
 from ..functions.text import value_text
 from ..operators.changes import measured
 
+# The processor travels with the task; workers need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
+
 # Spark keeps a processor's state in this provider only.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _OUT = "source string, key string, snapshot string, field string, previous string, current string"
