@@ -22,12 +22,16 @@ from . import kernels as K
 ROWS_PER_GRADE = 1500
 GRADES = 16
 FEATURES = 1024
+# Distinct features a text brings to the fit, those with the smallest hashes: a text of any length sends 64 KB at most.
+TEXT_FEATURES = 8192
 # Besides whole words, their first so many bytes: inflected forms share them.
 BEGINNINGS = (4, 5, 6, 7, 8)
 # A feature is used if enough sampled rows have it and its share differs by this many standard errors.
 LEAST_ROWS = 4
 ERRORS = 4.0
 HELD_OUT = 0.2
+# Parts of the labelled texts of which one is kept from the fit to measure it.
+PARTS = 5
 # Rows that share so many of the smallest hashes of their features that are in few rows count as copies of one text.
 SKETCH, SHARED, RARE = 8, 5, 0.02
 
@@ -68,8 +72,8 @@ def features_of(data: np.ndarray, offsets: np.ndarray, hasher: K.Hasher, table:
     return np.concatenate(hashes), np.concatenate(rows)
 
 
-def _feature_sets() -> K.Kernel:
-    """Distinct feature hashes of each text; the other columns pass."""
+def _feature_sets(most: int) -> K.Kernel:
+    """Distinct feature hashes of each text, the ``most`` smallest; the other columns pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table, fold = K.Hasher(), K.letter_words(False), K.lower_table()
@@ -78,7 +82,7 @@ def _feature_sets() -> K.Kernel:
                 hashes, rows = features_of(data, offsets, hasher, table, fold)
                 order = np.argsort(rows, kind="stable")
                 cuts = np.searchsorted(rows[order], np.arange(len(offsets)))
-                sets = [np.unique(hashes[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
+                sets = [np.unique(hashes[order[a:b]])[:most] for a, b in zip(cuts[:-1], cuts[1:])]
                 rest = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays(
                     [rest.column(0), rest.column(1),
@@ -164,14 +168,16 @@ def _best_cut(chance: np.ndarray, bad: np.ndarray, weight: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", rows_per_grade: int = ROWS_PER_GRADE,
-        features: int = FEATURES, split_top: bool = True) -> SeverityModel:
+        features: int = FEATURES, text_features: int = TEXT_FEATURES, split_top: bool = False) -> SeverityModel:
     """Model from ``docs(doc_id, text)`` and ``labels(doc_id, grade)``, grades being 0, 1, 2, ...
 
     At most about ``rows_per_grade`` labelled ids of each grade are used, those
     with the smallest hashes, weighted back to their true shares. An id with
-    several labels has the highest; null ids and grades are left out. Labels
-    that only know 0 and 1 give a third grade if ``split_top``: labelled texts
-    with more telling features than the median of the bad ones.
+    several labels has the highest; null ids and grades are left out. Grades are
+    those of the labels: 0 and 1 make one threshold. ``split_top`` adds a third
+    one to those, made of the texts with more telling features than the median
+    of the bad ones that are learnt from. The driver gets at most
+    ``text_features`` feature hashes of each text of the sample.
     Without labels of two grades, every text is of grade 0.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(grade).cast("int").alias("grade")).where(
@@ -190,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", rows_per_grade
     sample = F.broadcast(known.where(chosen))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("doc_id", "grade", "text")
     table = texts.limit(2 * rows_per_grade * len(counts)).mapInArrow(
-        _feature_sets(), "doc_id long, grade int, words array<long>").toArrow()
+        _feature_sets(text_features), "doc_id long, grade int, words array<long>").toArrow()
     if table.num_rows == 0:
         return nothing
     table = table.sort_by([("doc_id", "ascending"), ("grade", "ascending")]).combine_chunks()
@@ -213,9 +219,10 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", rows_per_grade
     shares = np.array([counts.get(g, 0) / max((y == g).sum(), 1) for g in range(y.max() + 1)])
     weight = shares[y] / shares[y].mean()
     if split_top and y.max() == 1:
-        telling = x[y == 1].mean(axis=0) > x[y == 0].mean(axis=0)
+        telling = x[(y == 1) & ~held].sum(axis=0) * max(((y == 0) & ~held).sum(), 1) > (
+            x[(y == 0) & ~held].sum(axis=0) * max(((y == 1) & ~held).sum(), 1))
         number = x[:, telling].sum(axis=1)
-        least = np.median(number[y == 1])
+        least = np.median(number[(y == 1) & ~held]) if ((y == 1) & ~held).any() else np.inf
         if number[y == 1].min() < least == number[y == 1].max():  # the median is tied with the highest
             least -= 0.5
         y = y + ((y == 1) & (number > least))
@@ -268,3 +275,22 @@ def graded(docs: DataFrame, model: SeverityModel, text: str = "text") -> DataFra
         *packed.schema.fields, T.StructField("severity", T.IntegerType()), T.StructField("expected_severity", T.DoubleType()),
         T.StructField("p_toxic", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
     return packed.mapInArrow(_score(model, text), schema)
+
+
+def held_out(docs: DataFrame, labels: DataFrame, grade: str = "toxic", parts: int = PARTS, **settings) -> DataFrame:
+    """``grade, n_rows, n_rejected, expected_severity`` of labelled texts that a model has not seen.
+
+    One part in ``parts`` of the texts, chosen by the hash of the text, so that
+    copies are on one side, is graded by a model fitted on the labels of the
+    others. Each labelled row of ``docs(doc_id, text)`` counts, repeated ids too;
+    null texts are empty ones. Without labels: no rows. ``settings`` go to ``fit``.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(grade).cast("int").alias("grade")).where(
+        "doc_id is not null and grade >= 0").groupBy("doc_id").agg(F.max("grade").alias("grade"))
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
+    held = F.pmod(F.xxhash64(F.lit(23), F.coalesce("text", F.lit(""))), F.lit(parts)) == 0
+    rest = labelled.where(~held)
+    model = fit(rest.select("doc_id", "text"), rest.select("doc_id", "grade"), grade="grade", **settings)
+    return graded(labelled.where(held), model).groupBy(F.col("row.grade").alias("grade")).agg(
+        F.count("*").alias("n_rows"), F.count_if("toxic").alias("n_rejected"),
+        F.avg("expected_severity").alias("expected_severity"))

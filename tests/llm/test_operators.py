@@ -333,7 +333,9 @@ def test_severity(spark):
     assert all(found[i]["toxic"] == (i % 4 == 0) for i in range(200))
     assert found[902]["toxic"] and not found[900]["toxic"] and not found[901]["toxic"]
     assert found[902]["expected_severity"] > found[1]["expected_severity"]
-    assert (sorted(model.cuts) == list(model.cuts)) and len(model.cuts) == 2
+    assert len(model.cuts) == 1
+    parted = severity.fit(docs, table, split_top=True)
+    assert (sorted(parted.cuts) == list(parted.cuts)) and len(parted.cuts) == 2
     assert severity.graded(docs, severity.fit(docs, table.limit(0))).where("toxic").count() == 0
 
 
@@ -341,9 +343,29 @@ def test_ordered_grades(spark):
     rows = [(i, prose(i, 30) + " awful" * (i % 3 > 0) + " vile" * (i % 3 > 1)) for i in range(240)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     grades = spark.createDataFrame([(i, i % 3) for i in range(240)], "doc_id long, grade int")
-    model = severity.fit(docs, grades, grade="grade", split_top=False)
+    model = severity.fit(docs, grades, grade="grade")
+    assert len(model.cuts) == 2
     found = {r["row"]["doc_id"]: r["severity"] for r in severity.graded(docs, model).collect()}
     assert sum(found[i] == i % 3 for i in range(240)) >= 230
+    unseen = severity.held_out(docs, grades, grade="grade").orderBy("grade").collect()
+    rose = [r["expected_severity"] for r in unseen]
+    assert [r["grade"] for r in unseen] == [0, 1, 2] and rose == sorted(rose) and 20 < sum(r["n_rows"] for r in unseen) < 90
+    assert unseen[0]["n_rejected"] == 0 and all(r["n_rejected"] == r["n_rows"] for r in unseen[1:])
+
+
+def test_severity_of_long_repeated_and_absent_rows(spark):
+    rows = [(i, prose(i, 30) + " scum" * (i % 3 == 0)) for i in range(150)]
+    words = " ".join(f"w{i}x" for i in range(60_000))
+    rows += [(500, words), (501, words + " scum"), (7, None), (None, "scum"), (502, "scum"), (502, "scum")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([*[(i, int(i % 3 == 0)) for i in range(150)], (500, 0), (501, 1)], "doc_id long, toxic int")
+    model = severity.fit(docs, labels, text_features=500)
+    out = [(r["row"]["doc_id"], r["toxic"]) for r in severity.graded(docs, model).collect()]
+    assert len(out) == len(rows)
+    assert (500, False) in out and (501, True) in out and (None, True) in out and out.count((502, True)) == 2
+    empty = docs.limit(0)
+    assert severity.graded(empty, model).count() == 0 == severity.graded(empty, severity.fit(empty, labels)).count()
+    assert severity.held_out(empty, labels).count() == 0 == severity.held_out(docs, labels.limit(0)).count()
 
 
 def test_checksums_match_zlib(spark):
