@@ -170,21 +170,33 @@ def extract_records(pages: DataFrame, limits: R.Limits = R.Limits()) -> DataFram
 
 
 def _cleaned_array(df: DataFrame, column: str) -> DataFrame:
-    """Clean and deduplicate each row's array of maps in place, by the record-cleaning rules."""
+    """Clean and deduplicate each row's array of maps in place, by the record-cleaning rules.
+
+    One sort tells the keys that enough records fill, another one the records that came before.
+    """
     keep = [c for c in df.columns if c != column]
-    real = lambda m: F.size(F.map_filter(m, lambda _, v: v.isNotNull() & (v != "")))
-    kept = pinned(df, *keep, raw=F.col(column), kept=F.filter(column, lambda m: real(m) >= 2))
-    keys = pinned(kept, *keep, "raw", "kept", keys=F.array_distinct(F.flatten(F.transform("kept", F.map_keys))))
-    blank = lambda k: F.size(F.filter("kept", lambda m: F.coalesce(F.try_element_at(m, k), F.lit("")) == ""))
-    shares = pinned(keys, *keep, "raw", "kept", dropped=F.filter(
-        "keys", lambda k: blank(k) / F.size("kept") > MISSING_SHARE))
+    filled = lambda m: F.map_filter(m, lambda _, v: v.isNotNull() & (v != ""))
+    kept = pinned(df, *keep, raw=F.col(column), kept=F.filter(column, lambda m: F.size(filled(m)) >= 2))
+    # The least number of records a key must be filled in; rounding decides as for the share itself.
+    rows = F.greatest(F.lit(1), F.size("kept"))
+    about = F.greatest(F.lit(1), F.floor(rows * (1 - MISSING_SHARE)).cast("int"))
+    needed = F.when((rows - about) / rows <= MISSING_SHARE, about).otherwise(about + 1)
+    names = pinned(kept, *keep, "raw", "kept", needed=needed, names=F.array_sort(
+        F.flatten(F.transform("kept", lambda m: F.map_keys(filled(m))))))
+    # In sorted order the same name stands that many places further on.
+    shares = pinned(names, *keep, "raw", "kept", common=F.array_distinct(F.filter(
+        "names", lambda k, i: F.get("names", i + F.col("needed") - 1) == k)))
     tidy = lambda m: F.transform_values(
-        F.map_filter(m, lambda k, _: ~F.array_contains("dropped", k)),
+        F.map_filter(m, lambda k, _: F.array_contains("common", k)),
         lambda _, v: F.when(v.isNull() | (v == ""), FILL).otherwise(strip(v)))
     chosen = F.when(F.size("kept") == 0, F.col("raw")).otherwise(
         F.filter(F.transform("kept", tidy), lambda m: F.size(m) > 0))
-    entries = F.array_distinct(F.transform(chosen, lambda m: F.array_sort(F.map_entries(m))))
-    return pinned(shares, *keep, **{column: F.transform(entries, F.map_from_entries)})
+    entries = pinned(shares, *keep, entries=F.transform(chosen, lambda m: F.array_sort(F.map_entries(m))))
+    placed = pinned(entries, *keep, "entries", placed=F.array_sort(F.transform(
+        "entries", lambda e, i: F.struct(F.to_json(e, {"ignoreNullFields": "false"}).alias("text"), i.alias("i")))))
+    first = F.filter("placed", lambda x, j: (j == 0) | (F.get("placed", j - 1)["text"] != x["text"]))
+    return pinned(placed, *keep, **{column: F.transform(
+        F.array_sort(F.transform(first, lambda x: x["i"])), lambda i: F.map_from_entries(F.get("entries", i)))})
 
 
 def page_records(pages: DataFrame) -> DataFrame:

@@ -161,7 +161,17 @@ def _key_records(spark, sf):
     )
 
 
+def _html_folder(spark, sf):
+    """The pages written by Spark as a folder of files, a page each, and read back from it."""
+    path = shared_dir(spark, "html-folder")
+    load_spread(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html")).write.partitionBy("page_id").text(path)
+    pages = tables.read_pages(spark, f"{path}/*/*.txt", format="html")
+    return pages.select(F.regexp_extract("url", r"page_id=(\d+)", 1).cast("long").alias("page_id"),
+                        F.length("html").cast("long").alias("chars"), F.md5(F.col("html").cast("binary")).alias("html_md5"))
+
+
 QUERIES = {
+    "html_folder": _html_folder,
     "read_pages": lambda spark, sf: tables.read_pages(spark, f"{sf}/pages.parquet").select(
         "page_id", "url", F.length("html").cast("long").alias("chars")),
     "read_csv": _csv_round_trip,
@@ -234,6 +244,9 @@ _WRAPPED = ", ".join(
     f"CASE WHEN json_type(v, '$.{k}') = 'ARRAY' THEN json_extract(v, '$.{k}[*]') END" for k in WRAPPER_KEYS)
 
 ORACLES = {
+    # A file of text ends in a line break.
+    "html_folder": """SELECT page_id, length(coalesce(html, '')) + 1 AS chars, md5(coalesce(html, '') || chr(10)) AS html_md5
+      FROM pages""",
     "read_pages": "SELECT page_id, url, length(html) AS chars FROM pages",
     "read_csv": "SELECT c_custkey::INTEGER AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "write_csv": """SELECT o_orderkey AS order_id, o_custkey AS customer_key, o_orderpriority AS customer_rank,

@@ -124,6 +124,25 @@ def test_page_records_are_cleaned_per_page(spark):
     assert rows(found) == sorted([(1, "u", i + 1, str(i), "x") for i in range(6)] + [(2, "u", 1, None, "only")], key=repr)
 
 
+def test_cleaned_arrays_follow_the_share_of_blanks(spark):
+    from gleanframe.operators.clean import FILL, MISSING_SHARE
+
+    table = []
+    for size in (1, 2, 4, 5, 6, 9, 10, 11, 15, 30, 35):
+        for filled in range(0, 9):
+            records = [{"a": str(i // 2), "b": "x", "c": "y" if i < filled else (None if i % 2 else "")} for i in range(size)]
+            table.append((len(table), records + [{"a": "lone"}]))
+    table += [(900, []), (901, [{"a": "1"}, {"b": ""}, {"a": "1"}])]
+    out = dict(P._cleaned_array(spark.createDataFrame(table, "id long, m array<map<string,string>>"), "m").collect())
+    for key, records in table:
+        kept = [r for r in records if sum(v not in (None, "") for v in r.values()) >= 2]
+        names = {k for r in kept for k in r}
+        gone = {k for k in names if sum(r.get(k) in (None, "") for r in kept) / len(kept) > MISSING_SHARE}
+        clean = [{k: v or FILL for k, v in r.items() if k not in gone} for r in kept] if kept else records
+        want = [r for i, r in enumerate(clean) if r not in clean[:i]]
+        assert out[key] == want, key
+
+
 @pytest.mark.parametrize("url, html, kind", [
     ("https://en.wikipedia.org/wiki/A", "window.__STORE__", "static"),
     ("https://www.reddit.com/r/x", "", "dynamic"),
