@@ -1,9 +1,9 @@
 """Texts, metadata and records out of a table of HTML pages.
 
-Pages are parsed in Arrow batches inside the tasks that read them, each page
-once for all parts asked for. What follows the parse is native: cleaning and
-duplicate removal work on a page's record array inside its row, and only
-column discovery looks across pages.
+Pages are parsed in Arrow batches inside the tasks that read them, a bounded
+slice at a time and each page once for all parts asked for. A page's records are
+cleaned right after its parse; what follows is native, and only column discovery
+looks across pages.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,11 @@ _ARROW_RECORD = pa.list_(pa.struct([
     ("strategy", pa.string()), ("table_no", pa.int64()), ("row_no", pa.int64()),
     ("fields", pa.map_(pa.string(), pa.string())),
 ]))
+_CLEANED = "array<struct<row_no:bigint,field:string,value:string>>"
+_ARROW_CLEANED = pa.list_(pa.struct([("row_no", pa.int64()), ("field", pa.string()), ("value", pa.string())]))
+# What a task parses before it hands the rows on: pages, and bytes of their HTML (a longer page is alone).
+SLICE_ROWS = 1000
+SLICE_BYTES = 4 * 1024 * 1024
 _TYPES = {
     "text": ("string", pa.string()),
     "all_text": ("string", pa.string()),
@@ -46,6 +53,7 @@ _TYPES = {
     "tables": (_RECORD, _ARROW_RECORD),
     "lists": (_RECORD, _ARROW_RECORD),
     "infobox": (_RECORD, _ARROW_RECORD),
+    "cleaned": (_CLEANED, _ARROW_CLEANED),
 }
 
 
@@ -60,6 +68,10 @@ def _read(part: str, root: Node, url: str, limits: R.Limits):
         return R.page_content(root, url)
     if part == "metadata":
         return R.metadata(root)
+    if part == "cleaned":
+        maps = [fields for *_, fields in R.page_records(root, url, limits)]
+        return [{"row_no": i, "field": field, "value": value}
+                for i, fields in enumerate(R.clean_records(maps, MISSING_SHARE, FILL), 1) for field, value in fields.items()]
     if part == "records":
         found = R.page_records(root, url, limits)
     else:
@@ -79,12 +91,25 @@ def _read_page(parts: Sequence[str], html: str, url: str, limits: R.Limits) -> t
         return [_read(part, root, url, limits) for part in parts], f"{type(error).__name__}: {error}"[:200]
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of at most ``SLICE_ROWS`` rows and about ``SLICE_BYTES`` of the column."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        done = int(ends[start - 1]) if start else 0
+        end = int(np.searchsorted(ends, done + SLICE_BYTES, "right"))
+        end = min(max(end, start + 1), start + SLICE_ROWS)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def parse_pages(pages: DataFrame, *parts: str, limits: R.Limits = R.Limits()) -> DataFrame:
     """``page_id, url``, the parts asked for and ``error``, one row per page.
 
     Parts are ``text`` (main region), ``all_text``, ``main_content`` (reader's
-    view), ``content`` (the same with a fallback for short pages), ``metadata``
-    and the record arrays ``records``, ``tables``, ``lists`` and ``infobox``.
+    view), ``content`` (the same with a fallback for short pages), ``metadata``,
+    the record arrays ``records``, ``tables``, ``lists`` and ``infobox``, and
+    ``cleaned``, the fields of the clean, distinct ``records``.
     No page ends the job: ``error`` tells what had to be skipped, or why the
     parts of a page are empty; it is null for a sound page.
     """
@@ -95,12 +120,11 @@ def parse_pages(pages: DataFrame, *parts: str, limits: R.Limits = R.Limits()) ->
                           F.coalesce("html", F.lit("")).alias("html"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            urls = batch.column(1).to_pylist()
+        for batch in (part for whole in batches for part in _slices(whole, 2)):
             rows: list[list] = [[] for _ in parts]
             errors = []
-            for url, html in zip(urls, batch.column(2)):
-                values, error = _read_page(parts, html.as_py(), url, limits)
+            for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                values, error = _read_page(parts, html, url, limits)
                 for held, value in zip(rows, values):
                     held.append(value)
                 errors.append(error)
@@ -172,6 +196,8 @@ def extract_records(pages: DataFrame, limits: R.Limits = R.Limits()) -> DataFram
 def _cleaned_array(df: DataFrame, column: str) -> DataFrame:
     """Clean and deduplicate each row's array of maps in place, by the record-cleaning rules.
 
+    For records that are in a table already; ``R.clean_records`` does the same for a page just parsed.
+
     One sort tells the keys that enough records fill, another one the records that came before.
     """
     keep = [c for c in df.columns if c != column]
@@ -205,12 +231,7 @@ def page_records(pages: DataFrame) -> DataFrame:
     Pages name their fields as they like, so fields are rows and not columns,
     and one pass over the pages is enough.
     """
-    parsed = parse_pages(pages, "records").where(F.size("records") > 0)
-    maps = parsed.select("page_id", "url", F.transform("records", lambda r: r["fields"]).alias("records"))
-    cleaned = _cleaned_array(maps, "records")
-    rows = cleaned.select("page_id", "url", F.posexplode("records").alias("i", "fields"))
-    return rows.select("page_id", "url", (F.col("i") + 1).cast("long").alias("row_no"),
-                       F.explode("fields").alias("field", "value"))
+    return _exploded(parse_pages(pages, "cleaned"), "cleaned")
 
 
 def _ends_with(col: Column, suffixes: Sequence[str]) -> Column:

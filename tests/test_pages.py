@@ -177,3 +177,65 @@ def test_no_page_ends_the_job(spark):
 def test_tolerant_parsing(spark):
     assert text(spark, "<p>a<b>b</p>c</b>d<br/>e</i>f < g") == "a\nb\nc\nd\ne\nf < g"
     assert text(spark, "<div/>x<ruby>k<rt>hidden</rt></ruby><template><p>t</p></template>") == "x\nk"
+
+
+def _tree(node):
+    return node if isinstance(node, str) else (node.name, node.attrs, [_tree(c) for c in node.children])
+
+
+def test_plain_markup_gives_the_parsers_tree():
+    from gleanframe.functions import html as H
+
+    plain = [
+        "", "text &amp; more", "<!DOCTYPE html><p CLASS=a id='b c'>x<br>y<br/> \n <b/>z</p> t",
+        "<table><tr><td>1<td>2</table>a</b>", "<pre> \n</pre> \n <!-- a - b --><i disabled>é</i >",
+        "<script>var t = '</p>' < 1</script><style> </style><a href='?a=1' B=2 b=\"3\">&lt;</a>",
+    ]
+    other = ["a < b", "<![x]>", "<a href='?a&amp;b'>x</a>", "<script>never closed", "<p", "<!--a--b-->", "<a b='<'>", "<?x?>"]
+    for html in plain + other:
+        builder = H._Builder()
+        builder.feed(html)
+        builder.close()
+        assert (H._plain(html) is not None) == (html in plain), html
+        assert _tree(H.parse(html)[0]) == _tree(builder.root), html
+
+
+def test_cells_of_nested_tables_belong_to_all_rows_around_them():
+    from gleanframe.functions import html as H
+    from gleanframe.functions import page_rules as R
+
+    html = "<table><tr><td>a</td><td>b</td></tr><tr><td>1</td><td><table><tr><th>c</th></tr><tr><td>2</td><td>3</td></tr></table></td></tr></table>"
+    assert R.table_records(H.parse(html)[0]) == [(0, 0, {"a": "1", "b": "c23"}), (0, 2, {"a": "2", "b": "3"}), (1, 0, {"c": "2"})]
+
+
+def test_cleaned_records_of_a_page_follow_the_table_rule(spark):
+    from gleanframe.functions import page_rules as R
+
+    cases = [
+        [{"a": "x", "b": " y "}, {"b": "y", "a": "x"}], [{"a": ""}, {"a": ""}, {"b": "x"}], [],
+        [{"a": "x", "b": "y", "c": ""}, {"c": "", "a": "x", "b": "z"}, {"a": "1"}],
+        [{"a": str(i), "b": "y", **({"rare": "1"} if i < 2 else {}), **({"one": "1"} if i == 5 else {})} for i in range(10)],
+    ]
+    table = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "id long, m array<map<string,string>>")
+    native = dict(P._cleaned_array(table, "m").collect())
+    for i, case in enumerate(cases):
+        assert R.clean_records(case, P.MISSING_SHARE, P.FILL) == native[i]
+
+
+def test_pages_are_parsed_a_bounded_slice_at_a_time(monkeypatch):
+    monkeypatch.setattr(P, "SLICE_BYTES", 10)
+    monkeypatch.setattr(P, "SLICE_ROWS", 3)
+    batch = P.pa.RecordBatch.from_pydict({"html": ["x" * n for n in (4, 4, 4, 50, 1, 0, 0, 0, 0, 9)]})
+    found = [part.column(0).to_pylist() for part in P._slices(batch, 0)]
+    assert [len(f) for f in found] == [2, 1, 1, 3, 3] and sum(found, []) == batch.column(0).to_pylist()
+    assert list(P._slices(batch.slice(0, 0), 0)) == []
+
+
+def test_spread_tables_get_more_tasks_with_their_size(spark, tmp_path, monkeypatch):
+    from gleanframe import session
+
+    spark.range(100000).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    monkeypatch.setattr(session, "SPREAD_BYTES", 20000)
+    spread = session.load_spread(spark, str(tmp_path), "t")
+    sizes = [r["count"] for r in spread.groupBy(P.F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 10 and max(sizes) < 1.5 * 100000 / len(sizes) and spread.distinct().count() == 100000
