@@ -44,17 +44,18 @@ def _keyed(spark, sf):
     rows = materialised(snapshots(spark, sf), "daily")
     days = rows.agg(F.min("day"), F.max("day")).first()
     third = (days[1] - days[0]) / 3
-    for i in range(3):
-        low, high = F.col("day") >= days[0] + i * third, F.col("day") < days[0] + (i + 1) * third
-        rows.where(low & (high if i < 2 else F.lit(True))).coalesce(1).write.mode("append").parquet(f"{root}/input")
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
     spark.conf.set(setting, keyed.PROVIDER)
     try:
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/input")
-        found = keyed.keyed_changes(stream, **SNAPSHOT, value_fields=FIELDS)
-        found.writeStream.format("parquet").option("path", f"{root}/changes").option(
-            "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        # What came since the last run is one micro-batch, whatever the number of its files.
+        for i in range(3):
+            low, high = F.col("day") >= days[0] + i * third, F.col("day") < days[0] + (i + 1) * third
+            rows.where(low & (high if i < 2 else F.lit(True))).write.mode("append").parquet(f"{root}/input")
+            stream = spark.readStream.schema(rows.schema).parquet(f"{root}/input")
+            found = keyed.keyed_changes(stream, **SNAPSHOT, value_fields=FIELDS)
+            found.writeStream.format("parquet").option("path", f"{root}/changes").option(
+                "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(setting, before)
     return spark.read.parquet(f"{root}/changes").select(

@@ -11,9 +11,8 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -30,28 +29,33 @@ _OUT = "source string, key string, snapshot string, field string, previous strin
 
 
 class LastValues(StatefulProcessor):
-    """The last value of each field of one key."""
+    """The last value of each field of one key, in one piece of state: all fields of a row are seen together."""
 
     def __init__(self, fields: Sequence[str], ttl_ms: int | None):
         self.fields, self.ttl_ms = list(fields), ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "field string", "value string", ttlDurationMs=self.ttl_ms)
+        schema = ", ".join(f"f{i} string" for i in range(len(self.fields)))
+        self.last = handle.getValueState("last", schema, ttlDurationMs=self.ttl_ms)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:
         """A key's rows of one micro-batch, in the order of snapshot and position."""
-        own = pd.concat(list(rows), ignore_index=True).sort_values(["snapshot", "rank"], kind="stable")
-        own = own.drop_duplicates("snapshot", keep="last")
-        found = []
-        for i, field in enumerate(self.fields):
-            known = self.last.getValue((field,)) if self.last.containsKey((field,)) else None
-            before = None if known is None else known[0]
-            for snapshot, value in zip(own["snapshot"], own[f"f{i}"]):
-                if before is not None and before != value:
-                    found.append((*key, snapshot, field, before, value))
-                before = value
-            self.last.updateValue((field,), (before,))
-        yield pd.DataFrame(found, columns=["source", "key", "snapshot", "field", "previous", "current"])
+        newest: dict[str, tuple] = {}
+        for row in rows:
+            snapshot, rank, *values = row[2:]
+            if snapshot not in newest or newest[snapshot][0] <= rank:
+                newest[snapshot] = rank, values
+        known = self.last.get()
+        before = tuple(known) if known is not None else None
+        found: list[list[Row]] = [[] for _ in self.fields]
+        for snapshot, (_, values) in sorted(newest.items()):
+            for i, field in enumerate(self.fields):
+                if before is not None and before[i] != values[i]:
+                    found[i].append(Row(source=key[0], key=key[1], snapshot=snapshot, field=field, previous=before[i], current=values[i]))
+            before = tuple(values)
+        self.last.update(before)
+        for changes in found:
+            yield from changes
 
     def close(self) -> None:
         pass
@@ -79,6 +83,6 @@ def keyed_changes(
     rows = stream.where(F.col(quoted(snapshot)).isNotNull()).select(
         text(source).alias("source"), text(key).alias("key"), F.col(quoted(snapshot)).cast("string").alias("snapshot"),
         rank.alias("rank"), *[text(f).alias(f"f{i}") for i, f in enumerate(value_fields)])
-    found = rows.groupBy("source", "key").transformWithStateInPandas(
+    found = rows.groupBy("source", "key").transformWithState(
         LastValues(value_fields, ttl_ms), _OUT, "Append", "None" if ttl_ms is None else "ProcessingTime")
     return measured(found, ["source", "snapshot"])

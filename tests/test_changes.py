@@ -329,3 +329,28 @@ def test_keyed_state_forgets_after_its_time(spark, tmp_path):
     finally:
         spark.conf.set(setting, before)
     assert spark.read.schema("previous string").parquet(f"{tmp_path}/out").count() == 0
+
+
+def test_keyed_state_is_read_and_written_once_a_key_and_batch():
+    class State:
+        value, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, *args, **kwargs):
+            return State()
+
+    one = keyed.LastValues(["a", "b"], None)
+    one.init(Handle())
+    rows = [("s", "k", "2", "", "1", "x"), ("s", "k", "1", " 1", "0", "x"), ("s", "k", "1", " 0", "9", "w")]
+    found = list(one.handleInputRows(("s", "k"), iter(rows), None))
+    assert [tuple(r) for r in found] == [("s", "k", "2", "a", "0", "1")] and State.calls == ["get", "update"]
+    found = list(one.handleInputRows(("s", "k"), iter([("s", "k", "3", "", "1", "y")]), None))
+    assert [tuple(r) for r in found] == [("s", "k", "3", "b", "x", "y")]
