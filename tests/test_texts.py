@@ -262,3 +262,20 @@ def test_bitmap_holds_every_word(spark):
     others = spark.range(3000).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("word"))
     assert others.where(test(F.col("word"))).count() < 300
     assert others.where(likely_in(table.limit(0), "word")(F.col("word"))).count() == 0
+
+
+def test_sentences_are_not_sent_with_every_word(spark, lexicon):
+    import contextlib
+    import io
+
+    from gleanframe.operators.sentiment import page_sentiment
+
+    table = docs(spark, "Good and bad. A good one! Nothing here", "", "good good good")
+    scored = page_sentiment(table, lexicon)
+    assert {r["doc_id"]: [s["text"] for s in r["most_positive"]] for r in scored.collect() if r["sentence_count"]} == {
+        r["doc_id"]: r["t"] for r in scored.selectExpr("doc_id", "transform(most_positive, s -> s.text) t").collect() if r["t"]}
+    assert all(s["text"] for r in scored.collect() for s in r["most_positive"])
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        scored.select("doc_id", "polarity", "label", "sentence_count").explain("formatted")
+    assert "any_value" not in plan.getvalue()
