@@ -164,8 +164,10 @@ def _key_records(spark, sf):
 def _html_folder(spark, sf):
     """The pages written by Spark as a folder of files, a page each, and read back from it."""
     path = shared_dir(spark, "html-folder")
-    load_spread(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html")).write.partitionBy("page_id").text(path)
-    pages = tables.read_pages(spark, f"{path}/*/*.txt", format="html")
+    # Every task has a folder of its own, which is committed and listed as one; pages of equal ids are files of their own.
+    load_spread(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"), F.spark_partition_id().alias("part")).write.partitionBy(
+        "part", "page_id").option("maxRecordsPerFile", 1).text(path)
+    pages = tables.read_pages(spark, f"{path}/part=*", format="html", nested=True)
     return pages.select(F.regexp_extract("url", r"page_id=(\d+)", 1).cast("long").alias("page_id"),
                         F.length("html").cast("long").alias("chars"), F.md5(F.col("html").cast("binary")).alias("html_md5"))
 

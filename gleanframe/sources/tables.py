@@ -15,13 +15,17 @@ from ..operators.reshape import flatten
 _QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def read_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """``page_id, url, html`` from Parquet, or with ``format="html"`` one page per file of a folder or pattern."""
+def read_pages(spark: SparkSession, path: str, format: str = "parquet", nested: bool = False) -> DataFrame:
+    """``page_id, url, html`` from Parquet, or with ``format="html"`` one page per file of a folder or pattern.
+
+    With ``nested`` the files of all folders below count too. Give a pattern of folders rather than of files where there are
+    many: folders are listed by tasks, a pattern of files by the driver.
+    """
     if format not in ("parquet", "html"):
         raise ValueError("format is parquet or html")
     if format == "parquet":
         return spark.read.parquet(path).select("page_id", "url", "html")
-    files = spark.read.text(path, wholetext=True)
+    files = spark.read.option("recursiveFileLookup", nested).text(path, wholetext=True)
     url = F.col("_metadata.file_path")
     return files.select(F.xxhash64(url).alias("page_id"), url.alias("url"), F.col("value").alias("html"))
 

@@ -212,3 +212,12 @@ def test_freshness(spark):
     as_of = datetime(2024, 1, 1, 11, 0, 0)
     assert rows(crawl_log.fresh_rows(log, as_of).select("url", "payload")) == [("a", "new"), ("c", "at the limit")]
     assert crawl_log.freshness_stats(log, as_of).first()[:] == (5, 2, 3, 33)
+
+
+def test_pages_of_equal_ids_stay_files_of_their_own(spark, tmp_path):
+    from gleanframe.queries.records import QUERIES
+
+    spark.createDataFrame([(i % 3, "u", f"page {i}") for i in range(30)], "page_id long, url string, html string").coalesce(1).write.parquet(
+        f"{tmp_path}/pages.parquet")
+    found = QUERIES["html_folder"](spark, str(tmp_path)).collect()
+    assert len(found) == 30 and len({r["html_md5"] for r in found}) == 30 and {r["page_id"] for r in found} == {0, 1, 2}
