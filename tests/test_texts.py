@@ -279,3 +279,36 @@ def test_sentences_are_not_sent_with_every_word(spark, lexicon):
     with contextlib.redirect_stdout(plan):
         scored.select("doc_id", "polarity", "label", "sentence_count").explain("formatted")
     assert "any_value" not in plan.getvalue()
+
+
+def test_phrases_are_counted_in_more_tasks_as_documents_grow(spark, tmp_path, monkeypatch):
+    import contextlib
+    import io
+    import os
+
+    from gleanframe import session
+    from gleanframe.queries.text import QUERIES
+
+    letters = "abcdefghijklmnop"
+    texts = [" ".join("word" + letters[i * n % 16] + letters[n % 16] + letters[i % 16] for n in range(40)) for i in range(300)]
+    table = docs(spark, *texts, *["very same text"] * 400, *texts[:50], None, "", "one").coalesce(1)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    files = [f"{tmp_path}/documents.parquet/{f}" for f in os.listdir(f"{tmp_path}/documents.parquet") if f.endswith(".parquet")]
+    monkeypatch.setattr(session, "SPREAD_BYTES", sum(map(os.path.getsize, files)) // 100)
+    found = QUERIES["bigrams"](spark, str(tmp_path))
+    assert [tuple(r) for r in found.collect()] == [tuple(r) for r in words.bigrams(table).collect()]
+    assert [tuple(r) for r in found.collect()][:2] == [("same text", 400), ("very same", 400)]
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        QUERIES["bigrams"](spark, str(tmp_path)).explain()
+    shuffles = [(name, int(n)) for name, n in re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?, (\d+)\)", plan.getvalue())]
+    assert plan.getvalue().count("Exchange") == len(shuffles) == 2
+    assert dict(shuffles)["phrase"] >= 12 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_deals_are_added_up_however_the_table_lies(spark):
+    table = docs(spark, "red blue red blue", None, "red blue", "blue red", "red blue").withColumn(
+        "d", F.when(F.col("doc_id") < 4, F.col("doc_id") % 2))
+    for t in (table, table.repartition(3, "d"), table.withColumn("d", F.lit(1))):
+        for tasks in (None, 1, 5):
+            assert rows(words.bigrams(t, deal="d", tasks=tasks)) == [("blue red", 2), ("red blue", 4)]
