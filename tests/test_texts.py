@@ -281,6 +281,39 @@ def test_sentences_are_not_sent_with_every_word(spark, lexicon):
     assert "any_value" not in plan.getvalue()
 
 
+def test_sentences_are_not_sent_for_their_scores(spark, tmp_path):
+    import contextlib
+    import io
+
+    from gleanframe.queries.text import QUERIES
+
+    table = spark.createDataFrame(
+        [(0, "Good one. Nothing. Bad one! More? Last"), (1, None), (2, ""), (3, "Only silence here. And here"),
+         (4, "Good one. Nothing. Bad one"), (4, "Good one. Nothing. Bad one"), (4, "Good one"), (None, "Bad one. Good one"), (None, "Bad one")],
+        "doc_id long, text string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("good bad",)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = QUERIES["page_sentiment"](spark, str(tmp_path))
+    good, bad = ((4 * 5 + 103) % 27 - 13) / 16, ((3 * 5 + 98) % 27 - 13) / 16
+    rounded = lambda x, n: int(abs(x) * 10**n + 0.5) / 10**n * (1 if x > 0 else -1)
+    least, most = sorted([rounded(good, 3), rounded(bad, 3)])
+    assert min(least, 0) == 0.0 or least < 0
+    shown = {r["doc_id"]: (r["polarity"], r["sentence_count"], r["best"], r["worst"], r["worst_text"], r["shown"]) for r in found.collect()}
+    assert found.count() == len(shown) == 6
+    overall = rounded((good + bad) / 2, 4)
+    first = {True: (0.0, "Nothing."), False: (least, "Good one." if good < bad else "Bad one!")}[least > 0]
+    assert shown[0] == (overall, 5, max(most, 0.0), *first, 3)
+    assert shown[1] == shown[2] == (0.0, 0, None, None, None, 0)
+    assert shown[3] == (0.0, 2, 0.0, 0.0, "Only silence here.", 2)
+    assert shown[4][1] == 3 and shown[4][0] == rounded((3 * good + 2 * bad) / 5, 4) and shown[4][5] == 3
+    assert shown[None][:2] == (rounded((2 * bad + good) / 3, 4), 2)
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        found.explain()
+    by_id = re.findall(r"Exchange hashpartitioning\(doc_id[^)]*\), (\w+)", plan.getvalue())
+    assert by_id and set(by_id) == {"REPARTITION_BY_NUM"}
+
+
 def test_phrases_are_counted_in_more_tasks_as_documents_grow(spark, tmp_path, monkeypatch):
     import contextlib
     import io
