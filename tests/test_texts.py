@@ -314,6 +314,42 @@ def test_sentences_are_not_sent_for_their_scores(spark, tmp_path):
     assert by_id and set(by_id) == {"REPARTITION_BY_NUM"}
 
 
+def test_counts_in_a_row_are_kernels(spark, lexicon, monkeypatch):
+    import contextlib
+    import io
+    import random
+
+    from gleanframe.functions import kernels
+    from gleanframe.functions.patterns import TOPIC_KEYWORDS
+    from gleanframe.plans.texts import text_overview
+
+    # Words cross the ends of blocks.
+    monkeypatch.setattr(kernels, "_BLOCK", 16)
+    chosen = random.Random(3)
+    parts = [w for words in TOPIC_KEYWORDS.values() for w in words] + ["é", "\u2003", " ", "x", "machine", "learning", "a", "i", "\x1f", "pap"]
+    bodies = [None, "", "ai", "a", "pap", "machine", "learning"] + [
+        "".join(chosen.choice(parts) + chosen.choice(["", " "]) for _ in range(chosen.randrange(30))) for _ in range(200)]
+    table = docs(spark, *bodies).withColumn("words", F.split("text", " ")).coalesce(1)
+    found = table.select(
+        "text", "words", kernels.held_words(F.col("text"), list(TOPIC_KEYWORDS.values())).alias("held"),
+        kernels.spaced_words(F.col("text")).alias("spaced"), kernels.most_frequent(F.col("words"), 3).alias("top")).collect()
+    assert len(found) == len(bodies)
+    for r in found:
+        body, words_ = r["text"] or "", r["words"] or []
+        assert r["held"] == [sum(w in body for w in words) for words in TOPIC_KEYWORDS.values()]
+        assert r["spaced"] == (None if r["text"] is None else len(body.split()))
+        ranked = sorted(set(words_), key=lambda w: (-words_.count(w), words_.index(w)))[:3]
+        assert [tuple(t) for t in r["top"]] == [(words_.count(w), words_.index(w), w) for w in ranked]
+    assert spark.sql("select array('b', null, 'a', 'b', 'a', null) v").select(kernels.most_frequent(F.col("v"), 2)).first()[0] == [(2, 0, "b"), (2, 2, "a")]
+    broken = spark.sql("select cast(x'61ff2062' as string) v")
+    assert broken.select(kernels.spaced_words(F.col("v")), kernels.held_words(F.col("v"), [["b", "ab"], ["a"]])).first()[:] == (2, [1, 1])
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        text_overview(table, lexicon).explain()
+    # Counted without a sorted array of every word, and scored without the sentences.
+    assert "_starts" not in plan.getvalue() and "collect_list" not in plan.getvalue()
+
+
 def test_phrases_are_counted_in_more_tasks_as_documents_grow(spark, tmp_path, monkeypatch):
     import contextlib
     import io
