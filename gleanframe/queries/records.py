@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.patterns import WHITESPACE, WRAPPER_KEYS
 from ..operators import clean, dedup, reshape
-from ..session import load, load_spread, shared_dir
+from ..session import load, load_spread, shared_dir, spread_tasks
 from ..sources import crawl_log, responses, tables
 from .sqltext import strings
 
@@ -164,11 +164,11 @@ def _key_records(spark, sf):
 def _html_folder(spark, sf):
     """The pages written by Spark as a folder of files, a page each, and read back from it."""
     path = shared_dir(spark, "html-folder")
-    # Every task has a folder of its own, which is committed and listed as one; pages of equal ids are files of their own.
-    load_spread(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"), F.spark_partition_id().alias("part")).write.partitionBy(
-        "part", "page_id").option("maxRecordsPerFile", 1).text(path)
-    pages = tables.read_pages(spark, f"{path}/part=*", format="html", nested=True)
-    return pages.select(F.regexp_extract("url", r"page_id=(\d+)", 1).cast("long").alias("page_id"),
+    tables.write_pages(load_spread(spark, sf, "pages"), path)
+    # Spark reads few files a task, as it adds a cost to each; the pages are read by as many tasks as wrote them.
+    pages = tables.read_pages(spark, f"{path}/part=*", format="html", nested=True).coalesce(
+        spread_tasks(load(spark, sf, "pages")) or spark.sparkContext.defaultParallelism)
+    return pages.select(F.regexp_extract("url", r"page_id=(-?\d+)", 1).try_cast("long").alias("page_id"),
                         F.length("html").cast("long").alias("chars"), F.md5(F.col("html").cast("binary")).alias("html_md5"))
 
 

@@ -221,3 +221,22 @@ def test_pages_of_equal_ids_stay_files_of_their_own(spark, tmp_path):
         f"{tmp_path}/pages.parquet")
     found = QUERIES["html_folder"](spark, str(tmp_path)).collect()
     assert len(found) == 30 and len({r["html_md5"] for r in found}) == 30 and {r["page_id"] for r in found} == {0, 1, 2}
+
+
+def test_pages_are_files_of_few_folders(spark, tmp_path, monkeypatch):
+    from gleanframe.queries.records import QUERIES
+
+    pages = spark.createDataFrame(
+        [(i, "u", f"<p>é {i}</p>\n") for i in range(200)] + [(7, "u", "once more"), (-3, "u", None), (5, "u", ""), (None, "u", "no id")],
+        "page_id long, url string, html string").repartition(5)
+    tables.write_pages(pages, f"{tmp_path}/folder")
+    parts = list((tmp_path / "folder").iterdir())
+    assert 1 <= len(parts) <= 5 and all(f.is_file() for part in parts for f in part.iterdir())
+    assert sum(len(list(part.iterdir())) for part in parts) == 204
+    read = tables.read_pages(spark, f"{tmp_path}/folder/part=*", format="html", nested=True)
+    assert sorted(r["html"] for r in read.collect()) == sorted((r["html"] or "") + "\n" for r in pages.collect())
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    found = rows(QUERIES["html_folder"](spark, str(tmp_path)))
+    assert len(found) == 204 and {r[0] for r in found} == {None, -3, *range(200)} and (-3, 1) in [r[:2] for r in found]
+    monkeypatch.setattr(tables, "_is_local", lambda spark, path: False)
+    assert rows(QUERIES["html_folder"](spark, str(tmp_path))) == found
